@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import chat_format, exact_dedup, langid, packing, simhash, toxicity, url_filter
+from velarium.llm import chat_format, decontaminate, exact_dedup, langid, packing, simhash, toxicity, url_filter
 from velarium.llm.common import crc_mod
 from velarium.session import table
 
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -56,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op4_langid, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_langid, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
