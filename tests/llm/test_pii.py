@@ -1,0 +1,70 @@
+import hashlib
+import re
+
+from velarium.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+CARD = "4111 1111 1111 1111"
+TEXTS = [
+    "a@b.c._x@d.e mail me: x.y+z@mail.example.com, or a@b@c.d.", "@a.b a@b a@.b a@-.- 日本\U0001f600 é@x.de ü.a@b.cd", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 1.1.1.0255 01.02.03.04.5 .1.2.3.4",
+    f"card {CARD} 4111-1111-1111-1111 4111  1111 1111 1111 {CARD} 1 {CARD}-", "4111111111111111 4111111111111112 41111111111111110000 00000000000000", "+1 (017) 555-7713 +12345 +1-2-3-4-5-6-7-8-9-0) ++49 30 1234567890. +4 9 301 2345 678 90 123",
+    "+1 (017) 555-7713\n+1 (017) 555-7713 x@y.zz 1.2.3.4", "", "1 " * 3000, "a." * 3000 + "@b", "9" * 5000, "call 017-555-7713 phone (017) 555-7713; john (at) mail (dot) com", "a@b." * 300, f"{CARD}\t{CARD}",
+]
+
+
+def luhn(digits):
+    return sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (14 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end(), kind))
+    return sorted(out)
+
+
+def check(df):
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    want = []
+    for doc, text in rows:
+        spans = brute(text)
+        want.append((doc, *[sum(s[3] == k for s in spans) for k in pii.KINDS], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()))
+    got = pii.summarize(pii.find(df)).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=repr) == sorted(want, key=repr)
+    by_doc = {}
+    for doc, text in rows:
+        by_doc.setdefault(doc, {f"{k}:{a}:{b}" for a, _, b, k in brute(text)})
+    assert all(by_doc[r.doc_id] <= set(r.spans.split(",")) for r in got)
+    return got
+
+
+def test_base_spans(spark, odd, docs):
+    check(odd)
+    check(docs)
+    texts = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], 0, "x")], "doc_id long, text string, row int, rule string")
+    check(texts)
+    got = {r.doc_id: r for r in check(texts.where("doc_id in (2, 3, 4, 5, 6, 11)"))}
+    assert got[11].spans == "phone:5:17,phone:24:38,email:40:64" and got[11].n_phone == 0
+    assert "card:17:33" not in got[4].spans
+
+
+def test_empty(none):
+    assert pii.summarize(pii.find(none)).collect() == []
+
+
+def test_reliabilities_of_labelers():
+    patterns = [((1, 1, 1), 400), ((1, 1, 0), 300), ((-1, -1, 0), 500), ((-1, 1, -1), 60), ((1, -1, 0), 40)]
+    prior, chance, posterior = pii.reliabilities(patterns)
+    assert 0.4 < prior < 0.8 and posterior[0] > 0.95 > 0.05 > posterior[2]
+    assert chance[0][True][1] > 0.9 and chance[0][False][-1] > 0.8
+    weights = pii.train_classifier([(tuple(map(float, v)), p, n) for (v, n), p in zip(patterns, posterior, strict=True)])
+    assert weights[0] > 0

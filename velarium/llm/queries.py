@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import chat_format, decontaminate, exact_dedup, langid, packing, simhash, toxicity, url_filter
+from velarium.llm import chat_format, decontaminate, exact_dedup, langid, packing, pii, simhash, toxicity, url_filter
 from velarium.llm.common import crc_mod
 from velarium.session import table
 
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summarize(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2
     found = langid.identify(docs, langid.train(docs, ~held_out))
@@ -60,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_langid, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_pii, op4_langid, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
