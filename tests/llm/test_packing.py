@@ -63,4 +63,10 @@ def test_search_only_improves(seed):
 
 @pytest.mark.parametrize("text", ["a  b\u0085c", "İstanbul ΣΑΣ", "don't i'm 'RE x", "e\u0301 ﬁ Ⅷ ² ½", "<|endoftext|> <|startoftext|>x", "1234 56", "\x1c\x1d a\x0bb", "naïve—“quote”…", "ŉ ſ ǅ µ ª"])
 def test_tokenizer_equals_whole(text):
-    assert packing.ChunkTokenizer(tokenizer_path()).encode(text) == np.array(whole_ids([text])[0][:-1], "<u4").tobytes()
+    assert packing.ChunkTokenizer(tokenizer_path()).encode([text])[0] == np.array(whole_ids([text])[0][:-1], "<u4").tobytes()
+
+
+def test_small_cache_is_only_slower():
+    texts = [f"word{i} w{'abc'[i % 3]}x it's, {i}!?" for i in range(300)]
+    want = [np.array(ids[:-1], "<u4").tobytes() for ids in whole_ids(texts)]
+    assert packing.ChunkTokenizer(tokenizer_path(), cache=20).encode(texts) == want

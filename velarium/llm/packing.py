@@ -18,6 +18,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from velarium.llm.common import materialize
 CAPACITY = 2048
 #: Pieces of a group, at most on average.
 GROUP = 60_000
-#: Entries that a worker keeps of chunk -> ids.
-CACHE = 400_000
+#: Entries that a worker keeps of chunk -> ids and of word -> ids, before it starts anew from those in use.
+CACHE = 800_000
 #: Steps of local search without a sequence emptied before it ends.
 PATIENCE = 400
 
@@ -35,30 +36,60 @@ PATIENCE = 400
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-įı-ſ‐-‧‰-⁞]*")
 
 
+#: The tokenizer's own pattern (fixed value); what it matches is tokenized apart from the rest.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class ChunkTokenizer:
-    """Ids of whole texts; keeps the ids of chunks between white space, which the tokenizer never joins."""
+    """Ids of whole texts; keeps the ids of chunks between white space, which the tokenizer never joins, and of their words."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.cache, self.chunks, self.words = Tokenizer.from_file(path), cache, {}, {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self.whole(text)
-        chunks, known = text.lower().split(), self.known
-        if new := {c for c in chunks if c not in known}:
-            if len(known) + len(new) > self.cache:
-                known.clear()
-                new = set(chunks)
-            new = list(new)
-            for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+    def learn(self, chunks: set[str]) -> None:
+        """Many new words are tokenized as one text, and cut where a word ends."""
+        if len(self.chunks) + len(chunks) > self.cache:
+            self.chunks, self.old = {}, self.chunks
+        if len(self.words) > self.cache:
+            self.words.clear()
+        if self.old:
+            self.chunks.update({c: self.old[c] for c in chunks if c in self.old})
+            chunks = {c for c in chunks if c not in self.old}
+        parts, words = {c: _SPLIT.findall(c) for c in chunks}, self.words
+        new = list({w for p in parts.values() for w in p if w not in words})
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some):
+                flat = ids.tobytes()
+                words.update({w: flat[a:b] for w, a, b in zip(some, [0, *stops[:-1]], stops, strict=True)})
+            else:
+                words.update({w: self.whole(w) for w in some})
+        self.chunks.update({c: words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p]) for c, p in parts.items()})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [None if "<|" in t or not _PLAIN.fullmatch(t) else t.lower().split() for t in texts]
+        out = []
+        for k in range(0, len(texts), 64):
+            some = split[k : k + 64]
+            found = [[] if s is None else list(map(self.chunks.get, s)) for s in some]
+            if any(None in f for f in found):
+                self.learn({c for s, f in zip(some, found, strict=True) if None in f for c, x in zip(s, f, strict=True) if x is None})
+                # What was found before stays, even if learning has cleared the rest.
+                found = [[self.chunks[c] if x is None else x for c, x in zip(s, f, strict=True)] if None in f else f for s, f in zip(some, found, strict=True)]
+            out += [self.whole(t) if s is None else b"".join(f) for t, s, f in zip(texts[k : k + 64], some, found, strict=True)]
+        return out
 
 
 _open: dict[str, ChunkTokenizer] = {}
@@ -79,8 +110,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
                 out = [[] for _ in names]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text or "") + b"\0\0\0\0"
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                    ids += b"\0\0\0\0"
                     for k in range(0, len(ids), step):
                         piece = ids[k : k + step]
                         for column, value in zip(out, (doc, k // step, k // 4, len(piece) // 4, piece), strict=True):
