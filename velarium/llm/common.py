@@ -89,3 +89,23 @@ def words_of(data: bytes, keep: np.ndarray | None = None) -> tuple[np.ndarray, n
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     return starts, ends, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def runs(batches, keys: int):
+    """Rows sorted by their first columns -> for each run of equal keys, its columns as arrays (numpy; binary as objects). Null keys aren't allowed."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        change = np.zeros(len(rows[0]) - 1, bool)
+        for c in rows[:keys]:
+            change |= c[1:] != c[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(change) + 1]).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield [c[a:b] for c in rows]
+        held = [c[edges[-1] :] for c in rows]
+    if held is not None:
+        yield held

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import chat_format, decontaminate, exact_dedup, langid, packing, pii, simhash, toxicity, url_filter
+from velarium.llm import chat_format, decontaminate, exact_dedup, langid, packing, passages, pii, simhash, toxicity, url_filter
 from velarium.llm.common import crc_mod
 from velarium.session import table
 
@@ -40,6 +40,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_pii, op4_langid, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_pii, op4_langid, op5_passages, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
