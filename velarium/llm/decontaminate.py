@@ -182,5 +182,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
                 mask = [not matcher.find(normal(texts[k].as_py())) for k in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask, pa.bool_()))
 
-        docs = docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(keep, docs.schema)
+        docs = docs.select("*", F.col("text").cast("string").alias("_velarium_text")).mapInArrow(keep, docs.schema)
     return docs

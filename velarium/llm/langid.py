@@ -141,3 +141,17 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(predict, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double"]))
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language isn't `und`, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            mask = [model.predict(texts[k].as_py())[0] != UND for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask, pa.bool_()))
+
+    return docs.select("*", F.col("text").cast("string").alias("_velarium_text")).mapInArrow(keep, docs.schema)
