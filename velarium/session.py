@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold for any master; sizes of partitions are left to the cluster.
 SETTINGS = {
@@ -31,3 +34,28 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own_dir: str | None = None
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    global _own_dir
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="velarium-")
+    return _own_dir
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back: this cuts lineage and outlives executors."""
+    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store is a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
