@@ -53,7 +53,7 @@ def src_import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATEMENTS = (
     ("q1", "SELECT DISTINCT o.o_custkey AS customer, sum(o.o_totalprice) FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'F' GROUP BY o.o_custkey HAVING sum(o.o_totalprice) > 10 ORDER BY customer DESC NULLS LAST"),
     ("q2", "INSERT INTO t (a, b) SELECT x, y FROM s WHERE x > 1"), ("q3", "UPDATE t SET a = 1 WHERE b = 2"), ("q4", "DELETE FROM t WHERE a IN (SELECT id FROM u)"),
-    ("q5", "SELECT a FROM t UNION ALL SELECT b FROM u INTERSECT SELECT c FROM v"), ("q6", "SELECT a FROM t WHERE"), ("q7", "SELECT * FROM a CROSS JOIN b FULL JOIN c USING (id)"), ("q8", "CREATE TABLE t (a INT)"),
+    ("q5", "SELECT a FROM t UNION ALL SELECT b FROM u INTERSECT SELECT c FROM v"), ("q6", "SELECT a FROM ("), ("q7", "SELECT * FROM a CROSS JOIN b FULL JOIN c USING (id)"), ("q8", "CREATE TABLE t (a INT)"),
 )
 
 
