@@ -54,14 +54,26 @@ def contained(points: DataFrame, intervals: DataFrame, group: str, at: str, star
 def as_of(left: DataFrame, right: DataFrame, group: str, at: str, effective: str, values: list[str]) -> DataFrame:
     """left with the values of right's latest row of the group that is in effect; NULL before the first.
 
-    Both sides are sorted together once, and each row takes the last value that it has passed. Where the
-    right side is small, its effective dates are joined as intervals instead, which needs no sort by group:
-    a group that holds most of left is then not one task.
+    For a right side with few rows a group (targets, rates, versions): each row holds until the next, and
+    the hash join by group tests those intervals. Work grows with the right rows of a group, but a group
+    that holds most of left is split over tasks by the skew handling. For long right sides use as_of_sorted.
     """
     ahead = W.partitionBy(group).orderBy(effective)
     spans = right.withColumn("__until", F.lead(effective).over(ahead)).select(group, *values, F.col(effective).alias("__from"), "__until")
     on = (left[group] == spans[group]) & (left[at] >= F.col("__from")) & (F.col("__until").isNull() | (left[at] < F.col("__until")))
-    return left.join(spans.hint("shuffle_hash"), on, "left").select(*[left[c] for c in left.columns], *values)
+    return left.join(spans, on, "left").select(*[left[c] for c in left.columns], *values)
+
+
+def as_of_sorted(left: DataFrame, right: DataFrame, group: str, at: str, effective: str, values: list[str]) -> DataFrame:
+    """as_of() for a right side with many rows a group: both sides in one sort by group and time, each row takes the last values that it passes.
+
+    Time is linear in both sides, but a group is one task.
+    """
+    keys = [c for c in left.columns if c not in values]
+    a = left.select(F.col(group).alias("__g"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*keys).alias("__l"), F.lit(None).alias("__r"))
+    b = right.select(F.col(group).alias("__g"), F.col(effective).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*values).alias("__r"))
+    passed = F.last("__r", ignorenulls=True).over(W.partitionBy("__g").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0))
+    return a.unionByName(b).withColumn("__r", passed).where("__side = 1").select(*[F.col(f"__l.{c}").alias(c) for c in keys], *[F.col(f"__r.{v}").alias(v) for v in values])
 
 
 def classify(wanted: DataFrame, have: DataFrame, key: str, other: str) -> DataFrame:
