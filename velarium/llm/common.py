@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,16 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    global _own_dir
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared
-    _own_dir = _own_dir or tempfile.mkdtemp(prefix="velarium-")
-    return _own_dir
+from velarium.session import scratch_dir
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
