@@ -40,10 +40,12 @@ _own_dir: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder of spark.checkpoint.dir; on one machine, a folder of our own where none is set."""
     global _own_dir
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="velarium-")
     return _own_dir
 
