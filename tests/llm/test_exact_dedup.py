@@ -34,6 +34,13 @@ def test_against_groups(odd, docs, sizes):
         assert got == expected([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_one_id_for_all_rows(spark):
+    """A doc_id that all rows share is one key among others."""
+    rows = [(None, "same" if i % 3 else f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in dedup(df, task_rows=50).collect()), key=repr) == expected(rows)
+
+
 def test_history(spark, odd):
     old = spark.createDataFrame([(100, "one"), (101, "one"), (102, "gone")], "doc_id long, text string")
     got = {r.doc_id: r for r in dedup(odd, history=old).collect()}

@@ -47,6 +47,13 @@ def test_empty(none):
     assert packing.pack(packing.tokenize(none, tokenizer_path())).collect() == []
 
 
+def test_one_id_for_all_rows(spark):
+    """A doc_id that all rows share is dealt into several groups."""
+    df = spark.createDataFrame([(None, f"some words of text {i}") for i in range(400)], "doc_id long, text string")
+    got = packing.pack(packing.tokenize(df, tokenizer_path()).drop("ids"), group=50).collect()
+    assert len(got) == 400 and len({r.sequence_id % 8 for r in got}) == 8
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_search_only_improves(seed):
     rng = np.random.default_rng(seed)

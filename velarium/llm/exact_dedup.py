@@ -130,16 +130,16 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, shard_keys: int = S
     kept. Without, the digests that docs itself holds more than once are the history. Of equal texts
     the largest doc_id wins.
     """
-    rows = materialize(digests_of(docs), "exact-digests")
+    rows = materialize(digests_of(docs).withColumn("row", F.monotonically_increasing_id()), "exact-digests")
     past = rows if history is None else digests_of(history)
     entries = past.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("group_size"))
     if history is None:
         entries = entries.where("group_size > 1")
     index, shards = build_index(materialize(entries, "exact-entries"), shard_keys)
     rows = rows.withColumn("shard", _shard(shards))
-    # One digest may hold a third of all rows: its shard's rows go to several tasks, each with a copy of the index.
+    # One digest, and one doc_id, may hold a third of all rows: a shard's rows go by number to several tasks, each with a copy of the index.
     splits = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(task_rows)).cast("int").alias("splits"))
-    dealt = rows.join(splits, "shard").withColumn("split", F.pmod(F.xxhash64("doc_id"), F.col("splits")).cast("int"))
+    dealt = rows.join(splits, "shard").withColumn("split", F.pmod(F.xxhash64("row"), F.col("splits")).cast("int"))
     copies = index.join(splits, "shard").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     found = (
         dealt.select("shard", "split", "doc_id", "digest").groupBy("shard", "split")

@@ -236,18 +236,21 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """pieces (length <= capacity, and any columns) with sequence_id and offset."""
-    pieces = materialize(pieces, "pieces")
+    """pieces (length <= capacity, and any columns) with sequence_id and offset.
+
+    Pieces are dealt into groups by their rows' numbers, so a doc_id that many rows share doesn't make a large group.
+    """
+    names, fields = pieces.columns, pieces.schema.fields
+    pieces = materialize(pieces.withColumn("_velarium_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, math.ceil(pieces.where(F.col("length") < capacity).count() / group))
-    names = pieces.columns
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=False, kind="stable")
         bins, offsets = pack_lengths(rows.length.to_numpy(np.int64), capacity)
-        return rows[names].assign(sequence_id=bins.astype(np.int64) * groups + rows["_group"].to_numpy(np.int64), offset=offsets)
+        return rows[names].assign(sequence_id=bins.astype(np.int64) * groups + rows["_velarium_group"].to_numpy(np.int64), offset=offsets)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    rest = pieces.where(F.col("length") < capacity).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    rest = pieces.where(F.col("length") < capacity).withColumn("_velarium_group", F.pmod(F.xxhash64("_velarium_row"), F.lit(groups)))
     # Whole sequences need no search; their numbers are negative.
-    whole = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return rest.groupBy("_group").applyInPandas(packed, schema).unionByName(whole)
+    whole = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}).drop("_velarium_row")
+    return rest.groupBy("_velarium_group").applyInPandas(packed, schema).unionByName(whole)
