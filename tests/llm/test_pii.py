@@ -57,6 +57,12 @@ def test_base_spans(spark, odd, docs):
     assert "card:17:33" not in got[4].spans
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1 127.0.0.1, 192.168.0.5", "0.0.0.0", "1.00.000.1 00.0.0.256", "0." * 4000 + "0", "0" * 4000 + ".1.1.999"]
+    got = {r.doc_id: r for r in check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))}
+    assert [got[k].n_ip for k in range(3)] == [3, 1, 1]
+
+
 def test_empty(none):
     assert pii.summarize(pii.find(none)).collect() == []
 

@@ -90,7 +90,8 @@ def labelled(found: DataFrame) -> DataFrame:
         kind = F.when(F.col("rule") == rule, F.lit(name)).otherwise(kind)
     rows = dealt.select("*", kind.alias("kind"), end.alias("end"), (end - F.length("found")).alias("start"))
     digits = F.regexp_replace("found", "[^0-9]", "")
-    octet = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    # No part is empty (RULES), so one without digits after its zeros is 0.
+    octet = "0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
     ok = (
         F.when(F.col("rule") == "email", True)
         .when(F.col("rule") == "ip", F.col("found").rlike(rf"^{octet}(?:\.{octet}){{3}}$"))
