@@ -47,3 +47,14 @@ def test_rewriting_is_detected(spark):
 @pytest.mark.parametrize("text", ["", "<|", "<\\|", "<\\\\|<|<", "<|im_end|>", "|<|>", "<<|\\"])
 def test_escape(text):
     assert "<|" not in C.escape(text) and C.unescape(C.escape(text)) == text
+
+
+def test_templates_that_look_far_back(spark):
+    """Turns are numbered from the whole conversation, and a rewrite of an old one is found, however long it is."""
+    rows = [(1, i, "user", f"text {i}") for i in range(150)]
+    df = spark.createDataFrame(rows, ROWS)
+    numbered = lambda turns: "".join(f"{i}:{r}<{t}>\n" for i, (r, t) in enumerate(turns))
+    got = C.format_turns(df, numbered).orderBy("turn_index").collect()
+    assert "".join(r.segment for r in got) == numbered([r[2:] for r in rows])
+    trimmed = lambda turns: "".join(f"<{t if len(turns) <= 100 or i != 5 else ''}>" for i, (_, t) in enumerate(turns))
+    assert [r.turn_index for r in C.format_turns(df, trimmed, on_rewrite="mark").where("rewrites").collect()] == [100]

@@ -55,17 +55,20 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role)}\n{escape(text)}{CLOSE}\n" for role, text in turns)
 
 
+chatml.local = True
+
+
 class Renderer:
     """Spans of the turns of one conversation, as they come."""
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window = template, window
         self.turns: list[Turn] = []
         self.last = template([])
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """The turn's segment, where its text is in it, and whether the template rewrote what it had put out."""
-        if len(self.turns) >= self.window:
+        if self.window is not None and len(self.turns) >= self.window:
             self.turns = [self.turns[0], *self.turns[1 - self.window // 2 :]]
             self.last = self.template(self.turns)
         before = self.last
@@ -91,12 +94,16 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def format_turns(conversations: DataFrame, template: Template = chatml, loss_roles: tuple[str, ...] = ("assistant",), window: int = WINDOW, on_rewrite: str = "raise") -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = chatml, loss_roles: tuple[str, ...] = ("assistant",), window: int | None = None, on_rewrite: str = "raise") -> DataFrame:
     """A row for each turn, in order inside each partition: its segment of the output, the place of its text in it, the loss flag.
 
     The output of a conversation is its segments joined. All rows of a conversation are in one
-    partition, next to each other; it is streamed, never held whole.
+    partition, next to each other. Whole prefixes are rendered, in time that grows with the square of the
+    turns, unless a window is given or the template is declared local (an attribute `local`: no turn's output
+    depends on turns further back); then it is streamed, never held whole.
     """
+    if window is None and getattr(template, "local", False):
+        window = WINDOW
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
