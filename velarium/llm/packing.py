@@ -4,20 +4,23 @@ Tokens: each document's ids by a public tokenizer, then id 0. Documents longer t
 into whole sequences and a rest; all others stay whole. Pieces are dealt into groups of bounded size;
 each group is packed best-fit decreasing, then local search exchanges pieces one for one, two for one
 or one for two between underfull sequences, or moves them, as long as the sum of squared fills grows,
-so that the emptiest sequence empties.
+so that the emptiest sequence empties. It ends when a round over all underfull sequences empties none.
 
 Defined cases: a null or empty text is the single id 0; an empty table gives an empty result; repeated
-rows are packed each; a null doc_id is kept; other columns aren't read.
+rows are packed each; a null doc_id is kept, and large ids stay exact beside it; a very long text is
+tokenized whole and cut; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,69 +30,134 @@ from velarium.llm.common import materialize
 CAPACITY = 2048
 #: Pieces of a group, at most on average.
 GROUP = 60_000
-#: Entries that a worker keeps of chunk -> ids and of word -> ids, before it starts anew from those in use.
-CACHE = 800_000
-#: Steps of local search without a sequence emptied before it ends.
-PATIENCE = 400
+#: Chunks whose ids a worker keeps before it starts anew, and bytes of text that it takes at a time.
+CACHE, SLICE = 1_200_000, 16 << 20
+#: Stands for id 0 after each text; no plain text has it.
+LAST = "\0"
 
 #: Texts of these characters only: lower-casing and splitting at white space can't differ from the tokenizer's.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-įı-ſ‐-‧‰-⁞]*")
 
-
 #: The tokenizer's own pattern (fixed value); what it matches is tokenized apart from the rest.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The byte-level alphabet: printable bytes are themselves, the others, in order, the characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class ChunkTokenizer:
-    """Ids of whole texts; keeps the ids of chunks between white space, which the tokenizer never joins, and of their words."""
+    """Ids of texts, many at a time: chunks between white space, which the tokenizer never joins, are told apart by Arrow, and each is tokenized once."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.chunks, self.words = Tokenizer.from_file(path), cache, {}, {}
-        self.old: dict[str, bytes] = {}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        # The same model alone, for words that are cut and spelled in its alphabet already.
+        plain = json.loads(self.tokenizer.to_str())
+        plain |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(plain))
+        self.forget()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Many new words are tokenized as one text, and cut where a word ends."""
-        if len(self.chunks) + len(chunks) > self.cache:
-            self.chunks, self.old = {}, self.chunks
-        if len(self.words) > self.cache:
-            self.words.clear()
-        if self.old:
-            self.chunks.update({c: self.old[c] for c in chunks if c in self.old})
-            chunks = {c for c in chunks if c not in self.old}
-        parts, words = {c: _SPLIT.findall(c) for c in chunks}, self.words
-        new = list({w for p in parts.values() for w in p if w not in words})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) == len(some):
-                flat = ids.tobytes()
-                words.update({w: flat[a:b] for w, a, b in zip(some, [0, *stops[:-1]], stops, strict=True)})
-            else:
-                words.update({w: self.whole(w) for w in some})
-        self.chunks.update({c: words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p]) for c, p in parts.items()})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if "<|" in t or not _PLAIN.fullmatch(t) else t.lower().split() for t in texts]
-        out = []
-        for k in range(0, len(texts), 64):
-            some = split[k : k + 64]
-            found = [[] if s is None else list(map(self.chunks.get, s)) for s in some]
-            if any(None in f for f in found):
-                self.learn({c for s, f in zip(some, found, strict=True) if None in f for c, x in zip(s, f, strict=True) if x is None})
-                # What was found before stays, even if learning has cleared the rest.
-                found = [[self.chunks[c] if x is None else x for c, x in zip(s, f, strict=True)] if None in f else f for s, f in zip(some, found, strict=True)]
-            out += [self.whole(t) if s is None else b"".join(f) for t, s, f in zip(texts[k : k + 64], some, found, strict=True)]
-        return out
+    def forget(self) -> None:
+        """chunks: each chunk's number; ids: all their ids, one chunk's after the other's; bounds: where each number's begin and end."""
+        self.chunks: dict[str, int] = {LAST: 0}
+        self.ids, self.bounds, self.n_ids = np.zeros(1 << 20, "<u4"), np.array([0, 1] + [0] * (1 << 16), np.int64), 1
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that the tokenizer's pattern has cut, and how many each has."""
+        ids, lengths = [], []
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_SPELLING) for w in some]
+            got = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) != len(some):
+                each = [self.whole(w) for w in some]
+                got, stops = np.concatenate(each), np.cumsum([len(e) for e in each])
+            ids.append(got)
+            lengths.append(np.diff(stops, prepend=0))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Numbers new chunks and stores their ids."""
+        parts = [(c,) if c.isalpha() else _SPLIT.findall(c) for c in chunks]
+        known: dict[str, int] = {}
+        at = np.array([known.setdefault(w, len(known)) for p in parts for w in p], np.int64)
+        ids, lengths = self.words(list(known)) if known else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        flat = ids[_ranges((np.cumsum(lengths) - lengths)[at], lengths[at])]
+        # A chunk's ids are those of its words.
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.cumsum([len(p) for p in parts])]
+        first, last = len(self.chunks), len(self.chunks) + len(chunks)
+        if last >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(max(last, len(self.bounds)), np.int64)])
+        if self.n_ids + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), "<u4")])
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.bounds[first + 1 : last + 1] = self.n_ids + ends
+        self.n_ids += len(flat)
+        self.chunks.update(zip(chunks, range(first, last), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each of some texts without nulls, each followed by id 0; and where each text's begin, and the last ends."""
+        plain = np.array(["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts.to_pylist()], bool)
+        if not plain.all():
+            # Rare: each run of texts of one sort by itself.
+            edges, parts, sizes = [0, *(np.flatnonzero(np.diff(plain)) + 1).tolist(), len(plain)], [], []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if plain[a]:
+                    ids, bounds = self.encode(texts.slice(a, b - a))
+                    parts.append(ids)
+                    sizes.append(np.diff(bounds))
+                else:
+                    each = [np.append(self.whole(t), np.uint32(0)) for t in texts.slice(a, b - a).to_pylist()]
+                    parts += each
+                    sizes.append(np.array([len(e) for e in each]))
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        ended = pc.binary_join_element_wise(pc.utf8_lower(texts), LAST, " ")
+        lists = pc.utf8_split_whitespace(ended)
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.chunks) + len(names) > self.cache:
+            self.forget()
+        numbers = list(map(self.chunks.get, names))
+        if None in numbers:
+            self.learn([c for c, x in zip(names, numbers, strict=True) if x is None])
+            numbers = list(map(self.chunks.get, names))
+        numbers = np.array(numbers, np.int64)
+        starts, lengths = self.bounds[numbers], self.bounds[numbers + 1] - self.bounds[numbers]
+        of = coded.indices.to_numpy()
+        sizes = lengths[of]
+        ends, at = np.concatenate([[0], np.cumsum(sizes)]), starts[of]
+        ids = np.empty(ends[-1], "<u4")
+        for k in range(0, len(of), 1 << 17):  # so that the numbers of places stay in the processor's cache
+            ids[ends[k] : ends[min(k + (1 << 17), len(of))]] = self.ids[_ranges(at[k : k + (1 << 17)], sizes[k : k + (1 << 17)])]
+        return ids, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, all in one array."""
+    ends = np.cumsum(lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
+
+
+def _slices(texts: pa.Array, size: int = SLICE):
+    """Starts and lengths of slices of about so many bytes."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + size, side="right")))
+        yield start, end - start
+        start = end
 
 
 _open: dict[str, ChunkTokenizer] = {}
@@ -104,20 +172,19 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if tokenizer_path not in _open:
             _open[tokenizer_path] = ChunkTokenizer(tokenizer_path)
-        encode, step = _open[tokenizer_path].encode, 4 * capacity
-        names = ["doc_id", "piece", "start", "length", "ids"]
+        encode, names = _open[tokenizer_path].encode, ["doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                out = [[] for _ in names]
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                    ids += b"\0\0\0\0"
-                    for k in range(0, len(ids), step):
-                        piece = ids[k : k + step]
-                        for column, value in zip(out, (doc, k // step, k // 4, len(piece) // 4, piece), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int32() if n == "piece" else pa.int64()) for c, n in zip(out, names, strict=True)], names=names)
+            texts = pc.fill_null(batch.column(1), "")
+            for first, n in _slices(texts):
+                ids, bounds = encode(texts.slice(first, n))
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(n), pieces)
+                piece = _ranges(np.zeros(n, np.int64), pieces)
+                length = np.minimum(capacity, sizes[owner] - piece * capacity)
+                edges = np.append(0, np.cumsum(length)) * 4
+                data = pa.Array.from_buffers(pa.large_binary(), len(piece), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), data], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
@@ -144,82 +211,122 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 class Search:
-    """Local search over one group's bins; every exchange raises the sum of squared fills."""
+    """Local search over one group's bins; every move or exchange raises the sum of squared fills.
+
+    For each length, a heap has the bins that hold a piece of it, roomiest first, and for each sum of two
+    lengths those that hold both; old entries are dropped when they come up. So the best exchange of all is
+    found by its lengths: a bin has at most 63 different ones, as their sum is at most 2048. No bin, piece or pair is left out.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: np.ndarray, capacity: int):
-        self.lengths, self.bins, self.capacity = lengths.astype(np.int64), bins.copy(), capacity
-        self.fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        self.items: list[list[int]] = [[] for _ in self.fill]
-        for i, b in enumerate(bins.tolist()):
-            self.items[b].append(i)
-
-    def put(self, item: int, to: int) -> None:
-        at = self.bins[item]
-        self.items[at].remove(item)
-        self.items[to].append(item)
-        self.fill[at] -= self.lengths[item]
-        self.fill[to] += self.lengths[item]
-        self.bins[item] = to
-
-    def step(self, source: int, open_bins: np.ndarray) -> bool:
-        """Take as much as one move or exchange can out of source into a bin that is at least as full."""
-        room = self.capacity - self.fill[open_bins]
-        own = sorted(self.items[source], key=lambda i: -self.lengths[i])
-        for i in own:  # move
-            fits = np.flatnonzero((room >= self.lengths[i]) & (open_bins != source))
-            if len(fits):
-                self.put(i, int(open_bins[fits[np.argmin(room[fits])]]))
+        self.lengths, self.bins, self.capacity = lengths.astype(np.int64).tolist(), bins.tolist(), capacity
+        self.fill = np.bincount(bins, weights=lengths, minlength=1).astype(np.int64).tolist()
+        self.items: list[dict[int, list[int]]] = [{} for _ in self.fill]  # by length
+        for i, b in enumerate(self.bins):
+            self.items[b].setdefault(self.lengths[i], []).append(i)
+        #: By taken length (of one, of two): a heap of (-room, bin, version, lengths).
+        self.ones: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+        self.twos: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+        self.rooms: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.most = np.full((2, capacity + 1), -1, np.int64)  # the largest room of each heap, or more where its top is old
+        self.version = [0] * len(self.fill)  # odd: in the heaps
+
+    def open(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        if room <= 0 or not self.fill[b] or self.version[b] & 1:
+            return
+        self.version[b] += 1
+        self.rooms[room].add(b)
+        sizes = sorted(self.items[b])
+        for k, n in enumerate(sizes):
+            heappush(self.ones[n], (-room, b, self.version[b], (n,)))
+            self.most[0, n] = max(self.most[0, n], room)
+            for m in sizes[k + (len(self.items[b][n]) < 2) :]:
+                if n + m <= self.capacity:
+                    heappush(self.twos[n + m], (-room, b, self.version[b], (n, m)))
+                    self.most[1, n + m] = max(self.most[1, n + m], room)
+
+    def close(self, b: int) -> None:
+        if self.version[b] & 1:
+            self.version[b] += 1
+            self.rooms[self.capacity - self.fill[b]].discard(b)
+
+    def put(self, n: int, source: int, target: int) -> None:
+        item = self.items[source][n].pop()
+        if not self.items[source][n]:
+            del self.items[source][n]
+        self.items[target].setdefault(n, []).append(item)
+        self.bins[item] = target
+        self.fill[source] -= n
+        self.fill[target] += n
+
+    def top(self, kind: int, n: int) -> tuple | None:
+        """The roomiest bin that is open and holds length n (of one piece, or of two)."""
+        heap = (self.ones, self.twos)[kind][n]
+        while heap and self.version[heap[0][1]] != heap[0][2]:
+            heappop(heap)
+        self.most[kind, n] = -heap[0][0] if heap else -1
+        return heap[0] if heap else None
+
+    def step(self, source: int) -> bool:
+        """Move a piece out of source, or else exchange what takes most out of it; into open bins, which are no emptier."""
+        own = sorted(self.items[source], reverse=True)
+        for n in own:
+            room = next((r for r in range(n, self.capacity + 1) if self.rooms[r]), None)
+            if room is not None:
+                target = min(self.rooms[room])
+                self.close(target)
+                self.put(n, source, target)
+                self.open(target)
                 return True
-        others = np.array([j for b in open_bins.tolist() if b != source for j in self.items[b]], np.int64)
-        if not len(others):
-            return False
-        sizes, space = self.lengths[others], self.capacity - self.fill[self.bins[others]]
-        best, how = 0, None
-        given = [(int(self.lengths[i]), (i,)) for i in own]
-        given += [(int(self.lengths[i] + self.lengths[j]), (i, j)) for k, i in enumerate(own[:24]) for j in own[k + 1 : 24]]
-        for size, pair in given:  # one for one, two for one
-            gain = size - sizes
-            gain[(gain > space) | (gain <= 0)] = 0
-            k = int(np.argmax(gain))
-            if gain[k] > best:
-                best, how = int(gain[k]), (pair, (int(others[k]),))
-        if how is None:  # one for two
-            for b in open_bins[np.argsort(-room)][:64].tolist():
-                theirs = self.items[b][:24]
-                for k, j in enumerate(theirs if b != source else ()):
-                    for m in theirs[k + 1 :]:
-                        pair = int(self.lengths[j] + self.lengths[m])
-                        for i in own:
-                            gain = int(self.lengths[i]) - pair
-                            if best < gain <= self.capacity - self.fill[b]:
-                                best, how = gain, ((i,), (j, m))
+        given = {n: (n,) for n in own}
+        for k, n in enumerate(own):
+            for m in own[k + (len(self.items[source][n]) < 2) :]:
+                given.setdefault(n + m, (n, m))
+        best, how, taken = 0, None, np.arange(self.capacity + 1)
+        for size, pieces in given.items():
+            for kind in (0, 1) if len(pieces) == 1 else (0,):
+                gains = size - taken
+                left = np.flatnonzero((gains > best) & (gains <= self.most[kind]))  # of small gains last
+                for n in left.tolist():
+                    if size - n <= best:
+                        break
+                    found = self.top(kind, n)
+                    if found and size - n <= -found[0]:
+                        best, how = size - n, (pieces, found)
+                        break
         if how is None:
             return False
-        target = int(self.bins[how[1][0]])
-        for i in how[0]:
-            self.put(i, target)
-        for j in how[1]:
-            self.put(j, source)
+        pieces, (_, target, _, sizes) = how
+        self.close(target)
+        for n in pieces:
+            self.put(n, source, target)
+        for n in sizes:
+            self.put(n, target, source)
+        self.open(target)
         return True
 
-    def run(self, patience: int = PATIENCE) -> np.ndarray:
-        stuck: set[int] = set()
-        steps, least = 0, -(-int(self.lengths.sum()) // self.capacity)
-        while steps < patience:
-            open_bins = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
-            sources = [b for b in open_bins[np.argsort(self.fill[open_bins], kind="stable")].tolist() if b not in stuck]
-            if (self.fill > 0).sum() <= least or len(open_bins) < 2 or not sources:
+    def run(self) -> np.ndarray:
+        """Round after round over all underfull bins, emptiest first, until a round empties none or no packing can have fewer."""
+        least, used = -(-sum(self.lengths) // self.capacity), sum(f > 0 for f in self.fill)
+        while used > least:
+            before = used
+            order = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: (self.fill[b], b))
+            for b in order:
+                self.open(b)
+            for b in order:
+                if used <= least:
+                    break
+                # The bins that stay open come after this one, or were filled more since; it goes back only in the next round.
+                self.close(b)
+                while self.fill[b] and self.step(b):
+                    pass
+                used -= not self.fill[b]
+            for b in order:
+                self.close(b)
+            if used == before:
                 break
-            source = sources[0]
-            # Into bins no emptier than the source, the squares grow with any taking.
-            targets = open_bins[self.fill[open_bins] >= self.fill[source]]
-            if not self.step(source, targets):
-                stuck.add(source)
-            steps += 1
-            if self.fill[source] == 0:
-                steps = 0
-                stuck.clear()
-        return self.bins
+        return np.array(self.bins, np.int64)
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -244,13 +351,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     pieces = materialize(pieces.withColumn("_velarium_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, math.ceil(pieces.where(F.col("length") < capacity).count() / group))
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=False, kind="stable")
-        bins, offsets = pack_lengths(rows.length.to_numpy(np.int64), capacity)
-        return rows[names].assign(sequence_id=bins.astype(np.int64) * groups + rows["_velarium_group"].to_numpy(np.int64), offset=offsets)
+    def packed(rows: pa.Table) -> pa.Table:
+        # Ids stay in Arrow: a null among them would make them inexact elsewhere.
+        rows = rows.sort_by([("length", "descending"), ("_velarium_row", "ascending")])
+        bins, offsets = pack_lengths(rows.column("length").to_numpy(), capacity)
+        numbers = bins.astype(np.int64) * groups + rows.column("_velarium_group").to_numpy()
+        return rows.select(names).append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(offsets))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
     rest = pieces.where(F.col("length") < capacity).withColumn("_velarium_group", F.pmod(F.xxhash64("_velarium_row"), F.lit(groups)))
     # Whole sequences need no search; their numbers are negative.
     whole = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}).drop("_velarium_row")
-    return rest.groupBy("_velarium_group").applyInPandas(packed, schema).unionByName(whole)
+    return rest.groupBy("_velarium_group").applyInArrow(packed, schema).unionByName(whole)
