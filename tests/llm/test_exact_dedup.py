@@ -4,18 +4,21 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from velarium.llm.exact_dedup import build_mphf, dedup, find_slots
+from velarium.llm.exact_dedup import build_index, build_mphf, dedup, digests_of, find_slots, read_index
 
 
 def expected(rows):
     groups = defaultdict(list)
     for doc, text in rows:
         groups[text or ""].append(doc)
-    out = []
+    out, done = [], set()
     for doc, text in rows:
         ids = [i for i in groups[text or ""] if i is not None]
         keep = max(ids, default=None)
-        out.append((doc, keep, len(groups[text or ""]), doc == keep, hashlib.sha256((text or "").encode()).hexdigest()))
+        kept = doc == keep and (text or "") not in done
+        if kept:
+            done.add(text or "")
+        out.append((doc, keep, len(groups[text or ""]), kept, hashlib.sha256((text or "").encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -41,6 +44,34 @@ def test_one_id_for_all_rows(spark):
     assert sorted((tuple(r) for r in dedup(df, task_rows=50).collect()), key=repr) == expected(rows)
 
 
+@pytest.mark.parametrize("past", [0.0, 0.3, 1.0])
+def test_ids_beside_nulls_and_repeated_rows(spark, past):
+    big = 1 << 60
+    rows = [(big + 1, "a"), (None, "a"), (big + 3, "a"), (big + 3, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "c"), (7, "d"), (big + 1, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in dedup(df, past=past).collect()), key=repr)
+    assert got == sorted(expected(rows), key=repr)
+    assert sum(r[3] for r in got) == 5
+
+
+def test_kept_columns_follow_their_row(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (None, "b", "z")]
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string, mark string"), keep=("mark",)).collect()
+    assert sorted((r.mark, r.doc_id) for r in got) == [("x", 1), ("y", 1), ("z", None)]
+
+
+def test_saved_index(spark, odd, none, tmp_path):
+    """A batch is compared with an index that an earlier run has left."""
+    old = spark.createDataFrame([((1 << 60) + 1, "one"), (None, "one"), (102, "gone"), (None, "no id here")], "doc_id long, text string")
+    build_index(digests_of(old), shard_keys=2).save(f"{tmp_path}/index")
+    build_index(digests_of(none)).save(f"{tmp_path}/none")
+    got = {r.doc_id: r for r in dedup(odd, history=read_index(spark, f"{tmp_path}/index")).collect()}
+    assert (got[6].keep_id, got[6].kept, got[6].group_size) == ((1 << 60) + 1, False, 2)
+    assert (got[None].keep_id, got[None].kept, got[None].group_size) == (None, False, 1)
+    assert (got[7].keep_id, got[7].kept) == (7, True)
+    assert all(r.kept == (r.doc_id != 1) or r.doc_id in (2, 3, 4) for r in dedup(odd, history=read_index(spark, f"{tmp_path}/none")).collect())
+
+
 def test_history(spark, odd):
     old = spark.createDataFrame([(100, "one"), (101, "one"), (102, "gone")], "doc_id long, text string")
     got = {r.doc_id: r for r in dedup(odd, history=old).collect()}

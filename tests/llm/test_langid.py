@@ -49,3 +49,26 @@ def test_many_languages(spark):
     rows = [(i, f"word{chr(97 + i % 20)}{chr(97 + i % 20)} {chr(97 + i % 20) * 6}", f"l{i % 20:02}", 1) for i in range(200)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, gram int"), F.lit(True))
     assert len(model.languages) == 20 and model.predict("ccccccc")[0] == "l02"
+
+
+def test_over_sixty_three_languages(spark):
+    """Languages beyond one word of the masks are learned and predicted like the others."""
+    letters = lambda k: chr(97 + k // 26) * 3 + chr(97 + k % 26) * 3
+    rows = [(i, f"{letters(i % 130)} {letters(i % 130)}x", f"l{i % 130:03}") for i in range(520)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 130 and model.masks.shape[0] == 3
+    assert all(model.predict(letters(k))[0] == f"l{k:03}" for k in range(130))
+
+
+def test_rows_without_an_id_are_drawn_apart(spark):
+    rows = [(None, f"text {i} words", "en") for i in range(400)] + [(1, f"mots {i} autres", "fr") for i in range(400)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=100)
+    assert sorted(model.languages) == ["en", "fr"] and model.predict("text words")[0] == "en"
+
+
+def test_nothing_labelled(spark):
+    """Without labels, what has a letter stays; with some, what no filter holds goes."""
+    df = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_known(df, langid.train(df, F.lit(True))).collect()] == [1]
+    model = langid.train(spark.createDataFrame([(1, "the words of the text", "en")], "doc_id long, text string, lang string"), F.lit(True))
+    assert model.knows("words of text") and not model.knows("東京") and not model.knows("")

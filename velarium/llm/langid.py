@@ -7,12 +7,14 @@ for the filters' rates of false positives, and the largest count wins.
 An n-gram is four UTF-8 bytes of the text, A-Z lower-cased (other letters by str.lower), with what is
 no letter turned into single spaces. A language holds an n-gram if it is at least `ratio` times as
 frequent in its training texts as in those of the language where it is most frequent. Training takes
-about `per_language` documents of each language, drawn by a hash of doc_id; this bounds the model.
+about `per_language` documents of each language, drawn by a hash of doc_id and text; this bounds the model.
+There may be any number of languages; the masks take as many words as these need.
 
 Defined cases: `und` with score 0 if the text is null or has no letter; a text whose n-grams no
 filter holds gets the most frequent language, with score 0; ties go to the more frequent
 language, then to the first by name; without a labelled text, all are `und`; an empty table gives an
-empty result; repeated rows get equal answers; other columns aren't read.
+empty result; repeated rows get equal answers; a very long text is read as a whole; other columns aren't
+read. keep_known() takes texts with a letter where nothing is labelled.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from velarium.llm.common import materialize, mix64
 
-PER_LANGUAGE, LANGUAGES, RATIO = 5_000, 63, 0.25
+PER_LANGUAGE, RATIO = 5_000, 0.25
+#: Languages of a word of the masks.
+BITS = 63
 #: Places of a filter (a power of two), and hash functions.
 PLACES, HASHES = 1 << 20, 3
 UND = "und"
@@ -57,7 +61,7 @@ def places(codes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages: most frequent first. masks: at each place a bit for each language. false: each language's rate of false positives."""
+    """languages: most frequent first. masks: at each place a bit for each language, in as many words (rows) as they need. false: each language's rate of false positives."""
 
     languages: list[str]
     masks: np.ndarray
@@ -67,32 +71,43 @@ class Model:
         codes = grams(text)
         if codes is None or not self.languages:
             return UND, 0.0
-        found = None
-        for place in places(codes):
-            found = self.masks[place] if found is None else found & self.masks[place]
-        n = len(self.languages)
-        if n <= 8:
-            by_mask = np.bincount(found, minlength=256)
-            counts = by_mask @ (np.arange(256)[:, None] >> np.arange(n) & 1)
-        else:
-            counts = np.array([int((found >> k & 1).sum()) for k in range(n)])
+        at, counts = places(codes), []
+        for word in range(len(self.masks)):
+            found = None
+            for place in at:
+                found = self.masks[word][place] if found is None else found & self.masks[word][place]
+            n = min(BITS, len(self.languages) - word * BITS)
+            if n <= 8:
+                by_mask = np.bincount(found, minlength=256)
+                counts.append(by_mask @ (np.arange(256)[:, None] >> np.arange(n) & 1))
+            else:
+                some, times = np.unique(found, return_counts=True)  # few masks are different
+                counts.append(np.array([int(times[(some >> some.dtype.type(k) & some.dtype.type(1)) > 0].sum()) for k in range(n)]))
+        counts = np.concatenate(counts)
         true = np.maximum(0, (counts - self.false * len(codes)) / np.maximum(1e-9, 1 - self.false))
         best, total = int(np.argmax(true)), float(true.sum())
         return self.languages[best], float(true[best]) / total if total > 0 else 0.0
 
+    def knows(self, text: str | None) -> bool:
+        """Whether a text is in some language: its filters hold more of its n-grams than false positives would; without any filters, whether it has a letter."""
+        if not self.languages:
+            return grams(text) is not None
+        language, score = self.predict(text)
+        return language != UND and score > 0
+
 
 def train(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE, ratio: float = RATIO) -> Model:
     """docs (doc_id, text, lang): learns from rows where allowed holds and text and lang aren't null."""
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     languages = [r.lang for r in known]
+    words = -(-len(languages) // BITS)
     if not languages:
-        return Model([], np.zeros(PLACES, np.uint8), np.zeros(0))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.lit(0.0)
-    for r in known:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
+        return Model([], np.zeros((0, PLACES), np.uint8), np.zeros(0))
+    # Rows that share an id, or have none, are told apart by their texts, so that they aren't all drawn at once.
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     number = {name: k for k, name in enumerate(languages)}
+    shares = F.create_map(*[F.lit(x) for r in known for x in (r.lang, min(1.0, per_language / r["count"]))])
 
     def count(batches):
         seen = [Counter() for _ in languages]
@@ -104,26 +119,33 @@ def train(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE, ra
         for k, counter in enumerate(seen):
             yield pa.RecordBatch.from_pydict({"gram": pa.array(list(counter), pa.int64()), "l": pa.array([k] * len(counter), pa.int32()), "n": pa.array(list(counter.values()), pa.int64())})
 
-    counts = materialize(rows.where(drawn < share).select("text", "lang").mapInArrow(count, "gram long, l int, n long").groupBy("gram", "l").agg(F.sum("n").alias("n")), "grams")
-    totals = {r.l: r.n for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    rates = [F.sum(F.when(F.col("l") == k, F.col("n")).otherwise(0)) / float(totals.get(k, 1)) for k in range(len(languages))]
-    rates = counts.groupBy("gram").agg(*[r.alias(f"r{k}") for k, r in enumerate(rates)])
-    most = F.greatest(*[F.col(f"r{k}") for k in range(len(languages))], F.lit(0.0))
-    mask = F.lit(0).cast("long")
-    for k in range(len(languages)):
-        mask = mask.bitwiseOR(F.when((F.col(f"r{k}") > 0) & (F.col(f"r{k}") >= ratio * most), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    counts = materialize(rows.where(drawn < shares[F.col("lang")]).select("text", "lang").mapInArrow(count, "gram long, l int, n long").groupBy("gram", "l").agg(F.sum("n").alias("n")), "grams")
+    totals = counts.groupBy("l").agg(F.sum("n").alias("total"))  # a row for each language
+    rates = counts.join(F.broadcast(totals), "l").select("gram", "l", (F.col("n") / F.col("total")).alias("rate"))
+    most = rates.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("l", "rate")).alias("of"))  # as many as languages at most
+
+    def word(w: int) -> Column:
+        """Bits of the languages of one word."""
+        holds = lambda x: (F.floor(x["l"] / BITS) == w) & (x["rate"] >= ratio * F.col("most"))
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x["l"] % BITS).cast("int"))
+        return F.aggregate("of", F.lit(0).cast("long"), lambda mask, x: mask.bitwiseOR(F.when(holds(x), bit(x)).otherwise(F.lit(0).cast("long"))))
+
+    masked = most.select("gram", *[word(w).alias(f"m{w}") for w in range(words)])
+    names = [f"m{w}" for w in range(words)]
 
     def place(batches):
         for batch in batches:
-            codes, masks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            codes = batch.column(0).to_numpy(zero_copy_only=False)
             for at in places(codes):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(masks)], names=["place", "mask"])
-
-    bits = rates.select("gram", mask.alias("mask")).mapInArrow(place, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask"))
-    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * t().itemsize)
-    masks, got = np.zeros(PLACES, width), bits.toArrow()  # no more rows than places
-    masks[got.column("place").to_numpy()] = got.column("mask").to_numpy().astype(width)
-    full = np.array([(masks >> width(k) & width(1)).mean() for k in range(len(languages))])
+                yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns[1:]], names=["place", *names])
+
+    bits = masked.mapInArrow(place, ", ".join(["place long", *(f"{n} long" for n in names)])).groupBy("place").agg(*[F.bit_or(n).alias(n) for n in names])
+    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(BITS, len(languages)) <= 8 * t().itemsize)
+    masks, got = np.zeros((words, PLACES), width), bits.toArrow()  # no more rows than places
+    at = got.column("place").to_numpy()
+    for w, name in enumerate(names):
+        masks[w, at] = got.column(name).to_numpy().astype(width)
+    full = np.array([(masks[k // BITS] >> width(k % BITS) & width(1)).mean() for k in range(len(languages))])
     return Model(languages, masks, full**HASHES)
 
 
@@ -144,14 +166,14 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language isn't `und`, with their columns."""
+    """The rows of docs in some language (see Model.knows), with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
         model = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            mask = [model.predict(texts[k].as_py())[0] != UND for k in range(batch.num_rows)]
+            mask = [model.knows(texts[k].as_py()) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask, pa.bool_()))
 
     return docs.select("*", F.col("text").cast("string").alias("_velarium_text")).mapInArrow(keep, docs.schema)

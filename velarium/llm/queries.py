@@ -45,7 +45,7 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("root")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ the links that it found, not the links; components are then joined across shards
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked like any
 other; one or two words are one shingle; repeated rows and equal texts share a fingerprint; a null
-doc_id is never a component's id unless all of its are null; an empty table gives an empty result;
-other columns aren't read.
+doc_id is never a component's id unless all of its are null; a very long text is read as a whole, some
+shingles at a time; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -51,17 +51,18 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long): a row for each row of docs."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), and the columns of keep: a row for each row of docs."""
 
     def compute(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):  # few texts at a time as Python objects
                 part = batch.slice(start, 256)
                 fps = np.array([fingerprint(t) for t in utf8(part.column(1))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], names=["doc_id", "fp", *part.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return rows.mapInArrow(compute, ", ".join(["doc_id long, fp long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])]))
 
 
 def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -180,12 +181,12 @@ def link(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, block: i
     return dealt.groupBy("shard", "block").applyInPandas(lambda rows: _link_shard(rows, radius), "a long, b long")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach): a row for each row of docs."""
-    rows = materialize(fingerprints(docs), "fingerprints")
+def near_dedup(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach), root (the component's least fingerprint, which tells it even without ids), and the columns of keep: a row for each row of docs."""
+    rows = materialize(fingerprints(docs, keep), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected_components(link(nodes, radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *keep)
