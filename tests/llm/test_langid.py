@@ -71,4 +71,4 @@ def test_nothing_labelled(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in langid.keep_known(df, langid.train(df, F.lit(True))).collect()] == [1]
     model = langid.train(spark.createDataFrame([(1, "the words of the text", "en")], "doc_id long, text string, lang string"), F.lit(True))
-    assert model.knows("words of text") and not model.knows("東京") and not model.knows("")
+    assert model.knows("words of text " * 9) and model.knows("東京") and not model.knows("東京" * 30) and not model.knows("")

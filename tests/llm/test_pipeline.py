@@ -41,8 +41,23 @@ def test_odd_table(spark, sf, odd, monkeypatch):
         for _, stage in P.STAGES[:-1]:
             at = stage(spark, at, sf)
             assert at.schema == odd.schema
-        # Document 1 is a copy of 2, which is there twice; 3, 4, 5 and 10 have no letter.
-        assert sorted(r.doc_id or 0 for r in at.collect()) == [0, 2, 2, 6, 7, 8, 9]
+        # Document 1 is a copy of 2, and 2 of itself; 3, 4, 5 and 10 have no letter.
+        assert sorted(r.doc_id or 0 for r in at.collect()) == [0, 2, 6, 7, 8, 9]
+
+
+def test_rows_without_an_id_of_their_own(spark, sf, tmp_path):
+    """Unique rows stay though their id is null, shared, or large; so they do where nothing is labelled."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, words(1)), (None, words(1)), (None, words(2)), (7, words(3)), (7, words(4)), (7, words(4)), ((1 << 60) + 1, words(5)), (None, words(5)), (None, words(6) + " a b"), (None, words(6) + " a b."), (8, words(7))]
+    made = spark.createDataFrame([(d, t, None, "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    made.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for df in (made, spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        at = P.exact_copies(spark, P.language(spark, df, sf), sf)
+        assert sorted((r.doc_id or 0, r.text) for r in at.collect()) == sorted({(d or 0, t) for d, t in rows} - {(0, words(5))})
+        near = P.near_copies(spark, at, sf).collect()
+        left = {t for _, t in rows}
+        assert {r.text for r in near} in [left - {words(6) + " a b"}, left - {words(6) + " a b."}, left]
+        assert len(near) == len({r.text for r in near})
 
 
 def test_empty(spark, sf, none):

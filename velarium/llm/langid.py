@@ -14,7 +14,7 @@ Defined cases: `und` with score 0 if the text is null or has no letter; a text w
 filter holds gets the most frequent language, with score 0; ties go to the more frequent
 language, then to the first by name; without a labelled text, all are `und`; an empty table gives an
 empty result; repeated rows get equal answers; a very long text is read as a whole; other columns aren't
-read. keep_known() takes texts with a letter where nothing is labelled.
+read. keep_known() takes short texts with a letter, and all with one where nothing is labelled.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from velarium.llm.common import materialize, mix64
 
 PER_LANGUAGE, RATIO = 5_000, 0.25
-#: Languages of a word of the masks.
-BITS = 63
+#: Languages of a word of the masks; n-grams of a text that must be unknown to all filters before it counts as in no language.
+BITS, TELLING = 63, 40
 #: Places of a filter (a power of two), and hash functions.
 PLACES, HASHES = 1 << 20, 3
 UND = "und"
@@ -89,11 +89,11 @@ class Model:
         return self.languages[best], float(true[best]) / total if total > 0 else 0.0
 
     def knows(self, text: str | None) -> bool:
-        """Whether a text is in some language: its filters hold more of its n-grams than false positives would; without any filters, whether it has a letter."""
-        if not self.languages:
-            return grams(text) is not None
-        language, score = self.predict(text)
-        return language != UND and score > 0
+        """Whether a text is in some language: its filters hold more of its n-grams than false positives would. Fewer than TELLING n-grams, or no filters, tell nothing against a text with a letter."""
+        codes = grams(text)
+        if codes is None:
+            return False
+        return not self.languages or len(codes) < TELLING or self.predict(text)[1] > 0
 
 
 def train(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE, ratio: float = RATIO) -> Model:
