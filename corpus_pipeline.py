@@ -1,13 +1,18 @@
 """From raw documents to packed training sequences: language, exact and near copies, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
-return rows of documents as they came. Rows that share a doc_id (and, for exact copies, the text) are
-one document, and stay or go together.
+return rows of documents as they came. A row is told by its place in its file, never by its doc_id, so
+rows that share an id, or have none, stay or go each by itself. A table that no file holds is written first.
+
+Defined cases: null texts are empty, and have no language, so the first stage drops them; where nothing is
+labelled with a language, texts with a letter stay; of rows that are equal in all but their place, one
+stays; very long texts are read whole; extra columns are passed on; an empty table gives empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.llm import decontaminate, exact_dedup, langid, packing, simhash
@@ -15,47 +20,46 @@ from velarium.llm.common import crc_mod, materialize
 from velarium.llm.queries import tokenizer_path
 from velarium.session import table
 
-#: Up to so many removed documents (24 MB of keys) are sent to every task; more are joined by a shuffle.
+#: Up to so many removed rows (24 MB of keys) are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_NO_ID = -(1 << 63)
-
-
-def _without(docs: DataFrame, removed: DataFrame, *keys: Column) -> DataFrame:
-    """The rows of docs whose keys aren't in removed, whose columns are those keys."""
-    removed = materialize(removed.toDF(*[f"_velarium_key{k}" for k in range(len(keys))]).distinct(), "removed")
-    if removed.count() <= BROADCAST_ROWS:
-        removed = F.broadcast(removed)
-    same = F.lit(True)
-    for k, key in enumerate(keys):
-        same = same & (key == removed[f"_velarium_key{k}"])
-    return docs.join(removed, same, "left_anti")
+#: A row's key: a hash of its file's path, and its place there.
+KEY = ("_velarium_file", "_velarium_place")
 
 
-def _id(column: Column) -> Column:
-    return F.coalesce(column.cast("long"), F.lit(_NO_ID))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with KEY. Both are facts of the files, so every scan gives a row the same ones."""
+    key = {KEY[0]: F.xxhash64("_metadata.file_path"), KEY[1]: F.col("_metadata.row_index")}
+    try:
+        return docs.withColumns(key)
+    except AnalysisException:
+        return materialize(docs, "documents").withColumns(key)
 
 
-def _short(sha256: Column) -> Column:
-    """Sixty bits of a hexadecimal digest; enough to tell the texts of one doc_id apart."""
-    return F.conv(F.substring(sha256, 1, 15), 16, 10).cast("long")
+def _without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows of docs whose KEY isn't in removed."""
+    removed = materialize(removed.select(*KEY), "removed")
+    return docs.join(F.broadcast(removed) if removed.count() <= BROADCAST_ROWS else removed, list(KEY), "left_anti").drop(*KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no letter, or no text) go."""
+    """Documents in no language go: without a letter, or with no n-gram of a learned language beyond chance."""
     return langid.keep_known(docs, langid.train(docs, crc_mod(F.col("doc_id"), 4) != 2))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the largest doc_id stays."""
-    found = exact_dedup.dedup(docs)
-    gone = found.where(~F.col("kept")).select(_id(F.col("doc_id")), _short(F.col("text_sha256")))
-    return _without(docs, gone, _id(docs["doc_id"]), _short(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)))
+    """Of equal texts, one row of the largest doc_id stays."""
+    docs = _numbered(docs)
+    return _without(docs, exact_dedup.dedup(docs, keep=KEY).where(~F.col("kept")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints, the least doc_id stays."""
-    found = simhash.near_dedup(docs)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id(F.col("doc_id"))), _id(docs["doc_id"]))
+    """Of each group linked by fingerprints, one row of the least doc_id stays."""
+    docs = _numbered(docs)
+    found = materialize(simhash.near_dedup(docs, keep=KEY).select("root", "doc_id", *KEY), "near-copies")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = (F.col(f"best.{KEY[0]}") == F.col(KEY[0])) & (F.col(f"best.{KEY[1]}") == F.col(KEY[1]))
+    return _without(docs, found.join(best, "root").where(~same))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
