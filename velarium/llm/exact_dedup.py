@@ -30,6 +30,8 @@ from velarium.llm.common import materialize, mix64
 #: Digests of a shard's index, and rows that one lookup task takes, on average at most.
 SHARD_KEYS = 100_000
 TASK_ROWS = 100_000
+#: Up to so many winners of groups (70 MB) go to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Bits of a level for each key that is left.
 GAMMA = 2.0
 
@@ -165,8 +167,9 @@ def look_up(rows: DataFrame, index: Index, task_rows: int = TASK_ROWS) -> DataFr
 
 def _winners(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows with keep_id, group_size and kept: of each key's rows, the one with the largest doc_id (then row) stays. Keys of one row, most of all, aren't in the join."""
-    best = rows.groupBy(*key).agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(best, key, "left")
+    best = materialize(rows.groupBy(*key).agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), "winners")
+    # Written first, so that the join's shuffle is its own and a key with a third of all rows can be split.
+    joined = rows.join(F.broadcast(best) if best.count() <= BROADCAST_KEYS else best, key, "left")
     return joined.withColumns({"keep_id": F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")), "group_size": F.coalesce("n", F.lit(1).cast("long")), "kept": F.coalesce(F.col("best.row") == F.col("row"), F.lit(True))})
 
 

@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Pieces of a group, at most on average.
 GROUP = 60_000
 #: Chunks whose ids a worker keeps before it starts anew, and bytes of text that it takes at a time.
-CACHE, SLICE = 1_200_000, 16 << 20
+CACHE, SLICE = 600_000, 12 << 20
 #: Stands for id 0 after each text; no plain text has it.
 LAST = "\0"
 
@@ -121,25 +121,27 @@ class ChunkTokenizer:
             return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        ended = pc.binary_join_element_wise(pc.utf8_lower(texts), LAST, " ")
-        lists = pc.utf8_split_whitespace(ended)
+        lists = pc.utf8_split_whitespace(pc.binary_join_element_wise(pc.utf8_lower(texts), LAST, " "))
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        del lists  # what is large goes as soon as it can
+        names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.chunks) + len(names) > self.cache:
             self.forget()
         numbers = list(map(self.chunks.get, names))
         if None in numbers:
             self.learn([c for c, x in zip(names, numbers, strict=True) if x is None])
             numbers = list(map(self.chunks.get, names))
+        del names
         numbers = np.array(numbers, np.int64)
         starts, lengths = self.bounds[numbers], self.bounds[numbers + 1] - self.bounds[numbers]
-        of = coded.indices.to_numpy()
-        sizes = lengths[of]
-        ends, at = np.concatenate([[0], np.cumsum(sizes)]), starts[of]
+        ends = np.zeros(len(of) + 1, np.int64)
+        np.cumsum(lengths[of], out=ends[1:])
         ids = np.empty(ends[-1], "<u4")
         for k in range(0, len(of), 1 << 17):  # so that the numbers of places stay in the processor's cache
-            ids[ends[k] : ends[min(k + (1 << 17), len(of))]] = self.ids[_ranges(at[k : k + (1 << 17)], sizes[k : k + (1 << 17)])]
-        return ids, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            some = of[k : k + (1 << 17)]
+            ids[ends[k] : ends[k + len(some)]] = self.ids[_ranges(starts[some], lengths[some])]
+        return ids, ends[offsets]
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -184,6 +186,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                 length = np.minimum(capacity, sizes[owner] - piece * capacity)
                 edges = np.append(0, np.cumsum(length)) * 4
                 data = pa.Array.from_buffers(pa.large_binary(), len(piece), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+                del ids
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), data], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
