@@ -20,7 +20,7 @@ from velarium.llm.common import crc_mod, materialize
 from velarium.llm.queries import tokenizer_path
 from velarium.session import table
 
-#: Up to so many removed rows (24 MB of keys) are sent to every task; more are joined by a shuffle.
+#: Up to so many removed rows (24 MB of keys), or groups (60 MB), are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A row's key: a hash of its file's path, and its place there.
 KEY = ("_velarium_file", "_velarium_place")
@@ -58,6 +58,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(simhash.near_dedup(docs, keep=KEY).select("root", "doc_id", *KEY), "near-copies")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)
     best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = materialize(best, "best")
+    if best.count() <= BROADCAST_ROWS:
+        best = F.broadcast(best)
     same = (F.col(f"best.{KEY[0]}") == F.col(KEY[0])) & (F.col(f"best.{KEY[1]}") == F.col(KEY[1]))
     return _without(docs, found.join(best, "root").where(~same))
 
