@@ -70,3 +70,21 @@ def test_odd_tables(spark, odd, none):
     assert sorted(r.doc_id or 0 for r in D.clean(docs, bench).collect()) == [0, 1, 2, 2, 3, 4, 5, 7, 8, 9, 10]
     assert D.clean(docs, bench).schema == docs.schema and D.clean(docs, bench.limit(0)).count() == docs.count()
     assert D.find_passages(none, bench).collect() == [] and D.find_passages(docs, bench.limit(0)).collect() == []
+
+
+def test_punctuation_of_any_script(spark):
+    """Typographic quotes and dashes are between words, as straight ones are; places count them."""
+    item = "it's said \"so\" - a passage that is long enough, isn't it? yes"
+    curly = "\u201cwell\u201d\u2014It\u2019s said \u201cso\u201d \u2014 a passage that is long enough, isn\u2019t it\u2026 yes!"
+    docs = spark.createDataFrame([(1, curly), (2, "東京。「日本」"), (3, None)], "doc_id long, text string")
+    got = D.find_passages(docs, spark.createDataFrame([(1, item, 1)], ITEMS)).collect()
+    assert [(r.doc_id, r.start, r.end, r.distance) for r in got] == [(1, 7, len(curly) - 1, 0)]
+    assert D.normal("東京。「日本」_x") == "東京 日本 x"
+
+
+def test_each_of_many_passages_once(spark):
+    """A text that holds an item often, and hits from its pieces in any order."""
+    item = "one passage of the benchmark here which is long enough to be one"
+    text = " ".join([item] * 12)
+    got = D.find_passages(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item, 1)], ITEMS)).collect()
+    assert sorted(r.start for r in got) == [k * (len(item) + 1) for k in range(12)]

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,13 +48,61 @@ def test_context():
 
 
 def test_misspelled_and_quoted(spark):
-    toxic = [(i, f"{'you' if i % 2 else 'what'} idiot number {'abcdef'[i % 6]} and more of this text", 1) for i in range(60)]
-    clean = [(100 + i, f"a plain text number {'abcdef'[i % 6]} and more of this text", 0) for i in range(120)]
-    clean += [(300 + i, f'they called it the word "idiot" and more {"abcdef"[i % 6]}', 0) for i in range(10)]
+    rng = np.random.default_rng(0)
+    other = lambda: " ".join("".join(rng.choice(list("aeioubcdfg"), 4)) for _ in range(12))
+    toxic = [(i, f"{'you' if i % 2 else 'what'} idiot number {other()}", 1) for i in range(60)]
+    clean = [(100 + i, f"a plain text number {other()}", 0) for i in range(120)]
+    clean += [(300 + i, f'they called it the word "idiot" {other()}', 0) for i in range(10)]
+    # Copies of one toxic text teach no more than one of them.
+    toxic += [(400 + i, f"you idiot, copied verbiage {'x' * (i % 2)}", 1) for i in range(40)]
     df = spark.createDataFrame(toxic + clean, "doc_id long, text string, toxic int")
     model = T.train(df, df, F.lit(True))
     scores = model.scores(["what an idiot", "what an idiiot", "what an id1ot", 'the word "idiot" is rude', "a plain text", ""])
     assert (scores[:3] > 0.5).all() and (scores[3:] < 0.5).all()
+    assert {e.text for e in model.automaton.entries} == {"idiot", "you", "what"}
+
+
+def test_scripts_and_many_letters():
+    """Letters of any script, and more of them than a byte can number."""
+    entries = [T.Entry("バカ野郎だ", False, 5.0), T.Entry("𝒜𝒷𝒸", False, 5.0), *(T.Entry("".join(chr(0x4E00 + 5 * k + j) for j in range(5)), False, 4.0) for k in range(60))]
+    automaton = T.Automaton(entries)
+    text = "バカ野郎だ、 バカ野だ 𝒜𝒷𝒸 " + entries[61].text + " 漢字"
+    assert [(k, e) for _, _, k, e in zip(*(x.tolist() for x in automaton.scan(text)), strict=True)] == [(0, 0), (0, 1), (1, 0), (61, 0)]
+
+
+def test_scores_against_brute_force(spark, docs, sf):
+    """Features and scores by plain loops over words, edit distances and windows."""
+    model = T.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
+    entries = [T.Entry("loser", False, 5.0), T.Entry("scum", False, 4.0), T.Entry("moro", True, 3.0)]
+    model = T.Model(T.Automaton(entries), frozenset({"closer"}), np.array([2.0, -1.0, 0.5, 1.0, -3.0]))
+    extra = ["You loser, moronic!", 'the word "loser" is', "a closer look", "loseer SCUM scums", "", "\u201clozer\u201d said you moron"]
+
+    def features(text):
+        found, x = list(re.finditer(r"[^\W_]+", text)), [0.0, 0.0, 0.0, 0.0]
+        for m in found:
+            low = m[0].lower()
+            fits = [(0, -e.weight, k) for k, e in enumerate(entries) if (low.startswith(e.text) if e.stem else low == e.text)]
+            fits += [(1, -e.weight, k) for k, e in enumerate(entries) if not e.stem and len(e.text) >= T.FUZZY_LENGTH and distance(low, e.text) == 1]
+            if not fits or (min(fits)[0] and low in model.harmless):
+                continue
+            weight = entries[min(fits)[2]].weight * (T.DAMP if min(fits)[0] else 1)
+            if T.quoted(text, m.start(), m.end()):
+                x[1] += weight
+            else:
+                x = [x[0] + weight, x[1], x[2] + weight * T.addressed(text, m.start(), m.end()), 1.0]
+        return [*np.log1p(x[:3]), x[3]]
+
+    texts = extra + [r.text or "" for r in docs.limit(40).collect()]
+    want = np.array([features(t) for t in texts])
+    assert np.allclose(model.features(texts), want) and want[:, 0].any() and want[:, 1].any()
+    assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-(want @ model.weights[:-1] + model.weights[-1]))))
+
+
+def test_rows_that_share_an_id_stay_in_bounds(spark):
+    df = spark.createDataFrame([(i % 4, f"text {i} {'idiot' if i % 2 else 'fine'} w{i} v{i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    model = T.train(df, labels, F.lit(True), per_class=50)
+    assert model.scores(["idiot", "fine"])[0] > 0.5
 
 
 def test_held_out(spark):

@@ -10,13 +10,17 @@ The benchmark is taken in blocks of bounded size, one pass over the texts each.
 
 Defined cases: null texts and items are empty; an item that is empty in normal form is nowhere; one of
 fewer than MIN_ITEM characters counts only as a whole text; equal items are each reported; a passage found from
-several pieces is reported once; repeated rows are each reported; an empty table gives an empty result
+several pieces is reported once; punctuation of any script is between words; very long texts are read
+whole; repeated rows are each reported; an empty table gives an empty result
 (or, for clean(), leaves the other as it is); other columns are only passed on.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,22 @@ PER_EDIT, MIN_ITEM = 15, 20
 #: Characters of a block of the benchmark.
 BLOCK = 4_000_000
 
+#: ASCII in normal form; bytes of other characters stay, as those that are neither letters nor digits are spaces by then.
 _SPACED = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_BETWEEN = re.compile(r"[^\x00-\x7f\w]")
 
 
 def normal(text: str | None) -> str:
-    return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()).decode()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _BETWEEN.sub(" ", text)
+    return b" ".join(text.encode("utf-8", "replace").translate(_SPACED).split()).decode()
+
+
+@cache
+def _words() -> np.ndarray:
+    """For each code point, whether it is a letter or a digit."""
+    return np.fromiter((chr(k).isalnum() for k in range(0x110000)), bool, 0x110000)
 
 
 def _places(text: str) -> np.ndarray:
@@ -44,8 +59,7 @@ def _places(text: str) -> np.ndarray:
         parts = [c.lower() for c in text]
         at = np.repeat(np.arange(len(text)), [len(p) for p in parts])
         lower = "".join(parts)
-    codes = np.frombuffer(lower.encode("utf-32-le", "replace"), np.uint32)
-    word = (codes >= 128) | ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57))
+    word = _words()[np.frombuffer(lower.encode("utf-32-le", "replace"), np.uint32)]
     keep = word.copy()
     keep[1:] |= word[:-1] & ~word[1:]  # the first character after a word is the space
     found = np.flatnonzero(keep)
@@ -116,9 +130,8 @@ class Matcher:
             for n, offset in uses:
                 item_id, item, budget = self.items[n]
                 at = last + 1 - len(piece) - offset  # where the item begins, if no edit comes before
-                # Hits come in the text's order, so only the last passages can be this one.
-                before = done.setdefault(n, [])[-4:]
-                if any(abs(at - start) <= budget for start in before):
+                starts = done.setdefault(n, [])  # of its passages so far, in order
+                if _near(starts, at, budget):
                     continue
                 low = max(0, at - budget)
                 part = form[low : at + len(item) + budget]
@@ -127,12 +140,18 @@ class Matcher:
                     continue
                 _, back = myers(item[::-1], part[:end][::-1], anchored=True)
                 start, end = low + end - back, low + end
-                if not any(abs(start - s) <= budget for s in before):
+                if not _near(starts, start, budget):
                     out.append((item_id, start, end, distance))
-                    done[n].append(start)
+                    insort(starts, start)
         return out
 
 
+def _near(starts: list[int], at: int, by: int) -> bool:
+    """Whether one of ascending numbers is at most so far from a number."""
+    k = bisect_left(starts, at - by)
+    return k < len(starts) and starts[k] <= at + by
+
+
 def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int | None, str]]]:
     """Items (item_id, text) in blocks of about so many characters."""
     held, chars = [], 0
@@ -155,8 +174,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     found = None
     for items in blocks(benchmark, block):
 
-        def search(batches, items=items):
-            matcher, names = Matcher(items), [x.split()[0] for x in HITS.split(", ")]
+        def search(batches, items=docs.sparkSession.sparkContext.broadcast(items)):  # a block's size
+            matcher, names = Matcher(items.value), [x.split()[0] for x in HITS.split(", ")]
             for batch in batches:
                 out: list[tuple] = []
                 for k in range(batch.num_rows):
@@ -175,8 +194,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     """The rows of docs that hold no passage of an item, with their columns."""
     for items in blocks(benchmark, block):
 
-        def keep(batches, items=items):
-            matcher = Matcher(items)
+        def keep(batches, items=docs.sparkSession.sparkContext.broadcast(items)):
+            matcher = Matcher(items.value)
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1)
                 mask = [not matcher.find(normal(texts[k].as_py())) for k in range(batch.num_rows)]

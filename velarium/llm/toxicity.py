@@ -7,12 +7,14 @@ next to words that talk about words) from address (second person), and a logisti
 exact, misspelled, quoted and addressed hits.
 
 Learning takes at most `per_class` labelled documents of each class, those with the least hash of
-doc_id, which bounds the lexicon, the model and what reaches the driver.
+doc_id, which bounds the lexicon, the model and what reaches the driver. Near copies among them count once.
 
 Defined cases: a null text is empty; a text without hits gets the score of no evidence; labels that are
 null, or of documents that aren't there, teach nothing; a document labelled twice counts as often as
 it is labelled; without labels of both classes every score is the share of toxic labels (0 without any);
-an empty table gives an empty result; repeated rows get equal scores; other columns aren't read.
+an empty table gives an empty result; repeated rows get equal scores; very long texts are scanned whole;
+words of all scripts are alike; other columns aren't read. `per_class` also bounds the rows drawn where many
+share an id.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +41,27 @@ STEMS = range(3, 9)
 DAMP, MIN_G2 = 0.7, 25.0
 #: Characters before and after a hit.
 WINDOW = 60
+#: Texts that share so many least hashes of their words count as one in learning.
+SKETCH = 4
 
 #: Second-person words, words that talk about words or report speech, and pairs of quotation marks.
 YOU = frozenset("you your yours yourself u ur tu toi te vous ton ta tes du dich dir ihr euch sie usted ti tus".split())
 ABOUT = frozenset("word words term terms called calling said says wrote quote quoted quoting insult slur mot mots terme wort wörter begriff sagte palabra palabras dijo".split())
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’", "»": "«"}
 
-_CODES = 0x3000
 _DEAD, _START = 0, 1
 
 
+#: No code point from here on has another lower case.
+_LAST_CASED = 1 + max(k for k in range(0x110000) if chr(k).lower() != chr(k))
+
+
+@cache
+def _alnum() -> np.ndarray:
+    """For each code point, whether it is a word's character."""
+    return np.fromiter((chr(k).isalnum() for k in range(0x110000)), bool, 0x110000)
+
+
 def words_in(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
@@ -84,12 +98,12 @@ class Automaton:
         letters = sorted({c for e in entries for c in e.text})
         #: 0: no word character, 1: a word character that no entry has, then the entries' letters.
         number = {c: k + 2 for k, c in enumerate(letters)}
-        self.classes = np.zeros(_CODES + 1, np.uint8)
-        for code in range(_CODES):
-            if (c := chr(code)).isalnum():
-                low = c.lower()
-                self.classes[code] = number.get(low, 1) if len(low) == 1 else 1
-        self.classes[_CODES] = 1
+        self.classes = _alnum().astype(np.uint16)
+        for code in np.flatnonzero(self.classes[: _LAST_CASED]).tolist():
+            low = chr(code).lower()
+            self.classes[code] = number.get(low, 1) if len(low) == 1 else 1
+        for c, k in number.items():
+            self.classes[ord(c)] = k
 
         def close(state: Iterable[tuple]) -> frozenset:
             """With the letters that a word leaves out."""
@@ -142,7 +156,7 @@ class Automaton:
     def scan(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end (code points), entry and distance of each word that the automaton accepts."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        classes = self.classes[np.minimum(codes, _CODES)]
+        classes = self.classes[codes]
         edge = np.diff((classes > 0).astype(np.int8), prepend=0, append=0)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         state = np.full(len(starts), _START, np.int32)
@@ -252,6 +266,14 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # The drawn labels are 2 * per_class rows at most, so they can go to every task.
     sample = materialize(texts.join(F.broadcast(materialize(drawn, "labels")), "doc_id").select("text", "toxic"), "labelled")
+    drawn = sample.count()
+    if drawn > 2 * per_class:
+        # Several rows share a drawn id; their texts are drawn again, so that the sample stays in bounds.
+        sample = sample.where(F.pmod(F.xxhash64("text", "toxic", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(2 * per_class / drawn * (1 << 30)))
+    # Of near copies one counts: else whatever words a much copied text has would be telling.
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    sketch = F.xxhash64(F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, SKETCH))
+    sample = materialize(sample.withColumn("sketch", sketch).dropDuplicates(["sketch", "toxic"]).drop("sketch"), "labelled")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     share = (toxic / (toxic + clean)) if toxic + clean else 0.0
@@ -271,7 +293,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int =
     least = max(3, toxic // 1000)
     counted = sample.mapInArrow(count, "text string, stem boolean, c long, t long").groupBy("text", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
-    counts = counted.where((F.col("t") >= least) & (odds >= MIN_RATIO)).orderBy(F.desc(F.log(odds) * F.col("t")), "text", "stem").limit(50 * lexicon).collect()
+    total, part = F.col("t") + F.col("c"), toxic / (toxic + clean)
+    telling = sum((F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (total * s))).otherwise(0.0) for n, s in (("t", part), ("c", 1 - part))), F.lit(0.0))  # g2() / 2
+    # The most telling ones, many times the lexicon's size, so that overlaps can be left out.
+    counts = counted.where((F.col("t") >= least) & (odds >= MIN_RATIO)).orderBy(F.desc(telling), "text", "stem").limit(50 * lexicon).collect()
     entries = choose_lexicon([(r.text, r.stem, r.t, r.c) for r in counts], toxic, clean, lexicon)
     if not entries:
         return flat
