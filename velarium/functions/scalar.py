@@ -15,12 +15,15 @@ def split_list(c: Column, separator: str = ",") -> Column:
 
 
 def local_name(c: Column) -> Column:
-    """What follows the last `/` or `#` of an IRI."""
-    return F.element_at(F.split(c, "[/#]"), -1)
+    """The last part of an IRI between `/`, `#` and `:` that isn't empty, decoded; the whole where all are."""
+    parts = F.filter(F.split(c, "[/#:]"), lambda x: x != "")
+    last = F.try_element_at(parts, F.lit(-1))
+    return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last, c)
 
 
 def snake_case(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"))
+    """Humps parted by `_`, which also stands for runs of what is no ASCII letter or digit, but at the ends."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"), "[^a-zA-Z0-9]+", "_"), "^_|_$", ""))
 
 
 def base64url(c: Column) -> Column:
@@ -48,6 +51,23 @@ def fingerprint(c: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(c)), "\n"), 256)
 
 
+def fnv1a_32(c: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's UTF-8 bytes, as a long. A fold over the bytes inside the JVM."""
+    encoded = F.hex(c.cast("binary"))
+    step = lambda h, k: (h.bitwiseXOR(F.conv(F.substring(encoded, k * 2 + 1, F.lit(2)), 16, 10).cast("long")) * F.lit(16777619).cast("long")) % F.lit(1 << 32)
+    places = F.when(F.length(encoded) > 0, F.sequence(F.lit(0), (F.length(encoded) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(2166136261).cast("long"), step)
+
+
+def crc_32(c: Column) -> Column:
+    return F.crc32(c.cast("binary"))
+
+
+def sorted_json(columns: dict[str, Column]) -> Column:
+    """One JSON object of columns, keys in order, null fields kept: equal for equal contents."""
+    return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
 def content_ref(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 

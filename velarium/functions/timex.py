@@ -8,6 +8,7 @@ reference date alone.
 from __future__ import annotations
 
 import calendar
+import re
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -67,12 +68,36 @@ def shift(start: date, granularity: str, k: int) -> date:
     return add_months(start, k * {"MONTH": 1, "QUARTER": 3, "YEAR": 12}[granularity])
 
 
+def in_year(day: date, year: int) -> date:
+    """The same day of another year; the 29th of February is the month's last."""
+    return day.replace(year=year, day=min(day.day, calendar.monthrange(year, day.month)[1]))
+
+
+def preview(rule: TimeRule, today: date, cal: Calendar = Calendar(), holidays: dict[int, tuple[date, date]] | None = None, active: bool = True) -> str:
+    """What a rule means on a day, as text; `disabled` if it isn't active, `no period` where it has none."""
+    if not active:
+        return "disabled"
+    period = resolve(rule, today, cal, holidays)
+    return f"{period[0].isoformat()} to {period[1].isoformat()}" if period else "no period"
+
+
+_PATTERN = re.compile(r"(?:近|last\s*)\s*([0-9]+|N)\s*(?:天|days?)", re.I)
+
+
+def from_pattern(text: str, n: int | None = None, default: int = 30) -> TimeRule:
+    """`last 7 days`, or with a parameter `last N days` (`近N天`), whose value is n or else the default."""
+    match = _PATTERN.fullmatch(text.strip())
+    if not match:
+        raise ValueError(f"not a relative time: {text}")
+    return TimeRule("ROLLING", days=(n or default) if match[1] in "Nn" else int(match[1]))
+
+
 def resolve(rule: TimeRule, today: date, cal: Calendar = Calendar(), holidays: dict[int, tuple[date, date]] | None = None) -> tuple[date, date] | None:
     """None where the rule has no period (a custom rule without dates, a holiday that year doesn't have)."""
     if rule.kind == "CUSTOM":
         return (rule.start, rule.end) if rule.start and rule.end else None
     if rule.kind == "RECURRING":
-        return rule.start.replace(year=today.year), rule.end.replace(year=today.year)
+        return tuple(in_year(d, today.year) for d in (rule.start, rule.end))
     if rule.kind == "HOLIDAY":
         period = (holidays or {}).get(today.year)
         if not period:

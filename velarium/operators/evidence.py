@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +36,112 @@ def candidates(findings_: DataFrame) -> DataFrame:
     return findings_.groupBy("subject").agg(decision.alias("decision"), F.count_if(conflict).alias("n_conflicts"))
 
 
-def pairwise(records: DataFrame, drift: int) -> DataFrame:
-    """subject, predicate, left_root, right_root, relation of what two roots say. Reduced to one row a root first; roots are few."""
-    said = records.groupBy("subject", "predicate", "root").agg(F.min("value").alias("value"), F.bool_and("derived").alias("derived"), F.max("id").alias("id"))
-    a, b = said.alias("a"), said.alias("b")
+#: What two claims say of each other; the first that holds (fixed values).
+RELATIONS = ("UNSUPPORTED", "COMPLEMENTS", "SCOPE_DIFFERENCE", "TEMPORAL_DRIFT", "CORROBORATES", "CONFLICTS")
+
+
+def compare(claims_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """claims (id, subject, predicate, value, scope, effective, kind, n_refs), pairs (left_id, right_id) -> left_id, right_id, relation.
+
+    A claim without evidence, or a GAP, supports nothing. Claims about different things, or of which one is a
+    frozen record that says the same, complement each other. Only claims of one scope and, where both name
+    one, one time corroborate or conflict. Two equi joins; a pair with an unknown claim has no row.
+    """
+    side = lambda n: claims_.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "subject", "predicate", "value", "scope", "effective", "kind", "n_refs")])
+    both = pairs.select("left_id", "right_id").join(side("left"), "left_id").join(side("right"), "right_id")
+    l, r = (lambda c: F.col(f"left_{c}")), (lambda c: F.col(f"right_{c}"))  # noqa: E741
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    same = lambda c: l(c).eqNullSafe(r(c))
     relation = (
-        F.when(F.col("a.derived") | F.col("b.derived"), "UNSUPPORTED")
-        .when(F.col("a.value") == F.col("b.value"), "CORROBORATES")
-        .when(F.abs(F.col("a.id") - F.col("b.id")) > drift, "TEMPORAL_DRIFT")
+        F.when((l("n_refs") == 0) | (r("n_refs") == 0) | (l("kind") == "GAP") | (r("kind") == "GAP"), "UNSUPPORTED")
+        .when(~same("subject") | ~same("predicate"), "COMPLEMENTS")
+        .when(~same("scope"), "SCOPE_DIFFERENCE")
+        .when(given(l("effective")) & given(r("effective")) & ~same("effective"), "TEMPORAL_DRIFT")
+        .when(same("value"), F.when((l("kind") == "FROZEN_RECORD") | (r("kind") == "FROZEN_RECORD"), "COMPLEMENTS").otherwise("CORROBORATES"))
         .otherwise("CONFLICTS")
     )
-    on = (F.col("a.subject") == F.col("b.subject")) & (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.root") < F.col("b.root"))
-    return a.join(b, on).select("a.subject", "a.predicate", F.col("a.root").alias("left_root"), F.col("b.root").alias("right_root"), relation.alias("relation"))
+    return both.select("left_id", "right_id", relation.alias("relation"))
+
+
+def decide(claims_: DataFrame) -> DataFrame:
+    """subject, predicate, value: of the values at issue the one with most evidence; of several, the first in order."""
+    best = F.min(F.struct((-F.col("n")).alias("o"), F.col("value"))).alias("b")
+    return claims_.groupBy("subject", "predicate").agg(best).select("subject", "predicate", "b.value")
+
+
+def validate(records: DataFrame, upstream: DataFrame) -> DataFrame:
+    """records (id, checksum, own, locator, graph, subject, predicate), upstream (id, source) -> code, id of what is wrong.
+
+    own is the checksum computed anew; an RDF locator names a graph, a subject and a predicate.
+    """
+    from velarium.operators.modelcheck import reaches_cycle
+
+    code = lambda df, name: df.select(F.lit(name).alias("code"), F.col("id").cast("long").alias("id"))
+    missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    known = records.select(F.col("id").alias("source")).distinct()
+    found = [
+        code(records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "DUPLICATE_ID"),
+        code(records.where(~F.col("checksum").eqNullSafe(F.col("own"))), "BAD_CHECKSUM"),
+        code(records.where(missing("locator")), "NO_LOCATOR"),
+        code(records.where((F.col("locator") == "RDF") & (missing("graph") | missing("subject") | missing("predicate"))), "INCOMPLETE_LOCATOR"),
+        code(upstream.join(known, "source", "left_anti"), "MISSING_UPSTREAM"),
+        code(reaches_cycle(upstream.select(F.col("id").alias("a"), F.col("source").alias("b"))).withColumnRenamed("node", "id"), "LINEAGE_CYCLE"),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def normalise(statements: DataFrame, mappings: DataFrame) -> DataFrame:
+    """statements (id, kind, subject_kind, subject, predicate_kind, predicate, value), mappings (rank, predicate, semantic, label) -> id, subject, predicate, label, value.
+
+    A statement is mapped by its predicate's name or meaning, by the mapping of least rank. Quads about literals, or
+    whose predicate is no IRI, and unmapped statements have no row.
+    """
+    keys = mappings.select("rank", "semantic", "label", F.explode(F.array_distinct(F.array("predicate", "semantic"))).alias("predicate"))
+    first = keys.groupBy("predicate").agg(F.min(F.struct("rank", "semantic", "label")).alias("m"))
+    usable = (F.col("kind") == "ASSERTION") | ((F.col("subject_kind") != "LITERAL") & (F.col("predicate_kind") == "IRI"))
+    return statements.where(usable).join(first, "predicate").select("id", "subject", F.col("m.semantic").alias("predicate"), "m.label", F.col("value").cast("string").alias("value"))
+
+
+#: What a subject may be proposed as (fixed values).
+CANDIDATE_KINDS = ("ENTITY", "EVENT", "FIELD", "RELATION", "DIMENSION", "METRIC", "HIERARCHY", "RULE", "TIME_SEMANTIC")
+
+
+def object_candidates(claims_: DataFrame) -> DataFrame:
+    """claims (subject, predicate, value, support) -> object_ref, kind, code, name, owner_ref, status: an object for each subject that claims a kind, and an alias for each name that it also goes by.
+
+    Of several values the first in order counts. An object is RECOMMENDED if all that is said of it has several
+    sources, else to VERIFY; an alias by its own claim.
+    """
+    from velarium.functions.scalar import local_name, snake_case
+
+    of = lambda name: F.min(F.when(F.col("predicate") == name, F.col("value")))
+    firm = F.bool_and(F.col("support") == "MULTI_SOURCE")
+    subjects = claims_.groupBy("subject").agg(of("CANDIDATE_KIND").alias("kind"), of("LABEL").alias("label"), of("DOMAIN").alias("domain"), firm.alias("firm")).where(F.col("kind").isin(*CANDIDATE_KINDS))
+    code, owner = snake_case(local_name(F.col("subject"))), snake_case(local_name(F.col("domain")))
+    own = F.when((F.col("kind") == "FIELD") & owner.isNotNull(), F.concat(F.lit("FIELD:"), owner, F.lit(":"), code)).otherwise(F.concat("kind", F.lit(":"), code))
+    named = subjects.select("subject", "kind", code.alias("code"), own.alias("object_ref"), F.coalesce("label", local_name(F.col("subject"))).alias("name"), F.concat(F.lit("ENTITY:"), owner).alias("owner_ref"), F.when(F.col("firm"), "RECOMMENDED").otherwise("VERIFY").alias("status"))
+    names = ("object_ref", "kind", "code", "name", "owner_ref", "status")
+    alias = claims_.where("predicate = 'ALIAS'").select("subject", F.col("value").alias("alias"), "support").join(named.select("subject", "code", "object_ref"), "subject")
+    aliases = alias.select(
+        F.concat(F.lit("ALIAS:"), "code", F.lit(":"), F.left(F.sha2("alias", 256), F.lit(10))).alias("object_ref"), F.lit("ALIAS").alias("kind"), F.concat("code", F.lit("_alias")).alias("code"),
+        F.col("alias").alias("name"), F.col("object_ref").alias("owner_ref"), F.when(F.col("support") == "MULTI_SOURCE", "RECOMMENDED").otherwise("VERIFY").alias("status"),
+    )
+    return named.select(*names).unionByName(aliases)
+
+
+def compile_package(records: DataFrame) -> dict[str, DataFrame]:
+    """All that follows from evidence records, by name."""
+    own = claims(records)
+    found = findings(own)
+    return {"claims": own, "members": claim_members(records), "findings": found, "candidates": candidates(found), "decisions": decide(own)}
+
+
+def page_of(refs: DataFrame, bodies: DataFrame, after: int, size: int) -> DataFrame:
+    """The next refs (id, checksum) by id with their bodies (id, body): OK, MISMATCH where a body's digest is another, MISSING where there is none. Only the page's rows reach the join."""
+    page = refs.where(F.col("id") > after).orderBy("id").limit(size)
+    digest = F.sha2("body", 256)
+    status = F.when(F.col("body").isNull(), "MISSING").when(digest == F.col("checksum"), "OK").otherwise("MISMATCH")
+    return page.join(bodies, "id", "left").select("id", status.alias("status"))
 
 
 def checksum(*columns: str) -> Column:

@@ -57,15 +57,31 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def roots(upstream: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """upstream (node, source) -> node, root: the sources without a source of their own that each node goes back to, within so many steps."""
-    at = nodes.select("node", F.col("node").alias("root"))
-    up = materialize(upstream.select(F.col("node").alias("__n"), F.col("source").alias("__s")), "upstream")
-    done = []
-    for _ in range(depth):
-        joined = materialize(at.join(up, F.col("root") == F.col("__n"), "left").select("node", "root", "__s").distinct(), "roots")
-        done.append(joined.where("__s IS NULL").select("node", "root"))
-        at = joined.where("__s IS NOT NULL").select("node", F.col("__s").alias("root")).distinct()
-        if at.isEmpty():
+def roots(upstream: DataFrame, nodes: DataFrame) -> DataFrame:
+    """upstream (node, source) -> node, root: the sources without a source of their own that each node goes back to, however far; ways into a cycle have none.
+
+    Only pairs that weren't there go on, so it ends on any graph.
+    """
+    up = materialize(upstream.select(F.col("node").alias("__n"), F.col("source").alias("__s")).distinct(), "upstream")
+    front = seen = materialize(nodes.select("node", F.col("node").alias("root")).distinct(), "roots")
+    while True:
+        step = front.join(up, F.col("root") == F.col("__n")).select("node", F.col("__s").alias("root")).distinct()
+        front = materialize(step.join(seen, ["node", "root"], "left_anti"), "roots")
+        if front.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done).distinct()
+        seen = seen.unionByName(front)
+    return seen.join(up.select(F.col("__n").alias("root")).distinct(), "root", "left_anti").select("node", "root")
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """edges (a, b) -> node: the nodes of cycles of any length, where each node has one edge out at most (as of parents).
+
+    Nodes that nothing leads to, or that lead nowhere, are taken away until none is left to take.
+    """
+    edges, before = materialize(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "cycle"), -1
+    n = edges.count()
+    while n != before:
+        out, into = edges.select(F.col("a").alias("__x")).distinct(), edges.select(F.col("b").alias("__x")).distinct()
+        edges = materialize(edges.join(out, F.col("b") == F.col("__x"), "left_semi").join(into, F.col("a") == F.col("__x"), "left_semi"), "cycle")
+        before, n = n, edges.count()
+    return edges.select(F.col("a").alias("node")).distinct()

@@ -63,10 +63,94 @@ def ev_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.findings(E.claims(records(spark, sf_dir))).groupBy("subject").agg(F.count_if(F.col("n_values") == 1).alias("agreements"), F.count_if(F.col("n_values") > 1).alias("issues"), severity.alias("severity"))
 
 
-@query(f"WITH r AS ({_REC}), k AS (SELECT subject, predicate, root, min(value) AS value, bool_and(derived) AS derived, max(id) AS id FROM r GROUP BY 1, 2, 3) SELECT a.subject, a.predicate, a.root AS left_root, b.root AS right_root, CASE WHEN a.derived OR b.derived THEN 'UNSUPPORTED' WHEN a.value = b.value THEN 'CORROBORATES' WHEN abs(a.id - b.id) > 1000 THEN 'TEMPORAL_DRIFT' ELSE 'CONFLICTS' END AS relation FROM k a JOIN k b ON a.subject = b.subject AND a.predicate = b.predicate AND a.root < b.root")
+_CLAIMED = {"id": "p_partkey", "subject": "concat('s', p_partkey % 3)", "predicate": "concat('p', p_partkey % 2)", "value": "concat('v', p_size % 2)", "scope": "concat('c', floor(p_partkey / 6) % 2)", "effective": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('d', floor(p_partkey / 12) % 2) END", "kind": "CASE WHEN p_partkey % 11 = 0 THEN 'GAP' WHEN p_partkey % 7 = 0 THEN 'FROZEN_RECORD' ELSE 'SOURCE' END", "n_refs": "p_partkey % 13"}
+_STEPS = (1, 6, 12, 24)
+
+
+@query(f"""WITH c AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _CLAIMED.items())} FROM part), l AS (SELECT a.id AS left_id, b.id AS right_id FROM c a, c b WHERE b.id - a.id IN {_STEPS})
+    SELECT left_id, right_id, CASE WHEN a.n_refs * b.n_refs = 0 OR 'GAP' IN (a.kind, b.kind) THEN 'UNSUPPORTED' WHEN (a.subject, a.predicate) <> (b.subject, b.predicate) THEN 'COMPLEMENTS' WHEN a.scope <> b.scope THEN 'SCOPE_DIFFERENCE'
+    WHEN coalesce(a.effective <> b.effective, false) THEN 'TEMPORAL_DRIFT' WHEN a.value <> b.value THEN 'CONFLICTS' WHEN 'FROZEN_RECORD' IN (a.kind, b.kind) THEN 'COMPLEMENTS' ELSE 'CORROBORATES' END AS relation
+    FROM l JOIN c a ON a.id = left_id JOIN c b ON b.id = right_id""")
 def ev_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of the same subject and predicate from different roots; there are four roots."""
-    return E.pairwise(records(spark, sf_dir), drift=1000)
+    """What given pairs of claims say of each other."""
+    claimed = table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {c}" for c, e in _CLAIMED.items()])
+    pairs = claimed.select(F.col("id").alias("left_id"), F.explode(F.array(*[F.col("id") + k for k in _STEPS])).alias("right_id"))
+    return E.compare(claimed, pairs)
+
+
+_STORED = {"id": "CASE WHEN p_partkey % 31 = 0 THEN p_partkey - 1 ELSE p_partkey END", "checksum": "CASE WHEN p_partkey % 23 = 0 THEN 'bad' WHEN p_partkey % 46 = 1 THEN NULL ELSE p_name END", "own": "p_name", "locator": "CASE WHEN p_partkey % 29 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'RDF' ELSE 'ROW' END", "graph": "CASE WHEN p_partkey % 37 = 0 THEN '' ELSE 'g' END", "subject": "p_brand", "predicate": "CASE WHEN p_partkey % 33 = 0 THEN NULL ELSE p_type END"}
+_SOURCES = "SELECT p_partkey AS id, CASE WHEN p_partkey % 41 = 0 THEN -p_partkey WHEN p_partkey % 47 = 0 THEN p_partkey ELSE CAST(floor(p_partkey / 2) AS BIGINT) END AS source FROM part WHERE p_partkey >= 2"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _STORED.items())} FROM part), u AS ({_SOURCES}), w(a, b) AS (SELECT id, source FROM u UNION SELECT w.a, u.source FROM w JOIN u ON w.b = u.id)
+    SELECT 'DUPLICATE_ID' AS code, id FROM r GROUP BY id HAVING count(*) > 1 UNION SELECT 'BAD_CHECKSUM', id FROM r WHERE checksum IS DISTINCT FROM own UNION SELECT 'NO_LOCATOR', id FROM r WHERE locator IS NULL
+    UNION SELECT 'INCOMPLETE_LOCATOR', id FROM r WHERE locator = 'RDF' AND (graph = '' OR predicate IS NULL) UNION SELECT 'MISSING_UPSTREAM', id FROM u WHERE source NOT IN (SELECT id FROM r) UNION SELECT 'LINEAGE_CYCLE', w.a FROM w JOIN w l ON w.b = l.a AND l.a = l.b UNION SELECT 'LINEAGE_CYCLE', a FROM w WHERE a = b""")
+def ev_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that may not be compiled, and why."""
+    part = table(spark, sf_dir, "part")
+    source = "CASE WHEN p_partkey % 41 = 0 THEN -p_partkey WHEN p_partkey % 47 = 0 THEN p_partkey ELSE p_partkey div 2 END AS source"
+    return E.validate(part.selectExpr(*[f"{e} AS {c}" for c, e in _STORED.items()]), part.where("p_partkey >= 2").selectExpr("p_partkey AS id", source))
+
+
+_SAID = {"id": "p_partkey", "kind": "CASE WHEN p_partkey % 3 = 0 THEN 'ASSERTION' ELSE 'RDF_QUAD' END", "subject_kind": "CASE WHEN p_partkey % 19 = 0 THEN 'LITERAL' ELSE 'IRI' END", "subject": "p_brand", "predicate_kind": "CASE WHEN p_partkey % 17 = 0 THEN 'BLANK' ELSE 'IRI' END", "predicate": "CASE p_partkey % 5 WHEN 0 THEN 'urn:label' WHEN 1 THEN 'LABEL' WHEN 2 THEN 'urn:kind' WHEN 3 THEN 'urn:name' ELSE 'urn:other' END", "value": "p_size"}
+_MAPPED = ((1, "urn:label", "LABEL", "label"), (2, "urn:kind", "CANDIDATE_KIND", "kind"), (3, "urn:name", "LABEL", "name"))
+
+
+@query(f"WITH m(rank, predicate, semantic, label) AS (VALUES {', '.join(map(str, _MAPPED))}), s AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _SAID.items())} FROM part), h AS (SELECT s.*, semantic, label, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM s JOIN m ON s.predicate IN (m.predicate, m.semantic) WHERE kind = 'ASSERTION' OR (subject_kind <> 'LITERAL' AND predicate_kind = 'IRI')) SELECT id, subject, semantic AS predicate, label, CAST(value AS VARCHAR) AS value FROM h WHERE k = 1")
+def ev_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads and assertions by the meaning of their predicates."""
+    mappings = spark.createDataFrame(list(_MAPPED), "rank int, predicate string, semantic string, label string")
+    return E.normalise(table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {c}" for c, e in _SAID.items()]), mappings)
+
+
+_SUPPORT = "CASE WHEN p_partkey % {n} = 0 THEN 'SINGLE_SOURCE' ELSE 'MULTI_SOURCE' END"
+_TOLD = " UNION ALL ".join(
+    f"SELECT concat('http://x/SalesObj', p_partkey) AS subject, '{predicate}' AS predicate, {value} AS value, {_SUPPORT.format(n=n)} AS support FROM part WHERE {where}"
+    for predicate, value, n, where in (
+        ("CANDIDATE_KIND", "CASE p_partkey % 4 WHEN 0 THEN 'ENTITY' WHEN 1 THEN 'EVENT' WHEN 2 THEN 'FIELD' ELSE 'OTHER' END", 7, "p_partkey % 9 <> 0"), ("LABEL", "p_name", 11, "p_partkey % 3 <> 0"),
+        ("ALIAS", "concat('alias ', p_partkey % 7)", 5, "p_partkey % 5 < 2"), ("ALIAS", "p_type", 5, "p_partkey % 10 = 0"), ("DOMAIN", "concat('urn:a:OrderLine#Of-', p_partkey % 5)", 13, "p_partkey % 4 = 2 AND p_partkey % 12 <> 2"),
+    )
+)
+_LOCAL = "list_filter(regexp_split_to_array({c}, '[/#:]'), lambda x: x <> '')[-1]"
+_SNAKE = "lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '_'))"
+_CODE, _OWNER = _SNAKE.format(c=_LOCAL.format(c="subject")), _SNAKE.format(c=_LOCAL.format(c="domain"))
+
+
+@query(f"""WITH t AS ({_TOLD}), g AS (SELECT subject, min(value) FILTER (predicate = 'CANDIDATE_KIND') AS kind, min(value) FILTER (predicate = 'LABEL') AS label, min(value) FILTER (predicate = 'DOMAIN') AS domain, bool_and(support = 'MULTI_SOURCE') AS firm FROM t GROUP BY 1),
+    o AS (SELECT subject, kind, {_CODE} AS code, CASE WHEN kind = 'FIELD' AND domain IS NOT NULL THEN 'FIELD:' || {_OWNER} || ':' || {_CODE} ELSE kind || ':' || {_CODE} END AS object_ref, coalesce(label, {_LOCAL.format(c="subject")}) AS name, 'ENTITY:' || {_OWNER} AS owner_ref, CASE WHEN firm THEN 'RECOMMENDED' ELSE 'VERIFY' END AS status FROM g WHERE kind <> 'OTHER')
+    SELECT object_ref, kind, code, name, owner_ref, status FROM o UNION ALL SELECT 'ALIAS:' || code || ':' || left(sha256(value), 10), 'ALIAS', code || '_alias', value, object_ref, CASE WHEN support = 'MULTI_SOURCE' THEN 'RECOMMENDED' ELSE 'VERIFY' END FROM t JOIN o USING (subject) WHERE predicate = 'ALIAS'""")
+def ev_alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and their aliases, proposed from claims."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("__told_part")
+    return E.object_candidates(spark.sql(_TOLD.replace(" FROM part ", " FROM __told_part ")))
+
+
+_STRATEGIES = (("ECONOMY", "TAKE_PRIMARY", 1), ("PROMO", "ASK_OWNER", 2), ("STANDARD", "TAKE_LATEST", 1))
+
+
+@query(f"{_WITH}, s(word, strategy, priority) AS (VALUES {', '.join(map(str, _STRATEGIES))}) SELECT subject, predicate, coalesce(strategy, 'ASK_OWNER') AS strategy, coalesce(priority, 9) AS priority FROM f LEFT JOIN s ON word = split_part(predicate, ' ', 1) WHERE status = 'CONFLICT'")
+def ev_conflict_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts with what is to be done about their sort; unlisted ones go to the owner."""
+    known = spark.createDataFrame(list(_STRATEGIES), "word string, strategy string, priority int")
+    found = E.findings(E.claims(records(spark, sf_dir))).where("status = 'CONFLICT'").withColumn("word", F.element_at(F.split("predicate", " "), 1))
+    return found.join(known, "word", "left").select("subject", "predicate", F.coalesce("strategy", F.lit("ASK_OWNER")).alias("strategy"), F.coalesce("priority", F.lit(9)).alias("priority"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN 'MISSING' WHEN p_partkey % 5 = 0 THEN 'MISMATCH' ELSE 'OK' END AS status FROM part WHERE p_partkey > 40 ORDER BY p_partkey LIMIT 25")
+def ev_page_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of evidence whose bodies are checked against the index."""
+    part = table(spark, sf_dir, "part")
+    refs = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, F.lit("other")).otherwise(F.sha2("p_name", 256)).alias("checksum"))
+    return E.page_of(refs, part.where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("body")), after=40, size=25)
+
+
+@query("SELECT 'i' || i AS issue, 'root' || p_partkey % 4 AS root, string_agg(p_partkey, ',' ORDER BY p_partkey) AS ids FROM part, (VALUES (0), (1)) k(k), LATERAL (SELECT CASE k WHEN 0 THEN p_partkey % 5 ELSE 10 + p_partkey % 3 END AS i) GROUP BY 1, 2")
+def ev_issue_root_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From issues and roots to evidence."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(key.alias("id"), F.array(key % 5, 10 + key % 3).alias("issues"), F.array(F.concat(F.lit("root"), (key % 4).cast("string"))).alias("roots"))
+    exploded = rows.select("id", F.explode("issues").alias("i"), "roots").select("id", F.concat(F.lit("i"), F.col("i").cast("string")).alias("issue"), F.explode("roots").alias("root"))
+    return exploded.groupBy("issue", "root").agg(F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(f"{_WITH} SELECT r.id, CASE WHEN r.id % 13 = 0 THEN 'EXCLUDED_GAP' WHEN f.status IN ('CONFLICT', 'DERIVED') THEN 'EXCLUDED_UNCERTAIN' ELSE 'ELIGIBLE' END AS eligibility FROM r LEFT JOIN f USING (subject, predicate)")
@@ -82,8 +166,7 @@ def ev_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_WITH}, w AS (SELECT subject, predicate, value, row_number() OVER (PARTITION BY subject, predicate ORDER BY n DESC, value) AS k FROM c) SELECT subject, predicate, value FROM w WHERE k = 1")
 def ev_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreements as they are; of the values at issue, the one with most evidence."""
-    best = F.max(F.struct(F.col("n"), F.translate("value", "012", "210").alias("o"), F.col("value"))).alias("b")
-    return E.claims(records(spark, sf_dir)).groupBy("subject", "predicate").agg(best).select("subject", "predicate", "b.value")
+    return E.decide(E.claims(records(spark, sf_dir)))
 
 
 @query(f"WITH r AS ({_REC}) SELECT id, CASE WHEN id % 17 = 0 THEN 'EXCLUDED' WHEN id % 19 = 0 THEN 'DEFERRED' WHEN derived THEN 'CANDIDATE_ONLY' ELSE 'KEEP' END AS resolution FROM r WHERE NOT (id % 17 = 0 AND derived)")
@@ -113,11 +196,11 @@ def ev_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("subject").agg(F.count_distinct("e.root").alias("n_roots"), F.count_distinct("e.id").alias("n_evidence"), F.count_distinct("predicate").alias("k")).where("k >= 2").drop("k")
 
 
-@query(f"WITH r AS ({_REC}), s AS (SELECT subject, root, count(*) AS n, min(id) AS one FROM r WHERE id <= 300 GROUP BY 1, 2) SELECT subject, root, CASE WHEN n = 1 THEN one END AS bound, n = 1 AS unique_binding FROM s")
+@query(f"WITH r AS ({_REC}), s AS (SELECT subject, predicate, root, count(*) AS n, min(id) AS one FROM r GROUP BY 1, 2, 3) SELECT subject, predicate, root, CASE WHEN n = 1 THEN one END AS bound, n = 1 AS unique_binding FROM s")
 def ev_slot_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A role of a subject is bound if one record alone has it."""
-    slots = records(spark, sf_dir).where("id <= 300").groupBy("subject", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
-    return slots.select("subject", "root", F.when(F.col("n") == 1, F.col("one")).alias("bound"), (F.col("n") == 1).alias("unique_binding"))
+    """A role (predicate and root) of a subject is bound if one record alone has it."""
+    slots = records(spark, sf_dir).groupBy("subject", "predicate", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
+    return slots.select("subject", "predicate", "root", F.when(F.col("n") == 1, F.col("one")).alias("bound"), (F.col("n") == 1).alias("unique_binding"))
 
 
 @query("SELECT command, min(event_id) AS first_event, count(DISTINCT event_type) > 1 AS mismatch FROM (SELECT user_id * 100 + event_id % 10 AS command, event_id, event_type FROM events) GROUP BY 1")

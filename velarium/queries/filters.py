@@ -48,10 +48,12 @@ def filter_tree_keeps_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.union(found.select("r_name", F.lit(None).cast("string"))).distinct()
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE event_id <= 5000 GROUP BY 1 HAVING count(*) >= 8")
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY 1 HAVING count(*) >= 4")
 def filter_revision_having(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows up to a revision; groups that are large enough."""
-    return table(spark, sf_dir, "events").where("event_id <= 5000").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    """Rows up to a revision (here the middle one); groups that are large enough."""
+    events = table(spark, sf_dir, "events")
+    revision = events.agg(F.expr("max(event_id) div 2").alias("revision"))  # one row
+    return events.join(F.broadcast(revision), F.col("event_id") <= F.col("revision")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
 
 
 _NULLS = "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC NULLS LAST, p_partkey) AS place FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_size END AS p_size FROM part)"

@@ -18,7 +18,7 @@ def fn_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"SELECT page_id, list_last(regexp_split_to_array(url, '[/#]')) AS name, url_encode(url) AS encoded, url_decode(url_encode(url)) = url AS back, '/' || trim(regexp_replace(split_part(url, '://', 2), '/+', '/', 'g'), '/') AS route FROM pages")
+@query(r"SELECT page_id, url_decode(replace(list_filter(regexp_split_to_array(url, '[/#:]'), lambda x: x <> '')[-1], '+', '%2B')) AS name, url_encode(url) AS encoded, url_decode(url_encode(url)) = url AS back, '/' || trim(regexp_replace(split_part(url, '://', 2), '/+', '/', 'g'), '/') AS route FROM pages")
 def fn_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = F.regexp_replace(F.regexp_replace(F.url_encode("url"), "\\+", "%20"), "%7E", "~")
     rest = F.element_at(F.split("url", "://"), 2)

@@ -80,7 +80,7 @@ _RING = "SELECT s_suppkey AS a, CASE WHEN s_suppkey % 6 = 5 THEN s_suppkey - 4 E
 def hier_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members on a cycle of parents."""
     e = table(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("a"), F.when(F.col("s_suppkey") % 6 == 5, F.col("s_suppkey") - 4).otherwise(F.col("s_suppkey") + 1).alias("b"))
-    return H.walk(e, e.select(F.col("a").alias("node")), 8).where("cycle AND node = start").select("node").distinct()
+    return H.on_cycle(e)
 
 
 _UP = "SELECT s_suppkey AS node, s_suppkey // 2 AS source FROM supplier WHERE s_suppkey >= 2 AND s_suppkey % 7 <> 0 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey >= 3 AND s_suppkey % 7 <> 0"
@@ -94,7 +94,7 @@ def upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE u AS ({_UP}), w(node, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT w.node, u.source FROM w JOIN u ON u.node = w.root) SELECT node, root FROM w WHERE root NOT IN (SELECT node FROM u)")
 def lineage_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.roots(upstream(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), 18)
+    return H.roots(upstream(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")))
 
 
 @query(f"WITH RECURSIVE u AS ({_UP}), w(node, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT w.node, u.source FROM w JOIN u ON u.node = w.root) SELECT node, count(DISTINCT root) AS n_roots FROM w WHERE root NOT IN (SELECT node FROM u) GROUP BY 1")
@@ -110,8 +110,12 @@ def lineage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upstream(spark, sf_dir).join(known, "source", "left_anti").select("node", "source")
 
 
-@query(f"WITH e AS ({_EDGES}), k AS (SELECT a, count(DISTINCT b) AS n FROM e GROUP BY 1) SELECT s_suppkey, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'STATIC' END AS status FROM supplier LEFT JOIN k ON a = s_suppkey")
+@query(f"WITH e AS ({_EDGES}), k AS (SELECT a, count(DISTINCT b) AS n FROM e GROUP BY 1) SELECT s_suppkey, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN s_suppkey % 9 = 4 THEN 'CYCLE' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'STATIC' END AS status FROM supplier LEFT JOIN k ON a = s_suppkey")
 def include_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each fragment's include leads to one other, to several, nowhere, or back to itself."""
+    own = table(spark, sf_dir, "supplier")
+    includes = own.select(F.col("s_suppkey").alias("a"), F.when(F.col("s_suppkey") % 9 == 4, F.col("s_suppkey")).otherwise(-F.col("s_suppkey") - 1).alias("b"))
     counts = edges(spark, sf_dir).groupBy("a").agg(F.count_distinct("b").alias("n"))
-    status = F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("n") > 1, "AMBIGUOUS").otherwise("STATIC")
-    return table(spark, sf_dir, "supplier").join(counts, F.col("a") == F.col("s_suppkey"), "left").select("s_suppkey", status.alias("status"))
+    circular = H.on_cycle(includes).select(F.col("node").alias("__c"))
+    status = F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("__c").isNotNull(), "CYCLE").when(F.col("n") > 1, "AMBIGUOUS").otherwise("STATIC")
+    return own.join(counts, F.col("a") == F.col("s_suppkey"), "left").join(circular, F.col("__c") == F.col("s_suppkey"), "left").select("s_suppkey", status.alias("status"))

@@ -90,10 +90,10 @@ def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("alias")).agg(F.count_distinct("p_brand").alias("n_targets")).where("n_targets > 1")
 
 
-@query("WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_partkey <= 200) SELECT word, count(DISTINCT p_partkey) AS n_rules FROM w GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
+@query("WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT word, count(DISTINCT p_partkey) AS n_rules FROM w GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
 def join_trigger_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigger words that several rules share."""
-    words = table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
     return words.groupBy("word").agg(F.count_distinct("p_partkey").alias("n_rules")).where("n_rules > 1")
 
 

@@ -51,7 +51,7 @@ MODEL: dict[str, list[tuple[str, dict[str, str], str]]] = {
     "hierarchy_values": [("customer", {"id": _c, "attribute": f"{_pid} * 10 + 2", "level": f"CASE WHEN {_c} % 41 = 0 THEN 99 ELSE {_pid} * 100 + {_depth} END", "parent": f"CASE WHEN {_depth} > 1 OR {_c} % 12 = 3 THEN {_c} - 40 END"}, f"{_pid} % 4 = 0 AND {_c} % 53 <> 0")],
     "levelled_values": [("customer", {"id": _c, "attribute": f"{_pid} * 10 + 2", "depth": _depth, "level_parent": f"{_pid} * 100 + {_depth} - 1", "parent": f"CASE WHEN {_depth} > 1 THEN {_c} - 40 END"}, f"{_pid} % 4 = 0 AND {_pid} % 24 <> 0 AND {_c} % 41 <> 0 AND {_c} % 53 <> 0")],
     "value_edges": [("customer", {"a": _c, "b": f"CASE WHEN {_c} % 45 = 7 THEN {_c} + 30 ELSE {_c} - 15 END"}, f"{_c} > 15 OR {_c} % 45 = 7")],
-    "rules": [("customer", {"id": _c, "code": f"CASE WHEN {_c} % 62 = 0 THEN '' WHEN {_c} % 33 = 0 THEN concat('B', {_c} - 1) ELSE concat('B', {_c}) END", "name": f"CASE WHEN {_c} % 34 = 0 THEN '' ELSE 'rule' END", "mode": f"CASE {_c} % 4 WHEN 0 THEN 'COMPARISON' WHEN 1 THEN 'FILTER' WHEN 2 THEN 'EXISTENCE' ELSE 'COMPOSITE' END", "target_type": f"CASE WHEN {_c} % 4 = 0 AND {_c} % 20 <> 0 THEN 'METRIC' WHEN {_c} % 21 = 0 THEN 'METRIC' ELSE 'ENTITY' END", "target": f"{_c} % 2", "metric": f"CASE WHEN {_c} % 24 = 0 THEN NULL WHEN {_c} % 28 = 0 THEN -5 ELSE 1 + {_c} % 190 END", "threshold_source": f"CASE WHEN {_c} % 8 = 0 THEN 'CONSTANT' ELSE 'METRIC_TARGET' END", "threshold": _null(_c, 16, "10"), "ratio": f"CASE WHEN {_c} % 12 = 0 THEN NULL WHEN {_c} % 44 = 0 THEN 0 ELSE 1 END", "entity": f"CASE WHEN {_c} % 13 = 0 THEN NULL ELSE 1 + {_c} % 100 END", "event": f"CASE WHEN {_c} % 14 = 0 THEN NULL WHEN {_c} % 22 = 0 THEN 1 ELSE 3 * (1 + {_c} % 60) END", "opposite": f"CASE WHEN {_c} % 5 = 0 THEN {_c} + 3 WHEN {_c} % 27 = 0 THEN -{_c} END", "status": f"CASE WHEN {_c} % 7 = 0 THEN 'DRAFT' ELSE 'PUBLISHED' END"}, "true")],
+    "rules": [("customer", {"id": _c, "code": f"CASE WHEN {_c} % 62 = 0 THEN '' WHEN {_c} % 33 = 0 THEN concat('B', {_c} - 1) ELSE concat('B', {_c}) END", "name": f"CASE WHEN {_c} % 34 = 0 THEN '' ELSE 'rule' END", "mode": f"CASE {_c} % 4 WHEN 0 THEN 'COMPARISON' WHEN 1 THEN 'FILTER' WHEN 2 THEN 'EXISTENCE' ELSE 'COMPOSITE' END", "target_type": f"CASE WHEN {_c} % 4 = 0 AND {_c} % 20 <> 0 THEN 'METRIC' WHEN {_c} % 21 = 0 THEN 'METRIC' ELSE 'ENTITY' END", "target": f"{_c} % 2", "metric": f"CASE WHEN {_c} % 24 = 0 THEN NULL WHEN {_c} % 28 = 0 THEN -5 ELSE {_c} % 190 END", "threshold_source": f"CASE WHEN {_c} % 8 = 0 THEN 'CONSTANT' ELSE 'METRIC_TARGET' END", "threshold": _null(_c, 16, "10"), "ratio": f"CASE WHEN {_c} % 12 = 0 THEN NULL WHEN {_c} % 44 = 0 THEN 0 ELSE 1 END", "entity": f"CASE WHEN {_c} % 13 = 0 THEN NULL ELSE 1 + {_c} % 100 END", "event": f"CASE WHEN {_c} % 14 = 0 THEN NULL WHEN {_c} % 22 = 0 THEN 1 ELSE 3 * (1 + {_c} % 60) END", "opposite": f"CASE WHEN {_c} % 5 = 0 THEN {_c} + 3 WHEN {_c} % 27 = 0 THEN -{_c} END", "status": f"CASE WHEN {_c} % 7 = 0 THEN 'DRAFT' ELSE 'PUBLISHED' END"}, "true")],
     "existence_rules": [("customer", {"id": _c, "event": f"3 * (1 + {_c} % 60)"}, f"{_c} % 4 = 2 AND {_c} % 14 <> 0 AND {_c} % 22 <> 0")],
     "rule_conditions": [("customer", {"rule": _c, "entity": f"1 + {_c} % 100", "attribute": f"(1 + {_c} % 100) * 10 + CASE WHEN {_c} % 25 = 0 THEN 10 ELSE 2 END", "op": f"CASE WHEN {_c} % 10 = 1 THEN 'NOT_NULL' ELSE 'EQ' END", "n_values": f"{_c} % 3"}, f"{_c} % 4 = 1 AND {_c} % 17 <> 0")],
     "rule_components": [("customer", {"rule": _c, "component": f"CASE WHEN {_c} % 23 = 0 THEN {_c} WHEN {_c} % 19 = 0 THEN -{_c} WHEN {_c} % 15 = 0 THEN {_c} - 4 ELSE {_c} - 2 END"}, f"{_c} % 4 = 3 AND {_c} % 26 <> 3")],

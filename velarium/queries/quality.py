@@ -73,12 +73,12 @@ def dq_value_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.failing(on_cycle, "VALUE_CYCLE", "node", F.lit(True), F.when(F.col("node") % 6 == 5, F.col("node") - 4).otherwise(F.col("node") + 1))
 
 
-_TRIG = "SELECT p_partkey AS rule, unnest(string_split(lower(p_name), ' ')) AS word, p_partkey % 3 <> 0 AS active FROM part WHERE p_partkey <= 500"
+_TRIG = "SELECT p_partkey AS rule, unnest(string_split(lower(p_name), ' ')) AS word, p_partkey % 3 <> 0 AS active FROM part"
 
 
 @query(f"SELECT 'TRIGGER_WORD_CONFLICT' AS code, word AS key, CAST(count(DISTINCT rule) AS VARCHAR) AS detail FROM ({_TRIG}) WHERE active GROUP BY word HAVING count(DISTINCT rule) > 1")
 def dq_trigger_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "part").where("p_partkey <= 500 AND p_partkey % 3 <> 0").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    words = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
     return Q.ambiguous(words, "TRIGGER_WORD_CONFLICT", "word", "p_partkey")
 
 
