@@ -7,6 +7,7 @@ Spark, by their size at run time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date, timedelta
 
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from velarium.functions import formula
 from velarium.functions.conditions import combine
+from velarium.operators.ranking import medians
 from velarium.plans.catalog import STAR, legal_operators
-from velarium.plans.model import BasicMetric, Catalog, CompositeMetric, Condition
+from velarium.plans.model import BasicMetric, Catalog, CompositeMetric, Condition, Object
 from velarium.plans.paths import fans_out, find_path
 from velarium.session import table
 
@@ -26,10 +28,33 @@ def normalize_operator(name: str) -> str:
     return {"COUNTDISTINCT": "COUNT_DISTINCT"}.get(name.lstrip("$").upper(), name.lstrip("$").upper())
 
 
-def scan(spark: SparkSession, sf_dir: str, catalog: Catalog, code: str, prefix: str = "") -> DataFrame:
+#: Functions that a physical expression may call; others, subqueries and several statements are refused.
+ALLOWED = frozenset("abs ceil floor round coalesce nullif ifnull greatest least cast case when then else end and or not in is null between like if concat concat_ws lower upper trim ltrim rtrim length substring substr replace split_part date date_add date_trunc to_date year quarter month day hour datediff unix_timestamp true false interval".split())
+
+
+def check_transform(expression: str) -> None:
+    """Refuses what isn't a scalar expression over columns, literals, operators and ALLOWED functions."""
+    bare = re.sub(r"'(?:[^']|'')*'", "''", expression)
+    if re.search(r";|--|/\*|\b(?:select|from|with|insert|delete|update|drop|reflect|java_method|try_reflect)\b", bare, re.I):
+        raise ValueError(f"not a scalar expression: {expression}")
+    for name in re.findall(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", bare):
+        if name.lower() not in ALLOWED and not name.lower().startswith(("decimal", "varchar")):
+            raise ValueError(f"{name} isn't allowed in an expression")
+
+
+def physical_table(thing: Object, preferred: tuple[str, ...] = ()) -> str:
+    """Of an object's physical tables, that of the first preferred source that it has; else its own."""
+    others = dict(thing.physical)
+    return next((others[p] for p in preferred if p in others), thing.table)
+
+
+def scan(spark: SparkSession, sf_dir: str, catalog: Catalog, code: str, prefix: str = "", preferred: tuple[str, ...] = ()) -> DataFrame:
     """An object's attributes, by their transforms, over its physical table. Unused ones are pruned from the scan."""
     thing = catalog.objects[code]
-    return table(spark, sf_dir, thing.table).select(*[(F.expr(a.transform) if a.transform else F.col(a.code)).alias(prefix + a.code) for a in thing.attributes])
+    for a in thing.attributes:
+        if a.transform:
+            check_transform(a.transform)
+    return table(spark, sf_dir, physical_table(thing, preferred)).select(*[(F.expr(a.transform) if a.transform else F.col(a.code)).alias(prefix + a.code) for a in thing.attributes])
 
 
 def with_dimensions(df: DataFrame, spark: SparkSession, sf_dir: str, catalog: Catalog, event: str, dimensions: Iterable[str]) -> DataFrame:
@@ -62,11 +87,10 @@ def dimension_name(dimension: str) -> str:
     return (role + "_" if role else "") + rest.partition(".")[2]
 
 
-def aggregate(metric: BasicMetric, catalog: Catalog) -> Column:
-    """The metric as an aggregate over its event's rows; conditions guard its input."""
-    operator = normalize_operator(metric.operator)
+def guarded(metric: BasicMetric, catalog: Catalog) -> Column:
+    """The metric's input: its attribute (or 1) where its conditions hold, else NULL."""
     if metric.attribute:
-        attribute = catalog.objects[metric.event].attribute(metric.attribute)
+        attribute, operator = catalog.objects[metric.event].attribute(metric.attribute), normalize_operator(metric.operator)
         if operator not in legal_operators(attribute):
             raise ValueError(f"{operator} isn't allowed on {attribute.code}")
     for c in metric.conditions:
@@ -75,8 +99,13 @@ def aggregate(metric: BasicMetric, catalog: Catalog) -> Column:
     value = F.col(metric.attribute) if metric.attribute else F.lit(1)
     if metric.conditions:
         value = F.when(combine(metric.conditions, metric.logic), value)
-    function = {"SUM": F.sum, "AVG": F.avg, "COUNT": F.count, "COUNT_DISTINCT": F.count_distinct, "MAX": F.max, "MIN": F.min, "MEDIAN": F.median}[operator]
-    return function(value).alias(metric.code)
+    return value
+
+
+def aggregate(metric: BasicMetric, catalog: Catalog) -> Column:
+    """The metric as an aggregate over its event's rows. Medians aren't (see ranking.medians): they need more than a partial state."""
+    function = {"SUM": F.sum, "AVG": F.avg, "COUNT": F.count, "COUNT_DISTINCT": F.count_distinct, "MAX": F.max, "MIN": F.min}[normalize_operator(metric.operator)]
+    return function(guarded(metric, catalog)).alias(metric.code)
 
 
 def compute(
@@ -95,7 +124,14 @@ def compute(
             time = F.col(catalog.objects[event].default_time)
             df = df.where((time >= F.lit(period[0])) & (time < F.lit(period[1] + timedelta(days=1))))
         df = with_dimensions(df, spark, sf_dir, catalog, event, dimensions).where(combine(where))
-        part = df.groupBy(*names).agg(*[aggregate(m, catalog) for m in basic if m.event == event])
+        own = [m for m in basic if m.event == event]
+        ranked = [m for m in own if normalize_operator(m.operator) == "MEDIAN"]
+        part = df.groupBy(*names).agg(*[aggregate(m, catalog) for m in own if m not in ranked], *([F.count(F.lit(1)).alias("__rows")] if ranked else []))
+        for m in ranked:
+            found = medians(df.withColumn("__value", guarded(m, catalog)), names, "__value", m.code)
+            part = join_on_keys(part, found, names) if names else part.join(F.broadcast(found), F.lit(True), "left")  # one row each
+        if ranked:
+            part = part.drop("__rows")
         if out is None:
             out = part
         elif names:

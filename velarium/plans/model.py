@@ -29,6 +29,8 @@ class Object:
     key: tuple[str, ...]
     attributes: tuple[Attribute, ...]
     default_time: str = ""
+    #: Other physical tables, by the source that has them (say a warehouse beside the table of operations).
+    physical: tuple[tuple[str, str], ...] = ()
 
     def attribute(self, code: str) -> Attribute:
         for a in self.attributes:

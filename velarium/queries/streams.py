@@ -10,8 +10,8 @@ from velarium.session import table
 from velarium.streaming import streams as S
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.read_events(spark, f"{sf_dir}/events.parquet")
+def _events(spark: SparkSession, sf_dir: str, closed: bool = False) -> DataFrame:
+    return S.read_events(spark, f"{sf_dir}/events.parquet", closed=closed)
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -21,23 +21,32 @@ def _plain(df: DataFrame) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(S.run_now(S.tumbling(_events(spark, sf_dir), "6 hours"), "complete"))
+    return _plain(S.run_now(S.tumbling(_events(spark, sf_dir, closed=True), "6 hours")))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 1 DAY AS start, event_type, count(*) AS n FROM events, range(0, 3) t(k) GROUP BY 1, 2")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(S.run_now(S.sliding(_events(spark, sf_dir), "3 days", "1 day"), "complete"))
+    return _plain(S.run_now(S.sliding(_events(spark, sf_dir, closed=True), "3 days", "1 day")))
 
 
 @query("WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM events), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(S.run_now(S.sessions(_events(spark, sf_dir), "12 hours"), "complete"))
+    return _plain(S.run_now(S.sessions(_events(spark, sf_dir, closed=True), "12 hours")))
 
 
-@query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
+@query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of each (user, type); appends what wasn't there."""
-    return S.run_now(_events(spark, sf_dir).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"))
+    """A log that is delivered twice is appended once; ids are kept for as long as late events may come."""
+    log = _events(spark, sf_dir)
+    twice = log.unionByName(_events(spark, sf_dir))
+    return S.run_now(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 1 DAY AS start, user_id, count(*) AS n FROM events, range(0, 30) t(k) WHERE event_type = 'error' GROUP BY 1, 2")
+def stream_rolling_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events of one sort in the thirty days from each day."""
+    events = _events(spark, sf_dir, closed=True).where("event_type IN ('error', 'end')")
+    return _plain(S.run_now(S.rolling_by_user(events, "30 days", "1 day")))
 
 
 @query("SELECT event_id, user_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'")
@@ -54,12 +63,15 @@ def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_now(views.join(bought, F.expr("u = user_id AND ts >= seen AND ts <= seen + INTERVAL 2 HOURS")).select("view_id", "purchase_id"))
 
 
-@query()
+@query("SELECT * FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed; open ones aren't put out."""
     return _plain(S.run_now(S.tumbling(_events(spark, sf_dir), "1 day"), "append"))
 
 
-@query()
+_MOVES = "WITH a AS (SELECT *, min(CASE WHEN event_type = 'signup' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS one FROM events), b AS (SELECT *, min(CASE WHEN event_type = 'view' AND (ts, event_id) > one THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS two FROM a), c AS (SELECT *, min(CASE WHEN event_type = 'purchase' AND (ts, event_id) > two THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS three FROM b)"
+
+
+@query(f"{_MOVES} SELECT user_id, CASE WHEN max(three) IS NOT NULL THEN 'BUYER' WHEN max(two) IS NOT NULL THEN 'ACTIVE' WHEN max(one) IS NOT NULL THEN 'NEW' END AS state, (max(one) IS NOT NULL)::BIGINT + (max(two) IS NOT NULL)::BIGINT + (max(three) IS NOT NULL)::BIGINT AS n, count(*) FILTER (event_type IN ('signup', 'view', 'purchase')) - n AS broken FROM c GROUP BY user_id")
 def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_now(S.state_machine(_events(spark, sf_dir)), "update")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velarium.operators.ranking import places
 from velarium.registry import query
 from velarium.session import table
 
@@ -73,12 +74,8 @@ def win_attempt_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders")
 def win_global_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A global stable rank without one task that sorts all: counts of the priorities before, and ranks inside each."""
-    orders = table(spark, sf_dir, "orders")
-    sizes = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("o_orderpriority", F.coalesce(F.sum("n").over(W.orderBy("o_orderpriority").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    return orders.select("o_orderkey", "o_orderpriority", inside.alias("k")).join(before, "o_orderpriority").select("o_orderkey", (F.col("before") + F.col("k")).alias("place"))
+    """A global stable rank; no task sorts more than a range of the order."""
+    return places(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority", "o_orderkey"]).select("o_orderkey", "place")
 
 
 @query("SELECT conv_id, bool_and(role <> before OR before IS NULL) AS alternates, count(*) AS n FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1")

@@ -15,13 +15,25 @@ from velarium.session import is_folder, scratch_dir
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
-    """A stream of event files with a watermark. Times without a zone become UTC, as watermarks ask for."""
+#: A time after all others: an event of it moves the watermark past all windows there are.
+END = "9999-01-01 00:00:00"
+
+
+def read_events(spark: SparkSession, path: str, late: str = "1 day", closed: bool = False) -> DataFrame:
+    """A stream of event files with a watermark. Times without a zone become UTC, as watermarks ask for.
+
+    closed: the files are all there will be, so a last event of time END follows. Windows before it end, and are
+    put out in append mode, whose state is only that of open windows; its own never ends.
+    """
     reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1000)
     if not is_folder(spark, path):  # a stream reads folders
         folder, _, name = path.rpartition("/")
         reader, path = reader.option("pathGlobFilter", name), folder
     raw = reader.parquet(path)
+    if closed:
+        tail = f"{scratch_dir(spark)}/stream-end-{uuid.uuid4().hex}"
+        spark.sql(f"SELECT -1L AS event_id, TIMESTAMP_NTZ '{END}' AS ts, -1L AS user_id, 'end' AS event_type, CAST(0 AS DOUBLE) AS value, '' AS props").write.parquet(tail)
+        raw = raw.unionByName(spark.readStream.schema(EVENTS).parquet(tail))
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
@@ -50,6 +62,12 @@ def sliding(events: DataFrame, size: str, step: str) -> DataFrame:
     return w.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def rolling_by_user(events: DataFrame, size: str, step: str) -> DataFrame:
+    """Events of each user in each sliding window."""
+    w = events.groupBy(F.window("ts", size, step), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.col("window.start").alias("start"), "user_id", "n")
+
+
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     w = events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return w.select("user_id", F.col("session_window.start").alias("start"), "n")
@@ -58,12 +76,17 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 #: Which state an event leads to, from which state; others break the order.
 STEPS = {"signup": (None, "NEW"), "view": ("NEW", "ACTIVE"), "purchase": ("ACTIVE", "BUYER")}
 STATE = "state string, n long, broken long"
+#: A user's state is forgotten so long after the last event, by the watermark.
+IDLE_MS = 90 * 86_400_000
 
 
 def state_machine(events: DataFrame) -> DataFrame:
     """user_id, state, n, broken: where each user stands after all events, how many moved them, and how many came out of order."""
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, n, broken = state.get if state.exists else (None, 0, 0)
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         for kind in rows.event_type:
@@ -74,7 +97,8 @@ def state_machine(events: DataFrame) -> DataFrame:
                 else:
                     broken += 1
         state.update((now, n, broken))
+        state.setTimeoutTimestamp(max(int(rows.ts.iloc[-1].timestamp() * 1000) + IDLE_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "state": [now], "n": [n], "broken": [broken]})
 
     keyed = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
-    return keyed.applyInPandasWithState(update, "user_id long, state string, n long, broken long", STATE, "update", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(update, "user_id long, state string, n long, broken long", STATE, "update", GroupStateTimeout.EventTimeTimeout)
