@@ -6,14 +6,15 @@ output that doesn't start with the one before it shows a template that rewrites
 turn's span, the frame that the template puts around a text is found by rendering the turn with two
 probe texts of one character each.
 
-Rendering all prefixes takes time in the square of a conversation's turns. Beyond `window` turns the
-prefix starts with the conversation's first turn and holds only the last window / 2 to window turns, so
-time and memory stay bounded; this is exact for templates that look back no further than that.
+Whole prefixes are rendered, in time that grows with the square of a conversation's turns. For a template
+that is declared local (no turn's output depends on turns further back), or where a window is asked for, the
+prefix beyond `window` turns is the first turn and the last window / 2 to window turns, so that time and
+memory stay bounded; for such templates the outputs are the same.
 
 Defined cases: a null text or role is empty; rows of one conversation and turn come in order of role,
 then text, and each is a turn of its own; null turns come first; a null conversation is one of its
 own; an empty table gives an empty result; a template that rewrites history raises RewritesHistory, or
-marks the rows if asked to; other columns aren't read.
+marks the rows if asked to; a very long text is rendered whole; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.session import scratch_dir
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: this cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    written._scratch_path = path
-    return written
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table of materialize() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+from velarium.session import discard, materialize  # noqa: F401  for the operators
 
 
 def partitions(spark: SparkSession) -> int:

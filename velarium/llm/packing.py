@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from functools import cached_property
 from heapq import heappop, heappush
 
 import numpy as np
@@ -31,7 +32,7 @@ CAPACITY = 2048
 #: Pieces of a group, at most on average.
 GROUP = 60_000
 #: Chunks whose ids a worker keeps before it starts anew, and bytes of text that it takes at a time.
-CACHE, SLICE = 600_000, 12 << 20
+CACHE, SLICE = 400_000, 8 << 20
 #: Stands for id 0 after each text; no plain text has it.
 LAST = "\0"
 
@@ -51,15 +52,22 @@ class ChunkTokenizer:
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.path, self.cache = path, cache
         # The same model alone, for words that are cut and spelled in its alphabet already.
-        plain = json.loads(self.tokenizer.to_str())
-        plain |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.model = Tokenizer.from_str(json.dumps(plain))
-        self.forget()
-        vocabulary = self.tokenizer.get_vocab()
+        with open(path, encoding="utf-8") as file:
+            plain = json.load(file)
+        vocabulary = plain["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = Tokenizer.from_str(json.dumps(plain | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        self.forget()
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, for texts that aren't plain."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def forget(self) -> None:
         """chunks: each chunk's number; ids: all their ids, one chunk's after the other's; bounds: where each number's begin and end."""
