@@ -6,6 +6,7 @@ import base64
 import hashlib
 import hmac
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PAGE, MOST = 20, 50
+#: Rows of a page of a timeline, and rows that a window over pages keeps.
+TIMELINE, WINDOW = 40, 80
 
 
 def _beyond(keys: list[str], values: tuple, forward: bool) -> Column:
@@ -65,3 +68,48 @@ def read_cursor(secret: bytes, scope: dict, token: str) -> list:
     if held["scope"] != scope:
         raise ValueError("cursor is for something else")
     return held["position"]
+
+
+@dataclass(frozen=True)
+class Page:
+    """rows in order, a cursor to go on from each end (None where nothing is there), whether more follows, and how many there are in all."""
+
+    rows: DataFrame
+    before: str | None
+    after: str | None
+    has_more: bool
+    total: int
+
+
+def read_page(df: DataFrame, keys: list[str], secret: bytes, scope: dict, size: int = PAGE, cursor: str | None = None, backward: bool = False) -> Page:
+    """The page after (or before) a cursor that an earlier page of the same scope gave. One row more than asked for tells whether there is more."""
+    size = max(1, min(MOST, size))
+    at = tuple(read_cursor(secret, scope, cursor)) if cursor else None
+    rows = df.where(_beyond(keys, at, not backward)) if at is not None else df
+    found = rows.orderBy(*[F.desc(k) if backward else F.asc(k) for k in keys]).limit(size + 1).collect()  # a page
+    more, found = len(found) > size, found[:size]
+    found = found[::-1] if backward else found
+    sign = lambda row: sign_cursor(secret, scope, [row[k] for k in keys])
+    ahead, behind = (at is not None, more) if backward else (more, at is not None)
+    return Page(df.sparkSession.createDataFrame(found, df.schema), sign(found[0]) if found and behind else None, sign(found[-1]) if found and ahead else None, more, df.count())
+
+
+def offset_page(df: DataFrame, order: list[str], asked: dict, first: int = PAGE, after: str | None = None) -> Page:
+    """A page by a cursor `digest:offset`, whose digest is of what was asked; one of another question is refused."""
+    digest = hashlib.sha256(json.dumps(asked, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+    offset = 0
+    if after is not None:
+        own, _, number = after.partition(":")
+        if own != digest or not number.isdigit():
+            raise ValueError("cursor is of another question")
+        offset = int(number)
+    first, total = min(100, max(1, first)), df.count()
+    end = min(total, offset + first)
+    return Page(df.orderBy(*order).offset(offset).limit(first), None, f"{digest}:{end}" if end < total else None, end < total, total)
+
+
+def slide(held: list, fresh: list, key, forward: bool = True, most: int = WINDOW) -> list:
+    """Rows in view after a page more: none twice, and no more than `most`, dropped at the other end."""
+    seen = {key(r) for r in held}
+    new = [r for r in fresh if key(r) not in seen]
+    return [*held, *new][-most:] if forward else [*new, *held][:most]

@@ -1,3 +1,3 @@
 """All queries of the engine; importing this package registers them."""
 
-from velarium.queries import evidence, extras, filters, functions, graphs, joins, metrics, modelchecks, quality, rules, sets, sources, streams, times, windows  # noqa: F401
+from velarium.queries import evidence, extras, filters, functions, graphs, joins, metrics, modelchecks, projections, quality, rules, sets, sources, streams, times, windows  # noqa: F401
