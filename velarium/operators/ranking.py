@@ -33,7 +33,8 @@ def places(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
 def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """keys, and the exact median of each group's values; groups without a value have no row."""
     names = [f"__k{n}" for n in range(len(keys))] or ["__k0"]
-    rows = df.where(F.col(value).isNotNull()).select(*([F.col(k).alias(n) for k, n in zip(keys, names, strict=True)] or [F.lit(0).alias("__k0")]), F.col(value).alias("__v"))
+    held = [F.col(k) for k in keys] or [F.lit(0)]
+    rows = df.where(F.col(value).isNotNull()).select(*[k.alias(n) for k, n in zip(held, names, strict=True)], F.col(value).alias("__v"))
     rows = _ranged(rows, *names, "__v")
     sizes = rows.groupBy(*names, "__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range that a group is in
     total = F.sum("__n").over(W.partitionBy(*names))

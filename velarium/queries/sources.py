@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from velarium.operators import sqlprofile
 from velarium.registry import query
 from velarium.session import table
-from velarium.sources import store
+from velarium.sources import registry, store
 
 
 @query("SELECT p_partkey, sha256(p_name) AS fingerprint FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey <= 20)")
@@ -41,13 +41,31 @@ def src_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, new, ["s_suppkey"])
 
 
-@query("WITH o AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 4 <> 0), n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '!' ELSE s_name END AS s_name, s_suppkey % 6 <> 0 AS newer FROM supplier) SELECT n.s_suppkey, CASE WHEN o.s_suppkey IS NULL THEN 'created' WHEN o.s_name = n.s_name THEN 'unchanged' WHEN newer THEN 'updated' ELSE 'conflict' END AS outcome FROM n LEFT JOIN o USING (s_suppkey)")
+_OLD, _NEW = "SELECT 'c' || s_suppkey AS name, 'csv' AS family, s_name AS config, 2 AS revision FROM supplier WHERE s_suppkey % 4 <> 0", "SELECT 'c' || s_suppkey AS name, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'csv' END AS family, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '!' ELSE s_name END AS config, CASE WHEN s_suppkey % 6 <> 0 THEN 3 ELSE 2 END AS revision FROM supplier"
+
+
+@query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT n.name, CASE WHEN n.family = '' THEN 'error' WHEN o.name IS NULL THEN 'created' WHEN o.config = n.config THEN 'unchanged' WHEN n.revision > o.revision THEN 'updated' ELSE 'conflict' END AS outcome FROM n LEFT JOIN o USING (name)")
 def src_import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    old = supplier.where("s_suppkey % 4 <> 0").withColumnRenamed("s_name", "old")
-    new = supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).alias("new"), (F.col("s_suppkey") % 6 != 0).alias("newer"))
-    outcome = F.when(F.col("old").isNull(), "created").when(F.col("old") == F.col("new"), "unchanged").when(F.col("newer"), "updated").otherwise("conflict")
-    return new.join(old, "s_suppkey", "left").select("s_suppkey", outcome.alias("outcome"))
+    supplier = table(spark, sf_dir, "supplier")
+    old = supplier.where("s_suppkey % 4 <> 0").selectExpr("concat('c', s_suppkey) AS name", "'csv' AS family", "s_name AS config", "2 AS revision")
+    new = supplier.selectExpr("concat('c', s_suppkey) AS name", "CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'csv' END AS family", "CASE WHEN s_suppkey % 3 = 0 THEN concat(s_name, '!') ELSE s_name END AS config", "CASE WHEN s_suppkey % 6 <> 0 THEN 3 ELSE 2 END AS revision")
+    return registry.preview_rows(old, new)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_name < 'Supplier#000000003' OR s_name >= 'Supplier#000000006'")
+def src_range_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.range_delete(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", "Supplier#000000003", "Supplier#000000006")
+
+
+_XML = "CASE s_suppkey % 6 WHEN 0 THEN '<!DOCTYPE a><s>x</s>' WHEN 1 THEN concat('<?xml version=\"1.0\"?><s><name>', s_name, '</name></s>') WHEN 2 THEN '<s><name>cut' WHEN 3 THEN 'no markup' WHEN 4 THEN ' ' ELSE concat('<s name=\"', s_name, '\"/>') END"
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'DOCTYPE' WHEN 2 THEN 'UNCLOSED' WHEN 3 THEN 'NOT_XML' WHEN 4 THEN 'EMPTY' END AS rejected, CASE s_suppkey % 6 WHEN 1 THEN s_name END AS name FROM supplier")
+def src_admit_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only XML without document types and entities is parsed; of the rest, why not."""
+    checked = store.admit_xml(table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"{_XML} AS xml"), "xml")
+    name = F.when(F.col("rejected").isNull() & F.col("xml").contains("<name>"), F.xpath_string(F.when(F.col("rejected").isNull(), F.col("xml")).otherwise("<s/>"), F.lit("s/name")))
+    return checked.select("s_suppkey", "rejected", name.alias("name"))
 
 
 STATEMENTS = (
@@ -61,3 +79,29 @@ STATEMENTS = (
 def sql_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The syntax trees of some statements, node by node."""
     return sqlprofile.profile(spark, STATEMENTS)
+
+
+#: What each clause of the statements says, by hand.
+_CLAUSES = (
+    ("q1", "DISTINCT", 0, ""), ("q1", "PROJECTION", 0, "customer"), ("q1", "PROJECTION", 1, "sum"), ("q1", "AGGREGATE", 0, "SUM"), ("q1", "FROM", 0, "orders"), ("q1", "FROM", 1, "customer"), ("q1", "JOIN", 0, "LEFT"), ("q1", "WHERE", 0, ""), ("q1", "GROUP_BY", 0, ""), ("q1", "HAVING", 0, ""), ("q1", "ORDER_BY", 0, ""),
+    ("q2", "TARGET", 0, "t"), ("q2", "PROJECTION", 0, "x"), ("q2", "PROJECTION", 1, "y"), ("q2", "FROM", 0, "s"), ("q2", "WHERE", 0, ""), ("q3", "TARGET", 0, "t"), ("q3", "SET", 0, "a"), ("q3", "WHERE", 0, ""), ("q4", "TARGET", 0, "t"), ("q4", "WHERE", 0, ""), ("q4", "SUBQUERY", 0, ""), ("q4", "PROJECTION", 0, "id"), ("q4", "FROM", 0, "u"),
+    ("q5", "SET_OPERATION", 0, "UNION"), ("q5", "SET_OPERATION", 1, "INTERSECT"), ("q5", "PROJECTION", 0, "a"), ("q5", "PROJECTION", 1, "b"), ("q5", "PROJECTION", 2, "c"), ("q5", "FROM", 0, "t"), ("q5", "FROM", 1, "u"), ("q5", "FROM", 2, "v"),
+    ("q7", "PROJECTION", 0, "*"), ("q7", "FROM", 0, "a"), ("q7", "FROM", 1, "b"), ("q7", "FROM", 2, "c"), ("q7", "JOIN", 0, "FULL"), ("q7", "JOIN", 1, "CROSS"), ("q7", "USING", 0, "id"),
+    ("q9", "PROJECTION", 0, "a"), ("q9", "PROJECTION", 1, "r"), ("q9", "WINDOW", 0, "row_number"), ("q9", "FROM", 0, "t"), ("q9", "LIMIT", 0, "5"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, _CLAUSES)) + ") t(statement, clause, ordinal, value)")
+def sql_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clauses of some statements."""
+    return sqlprofile.clauses(spark, (*STATEMENTS, ("q9", "SELECT a, row_number() OVER (PARTITION BY b ORDER BY c) AS r FROM t LIMIT 5")))
+
+
+_MAPPED = (("s1", "<include refid='cols'/> FROM t <if test='x'>WHERE k = #{k}</if>"), ("s2", "SELECT <include refid='nowhere'/> FROM t"), ("s3", "SELECT <include refid='ring'/>"), ("s4", "SELECT a FROM t"), ("s5", "SELECT FROM ("), ("s6", "DROP TABLE t"))
+_FRAGMENTS = {"cols": "SELECT a, <include refid='more'/>", "more": "b", "ring": "x <include refid='ring2'/>", "ring2": "<include refid='ring'/>"}
+
+
+@query("SELECT * FROM (VALUES ('s1', 'PARTIAL', 'DYNAMIC_TAGS', 'SELECT'), ('s2', 'UNSUPPORTED', 'INCLUDE_UNRESOLVED', 'SELECT'), ('s3', 'UNSUPPORTED', 'INCLUDE_CYCLE', 'SELECT'), ('s4', 'PARSED', '', 'SELECT'), ('s5', 'UNSUPPORTED', 'SYNTAX', 'SELECT'), ('s6', 'PARTIAL', 'NOT_DML', 'OTHER')) t(statement, status, reasons, operation)")
+def sql_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far mapper statements can be read once their fragments are in place, and why no further."""
+    return sqlprofile.statuses(spark, _MAPPED, _FRAGMENTS)

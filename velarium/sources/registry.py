@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Family, Spark format, and options that a connection needs.
 FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "mysql": ("jdbc", ("host", "port", "database")), "postgresql": ("jdbc", ("host", "port", "database")), "snowflake": ("jdbc", ("account", "warehouse", "database")),
-    "mongodb": ("mongodb", ("cluster", "database")), "redis": ("redis", ("address", "database")), "cassandra": ("org.apache.spark.sql.cassandra", ("contact_points", "keyspace")),
-    "graph": ("quads", ("address", "mode")), "elasticsearch": ("es", ("cluster",)), "milvus": ("parquet", ("path",)), "s3": ("parquet", ("path",)),
+    "mongodb": ("mongodb", ("cluster", "database")), "redis": ("velarium_redis", ("address", "database")), "jdbc": ("jdbc", ("url",)), "property_graph": ("velarium_graph", ("address", "match", "return", "order")), "cassandra": ("org.apache.spark.sql.cassandra", ("contact_points", "keyspace")),
+    "graph": ("quads", ("address", "mode")), "elasticsearch": ("velarium_search", ("address",)), "milvus": ("parquet", ("path",)), "s3": ("parquet", ("path",)),
     "sharepoint": ("binaryFile", ("path",)), "github": ("text", ("path", "ref")), "kafka": ("kafka", ("bootstrap",)),
     "parquet": ("parquet", ("path",)), "csv": ("csv", ("path",)), "json": ("json", ("path",)), "orc": ("orc", ("path",)), "xml": ("xml", ("path",)), "text": ("text", ("path",)), "binary": ("binaryFile", ("path",)),
 }
@@ -59,6 +59,8 @@ class Connection:
 
 
 def jdbc_url(c: Connection) -> str:
+    if c.family == "jdbc":
+        return c.config["url"]
     if c.family == "snowflake":
         return f"jdbc:snowflake://{c.config['account']}/?warehouse={c.config['warehouse']}&db={c.config['database']}"
     return f"jdbc:{c.family}://{c.config['host']}:{c.config['port']}/{c.config['database']}"
@@ -75,8 +77,8 @@ def options(c: Connection, item: str = "") -> dict[str, str]:
         return {"kafka.bootstrap.servers": c.config["bootstrap"], "subscribePattern": item or ".*", "startingOffsets": "earliest"}
     if kind == "mongodb":
         return {"connection.uri": c.config["cluster"], "database": c.config["database"], "collection": item}
-    if kind == "es":
-        return {"es.nodes": c.config["cluster"], "es.resource": item}
+    if kind == "velarium_search":
+        return {k: str(v) for k, v in c.config.items()} | {"index": item}
     if kind == "org.apache.spark.sql.cassandra":
         return {"keyspace": c.config["keyspace"], "table": item}
     return {k: str(v) for k, v in c.config.items() if k not in ("path", "ref")}
@@ -109,6 +111,17 @@ def read_quads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(*parts).where("subject <> ''").withColumn("graph", F.nullif("graph", F.lit("")))
 
 
+def preview_rows(latest: DataFrame, incoming: DataFrame) -> DataFrame:
+    """latest and incoming (name, family, config, revision) -> name, outcome: created, updated, unchanged, conflict (a revision that isn't newer), or error (no name, family or config)."""
+    from pyspark.sql import functions as F
+
+    old = latest.select("name", F.col("family").alias("__f"), F.col("config").alias("__c"), F.col("revision").alias("__r"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    outcome = F.when(blank("name") | blank("family") | blank("config"), "error").when(F.col("__r").isNull(), "created")
+    outcome = outcome.when((F.col("__c") == F.col("config")) & (F.col("__f") == F.col("family")), "unchanged").when(F.col("revision") > F.col("__r"), "updated").otherwise("conflict")
+    return incoming.join(old, "name", "left").select("name", outcome.alias("outcome"))
+
+
 def preview(latest: dict[str, Connection], incoming: list[Connection]) -> dict[str, str]:
     """What an import would do: created, updated, unchanged, or conflict (a revision that isn't newer)."""
     out = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,52 @@ def freeze(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("batch").agg(members.alias("members")).withColumn("identity", F.sha2(F.array_join("members", "\n"), 256))
 
 
+def range_delete(df: DataFrame, key: str, low, high) -> DataFrame:
+    """The rows whose key isn't from low up to (without) high; a null key stays."""
+    return df.where(F.col(key).isNull() | (F.col(key) < F.lit(low)) | (F.col(key) >= F.lit(high)))
+
+
+def batches(df: DataFrame, size: int = 1000) -> DataFrame:
+    """df with batch: numbers of groups of at most `size` rows, each inside one task."""
+    number = F.monotonically_increasing_id()  # counts up inside each partition
+    return df.withColumn("batch", F.floor(number / size).cast("long") if size >= 1 else F.lit(None).cast("long"))
+
+
+def scan_directory(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = 10 << 20) -> DataFrame:
+    """path, bytes, sha256, issue of each file of a source tree that fits a pattern: TOO_LARGE ones aren't digested, and empty ones aren't listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    large = F.col("length") > most_bytes
+    return files.select("path", F.col("length").alias("bytes"), F.when(~large, F.sha2("content", 256)).alias("sha256"), F.when(large, "TOO_LARGE").alias("issue"))
+
+
+def admit_xml(df: DataFrame, column: str) -> DataFrame:
+    """df with rejected: null for XML that may be read, else why not. Document types and entities are refused unparsed, whatever they say."""
+    text = F.col(column)
+    root = F.regexp_extract(text, r"(?s)^\s*(?:<\?xml[^>]*\?>\s*)?(?:<!--.*?-->\s*)*<([A-Za-z_][\w.-]*)", 1)
+    why = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "EMPTY").when(text.rlike(r"(?i)<!DOCTYPE"), "DOCTYPE").when(text.rlike(r"(?i)<!ENTITY|<\?(?!xml[\s?])|xi:include"), "ENTITY_OR_INCLUDE")
+    why = why.when(root == "", "NOT_XML").when(~F.rtrim(text).endswith(F.concat(F.lit("</"), root, F.lit(">"))) & ~F.rtrim(text).endswith("/>"), "UNCLOSED")
+    return df.withColumn("rejected", why)
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write df beside its place, then move it there: readers see all of it or nothing. What is published is never replaced."""
+    spark = df.sparkSession
+    at, staged = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"))
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(at):
+        raise FileExistsError(path)
+    df.write.parquet(staged.toString())
+    if not fs.rename(staged, at):
+        fs.delete(staged, True)
+        raise FileExistsError(path)
+
+
+def compare_and_set(spark: SparkSession, path: str, expected: int, df: DataFrame) -> int:
+    """Publish df as the version after `expected`; another writer's version there already is a conflict (FileExistsError). Returns the version."""
+    publish(df, f"{path.rstrip('/')}/v{expected + 1:012d}")
+    return expected + 1
+
+
 def range_scan(df: DataFrame, key: str, prefix: str, after: str | None = None, size: int = 20) -> DataFrame:
     """Keys with a prefix, after a cursor: pushed down to the files' statistics as a range."""
     rows = df.where((F.col(key) >= prefix) & (F.col(key) < prefix + "\U0010ffff"))

@@ -16,7 +16,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 #: A time after all others: an event of it moves the watermark past all windows there are.
-END = "9999-01-01 00:00:00"
+END = "2200-01-01 00:00:00"
 
 
 def read_events(spark: SparkSession, path: str, late: str = "1 day", closed: bool = False) -> DataFrame:
