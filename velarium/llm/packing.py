@@ -32,7 +32,7 @@ CAPACITY = 2048
 #: Pieces of a group, at most on average.
 GROUP = 60_000
 #: Chunks whose ids a worker keeps before it starts anew, and bytes of text that it takes at a time.
-CACHE, SLICE = 400_000, 8 << 20
+CACHE, SLICE = 600_000, 8 << 20
 #: Stands for id 0 after each text; no plain text has it.
 LAST = "\0"
 
@@ -69,10 +69,17 @@ class ChunkTokenizer:
 
         return Tokenizer.from_file(self.path)
 
-    def forget(self) -> None:
-        """chunks: each chunk's number; ids: all their ids, one chunk's after the other's; bounds: where each number's begin and end."""
-        self.chunks: dict[str, int] = {LAST: 0}
-        self.ids, self.bounds, self.n_ids = np.zeros(1 << 20, "<u4"), np.array([0, 1] + [0] * (1 << 16), np.int64), 1
+    def forget(self, kept: list[str] | None = None) -> None:
+        """Starts anew, but for some chunks that are known. chunks: each chunk's number; ids: all their ids, one chunk's after the other's; bounds: where each number's begin and end."""
+        if kept:
+            at = np.array([0, *map(self.chunks.get, kept)], np.int64)
+            sizes = self.bounds[at + 1] - self.bounds[at]
+            own, ends = self.ids[_ranges(self.bounds[at], sizes)], np.cumsum(sizes)
+        else:
+            kept, own, ends = [], np.zeros(1, "<u4"), np.ones(1, np.int64)
+        self.chunks: dict[str, int] = {LAST: 0} | dict(zip(kept, range(1, len(kept) + 1), strict=True))
+        self.ids, self.bounds, self.n_ids = np.zeros(max(1 << 20, len(own)), "<u4"), np.zeros(max(1 << 16, len(kept) + 2), np.int64), len(own)
+        self.ids[: len(own)], self.bounds[1 : len(ends) + 1] = own, ends
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -135,7 +142,7 @@ class ChunkTokenizer:
         del lists  # what is large goes as soon as it can
         names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.chunks) + len(names) > self.cache:
-            self.forget()
+            self.forget([c for c in names if c in self.chunks and c != LAST])  # words that come again; most others never do
         numbers = list(map(self.chunks.get, names))
         if None in numbers:
             self.learn([c for c, x in zip(names, numbers, strict=True) if x is None])
