@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velarium.functions import scalar, timex
-from velarium.operators import evidence, flows, hierarchy, metrics, modelcheck, paging, projection, ranking, sqlprofile
+from velarium.operators import evidence, flows, hierarchy, joins, metrics, modelcheck, paging, projection, ranking, sqlprofile
 from velarium.plans import pipeline
 from velarium.plans.model import Attribute, Object
 from velarium.sources import adapters, registry, store
@@ -263,6 +263,14 @@ def test_model_checks(spark):
     assert modelcheck.gate(found).first().asDict() == {"n_blockers": 0, "n_warnings": 3, "n_codes": 1, "publishable": True}
 
 
+def test_required_references(spark):
+    left = spark.createDataFrame([(1, 10), (2, None)], "a int, k int")
+    right = spark.createDataFrame([(10, "x")], "b int, v string")
+    assert sorted((r.a, r.v) for r in joins.require(left, "k", right, "b").collect()) == [(1, "x"), (2, None)]
+    with pytest.raises(Exception, match="k leads nowhere: 11"):
+        joins.require(left.union(spark.createDataFrame([(3, 11)], "a int, k int")), "k", right, "b").collect()
+
+
 def test_flows(spark):
     s = spark.createDataFrame([(1, 1, "PLAIN", None), (1, 2, "BRANCH", 4), (1, 3, "PLAIN", None), (1, 4, "RETURN", None), (1, 5, "PLAIN", None)], "method int, id int, kind string, target int")
     edges = flows.control_flow(s)

@@ -98,3 +98,18 @@ def divide(df: DataFrame, key: str, value: str, required: DataFrame) -> DataFram
     needed = required.agg(F.count_distinct(value).alias("__needed"))
     have = df.join(required.select(value), value, "left_semi").groupBy(key).agg(F.count_distinct(value).alias("__have"))
     return have.join(F.broadcast(needed), F.col("__have") == F.col("__needed")).select(key)  # one row
+
+
+def bind_parameters(tokens: DataFrame, parameters: DataFrame) -> DataFrame:
+    """tokens (token_id, statement, token as `#{root.rest}`), parameters (statement, name, alias) -> token_id, root, n_parameters: how many parameters of its statement a token's root names (none: unbound, several: ambiguous)."""
+    known = parameters.select("statement", F.coalesce("alias", "name").alias("root"), F.struct("name", "alias").alias("p")).groupBy("statement", "root").agg(F.count_distinct("p").alias("n"))
+    rows = tokens.withColumn("root", F.regexp_extract("token", r"\{([^.}]+)", 1))
+    return rows.join(known, ["statement", "root"], "left").select("token_id", "root", F.coalesce("n", F.lit(0)).cast("long").alias("n_parameters"))
+
+
+def require(df: DataFrame, reference: str, target: DataFrame, key: str) -> DataFrame:
+    """df with target's columns by an equal key; a reference that leads nowhere fails the query when it runs."""
+    known = target.withColumn("__there", F.lit(True))
+    joined = df.join(known, df[reference] == known[key], "left")
+    missing = F.raise_error(F.concat(F.lit(f"{reference} leads nowhere: "), df[reference].cast("string")))
+    return joined.withColumn("__there", F.when(F.col("__there") | df[reference].isNull(), True).otherwise(missing.cast("boolean"))).where("__there").drop("__there")

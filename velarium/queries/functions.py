@@ -69,18 +69,19 @@ def fn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", S.bind_tokens(F.lit("SELECT #{id} FROM ${t} WHERE s = #{name}")).alias("bound"), label.alias("label"), S.has_cjk(label).alias("cjk"), S.snake_case(F.concat(F.lit("orderLineNo"), "s_suppkey")).alias("snake"))
 
 
-@query("SELECT s_suppkey, s_name AS name, CAST(s_acctbal AS VARCHAR) IS NOT NULL AS has_balance FROM supplier")
+@query("WITH x AS (SELECT s_suppkey, concat('<s><name>', s_name, '</name>', CASE WHEN s_suppkey % 4 <> 0 THEN concat('<balance>', s_suppkey, '</balance>') ELSE '' END, '<alias>a</alias><alias>b</alias></s>') AS xml FROM supplier) SELECT s_suppkey, regexp_extract(xml, '<name>(.*?)</name>', 1) AS name, contains(xml, '<balance>') AS has_balance, len(regexp_extract_all(xml, '<alias>'))::BIGINT AS n_aliases FROM x")
 def fn_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values read back from XML text."""
-    xml = F.concat(F.lit("<s><name>"), "s_name", F.lit("</name><balance>"), F.col("s_acctbal").cast("string"), F.lit("</balance></s>"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.xpath_string(xml, F.lit("s/name")).alias("name"), F.xpath_boolean(xml, F.lit("s/balance")).alias("has_balance"))
+    """Values read from XML text."""
+    balance = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("<balance>"), F.col("s_suppkey").cast("string"), F.lit("</balance>"))).otherwise("")
+    xml = F.concat(F.lit("<s><name>"), "s_name", F.lit("</name>"), balance, F.lit("<alias>a</alias><alias>b</alias></s>"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.xpath_string(xml, F.lit("s/name")).alias("name"), F.xpath_boolean(xml, F.lit("s/balance")).alias("has_balance"), F.size(F.xpath(xml, F.lit("s/alias/text()"))).cast("long").alias("n_aliases"))
 
 
-@query("SELECT l_orderkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, CASE WHEN l_returnflag = 'R' THEN 'RETURNED' WHEN l_linestatus = 'O' THEN 'OPEN' ELSE 'DONE' END AS role FROM lineitem WHERE l_quantity > 45")
+@query("SELECT l_orderkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, CASE WHEN l_returnflag = 'R' THEN 'RETURNED' WHEN l_linestatus = 'O' THEN 'OPEN' ELSE 'DONE' END AS role FROM lineitem")
 def project_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field mappings with an expression, and a role by cases."""
     role = F.when(F.col("l_returnflag") == "R", "RETURNED").when(F.col("l_linestatus") == "O", "OPEN").otherwise("DONE")
-    return table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", F.round(F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)"), 6).alias("charge"), role.alias("role"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.round(F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)"), 6).alias("charge"), role.alias("role"))
 
 
 @query("SELECT p_partkey, k - 1 AS ordinal, string_split(p_name, ' ')[k] AS word, len(string_split(p_name, ' ')) AS size FROM part, range(1, 6) t(k) WHERE k <= len(string_split(p_name, ' '))")

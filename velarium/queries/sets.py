@@ -96,3 +96,16 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("before", "\n")
     after = F.array_join(F.concat(F.slice(lines, 1, 2), F.transform(F.slice(lines, F.lit(3), F.size(lines)), F.upper)), "\n")
     return diff_lines(docs.withColumn("after", after), "id", "before", "after")
+
+
+_LINED = ((1, "a\nb\nc", "a\nx\nc"), (2, "", "new"), (3, "same", "same"), (4, "a\nb\nc\nd", "b\nd\ne"), (5, None, None), (6, "x\nx\ny", "x\ny\ny"))
+_LINES = (
+    (1, 0, "UNCHANGED", "a"), (1, 1, "REMOVED", "b"), (1, 2, "ADDED", "x"), (1, 3, "UNCHANGED", "c"), (2, 0, "REMOVED", ""), (2, 1, "ADDED", "new"), (3, 0, "UNCHANGED", "same"),
+    (4, 0, "REMOVED", "a"), (4, 1, "UNCHANGED", "b"), (4, 2, "REMOVED", "c"), (4, 3, "UNCHANGED", "d"), (4, 4, "ADDED", "e"), (5, 0, "UNCHANGED", ""), (6, 0, "UNCHANGED", "x"), (6, 1, "REMOVED", "x"), (6, 2, "ADDED", "y"), (6, 3, "UNCHANGED", "y"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, _LINES)) + ") t(id, line_number, change, line)")
+def line_diff_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small texts whose differences were written down by hand."""
+    return diff_lines(spark.createDataFrame(list(_LINED), "id int, before string, after string"), "id", "before", "after")
