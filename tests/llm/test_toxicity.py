@@ -123,3 +123,12 @@ def test_odd_tables(spark, odd, none, docs, sf):
     for some in (labels.limit(0), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
         flat = T.train(docs, some, F.lit(True))
         assert max(r.score for r in T.score(odd, flat).collect()) < 1e-6
+
+
+def test_misspelled_words_under_a_stem():
+    """Where a stem tells more than its words, these stay for their misspellings."""
+    counts = [("idiot", False, 200, 1), ("idiots", False, 190, 1), ("idiotic", False, 180, 1), ("idio", True, 570, 3), ("idi", True, 560, 60)]
+    entries = T.choose_lexicon(counts, 1000, 5000)
+    assert [e.text for e in entries if e.stem] == ["idio"] and {e.text for e in entries if not e.stem} == {"idiot", "idiots", "idiotic"}
+    hits = T.Automaton(entries).scan("idxot idiotic idiocy idolic")
+    assert [(a, e) for a, _, _, e in zip(*(x.tolist() for x in hits), strict=True)] == [(0, 1), (6, 0), (14, 0)]

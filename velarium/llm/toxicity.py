@@ -242,7 +242,7 @@ def g2(t: int, c: int, toxic: int, clean: int) -> float:
 
 
 def choose_lexicon(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int, size: int = LEXICON, min_ratio: float = MIN_RATIO) -> list[Entry]:
-    """counts (text, stem, toxic documents, clean documents) -> entries, most telling first; of stems and words that overlap, the most telling."""
+    """counts (text, stem, toxic documents, clean documents) -> entries, most telling first; of stems that overlap, and of a stem and the words that are under it, a stem only if it is the most telling."""
     odds = {(text, stem): math.log(((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1))) for text, stem, t, c in counts}
     telling = {(text, stem): g2(t, c, toxic, clean) for text, stem, t, c in counts if odds[text, stem] >= math.log(min_ratio)}
     shared = Counter(text[:n] for text, stem in telling if not stem for n in STEMS if len(text) > n)
@@ -251,7 +251,8 @@ def choose_lexicon(counts: list[tuple[str, bool, int, int]], toxic: int, clean:
     for text, stem in sorted(telling, key=lambda x: (-telling[x], -len(x[0]), x)):
         if len(chosen) == size or telling[text, stem] < MIN_G2 or (stem and shared[text] < 3):
             continue
-        if not any((s and text.startswith(c)) or (stem and c.startswith(text)) for c, s in chosen):
+        # A word under a stem stays beside it, for its misspellings.
+        if not any((s and stem and text.startswith(c)) or (stem and c.startswith(text)) for c, s in chosen):
             chosen.append((text, stem))
     return [Entry(text, stem, min(6.0, odds[text, stem])) for text, stem in chosen]
 
