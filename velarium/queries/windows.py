@@ -55,9 +55,14 @@ def win_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, rank() OVER w AS r, dense_rank() OVER w AS d, first_value(p_partkey) OVER u AS f, last_value(p_partkey) OVER u AS l FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size), u AS (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("p_brand").orderBy("p_size")
-    whole = W.partitionBy("p_brand").orderBy("p_size", "p_partkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return table(spark, sf_dir, "part").select("p_partkey", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"), F.first("p_partkey").over(whole).alias("f"), F.last("p_partkey").over(whole).alias("l"))
+    """Ranks by a column of few values: from counts of these, so that no task sorts a brand's parts; first and last are aggregates."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    whole = F.struct("p_size", "p_partkey")
+    sizes = part.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("low"), F.max(whole).alias("high"))
+    w, all_of = W.partitionBy("p_brand").orderBy("p_size"), W.partitionBy("p_brand")
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.select("p_brand", "p_size", (before + 1).alias("r"), F.row_number().over(w).cast("long").alias("d"), F.min("low").over(all_of)["p_partkey"].alias("f"), F.max("high").over(all_of)["p_partkey"].alias("l"))
+    return part.join(ranked, ["p_brand", "p_size"]).select("p_partkey", "r", "d", "f", "l")
 
 
 @query("SELECT s_suppkey, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)::BIGINT AS q, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS following FROM supplier")
