@@ -41,7 +41,7 @@ def project_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir)["metrics"].select("p_partkey", "metric", "editable")
 
 
-@query("SELECT p_partkey, 'RELATION_ENDPOINTS' AS check, 1 AS n FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'FIELD_UNIQUENESS', 1 FROM part WHERE p_partkey % 6 = p_partkey % 3 UNION ALL SELECT p_partkey, 'METRIC_DEPENDENCIES', 1 FROM part WHERE p_partkey % 4 NOT IN (p_partkey % 6, p_partkey % 3) UNION ALL SELECT p_partkey, 'SOURCE_EVIDENCE', CASE WHEN p_partkey % 30 = 0 THEN 2 ELSE 1 END FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 15 = 0")
+@query("SELECT p_partkey, 'RELATION_ENDPOINTS' AS check, 1::BIGINT AS n FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'FIELD_UNIQUENESS', 1 FROM part WHERE p_partkey % 6 = p_partkey % 3 UNION ALL SELECT p_partkey, 'METRIC_DEPENDENCIES', 1 FROM part WHERE p_partkey % 4 NOT IN (p_partkey % 6, p_partkey % 3) UNION ALL SELECT p_partkey, 'SOURCE_EVIDENCE', CASE WHEN p_partkey % 30 = 0 THEN 2 ELSE 1 END FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 15 = 0")
 def gov_publication_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four checks of a model document before it may be published."""
     return P.publication_checks(documents(spark, sf_dir), "p_partkey")
@@ -147,7 +147,7 @@ def page_digest_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.rows.withColumn("total", F.lit(page.total).cast("long")).withColumn("has_more", F.lit(page.has_more))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 2166136261), (1, 3904355907, 3826002220), (2, 891568578, 440920331), (3, 3421780262, 3146166556)) t(id, crc, fnv)")
+@query("SELECT * FROM (VALUES (0::BIGINT, 0, 2166136261), (1, 3904355907, 3826002220), (2, 891568578, 440920331), (3, 3421780262, 3146166556)) t(id, crc, fnv)")
 def fn_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRC-32 and FNV-1a of known texts, against their published values."""
     known = spark.createDataFrame([(0, ""), (1, "a"), (2, "abc"), (3, "123456789")], "id long, text string")
