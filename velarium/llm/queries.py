@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import chat_format, decontaminate, exact_dedup, langid, packing, passages, pii, simhash, toxicity, url_filter
+from velarium.llm import chat_format, decontaminate, exact_dedup, fim, langid, packing, passages, pii, simhash, toxicity, url_filter
 from velarium.llm.common import crc_mod
 from velarium.session import table
 
@@ -67,8 +67,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_pii, op4_langid, op5_passages, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_toxicity, op3_pii, op4_langid, op5_passages, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup,
+        op13_fim,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +105,21 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_fim": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents
+        ), drawn AS (
+            SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+                text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 AS plain, ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm
+            FROM d
+        ), cut AS (
+            SELECT doc_id, text, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+                array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:n], '') AS s
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }
