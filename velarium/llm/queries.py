@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import chat_format, decontaminate, exact_dedup, fim, langid, packing, passages, pii, simhash, toxicity, url_filter
+from velarium.llm import chat_format, decontaminate, exact_dedup, fim, langid, lm_scoring, packing, passages, pii, simhash, spelling, toxicity, url_filter
 from velarium.llm.common import crc_mod
 from velarium.session import table
 
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +73,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 1
+    model = lm_scoring.train(docs, ~held_out, piece_path())
+    found = lm_scoring.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
 
@@ -75,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_toxicity, op3_pii, op4_langid, op5_passages, op6_simhash, op7_packing, op8_chat_format, op9_url_filter, op10_exact_dedup,
-        op13_fim,
+        op11_lm_scoring, op12_spelling, op13_fim,
     )
 }
 
