@@ -288,12 +288,3 @@ def test_document_of_another_shape(spark):
     bad = spark.createDataFrame([(1, '{"tables": 5}')], "id int, payload string")
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ|malformed"):
         projection.catalog_tables(bad, "id", "payload")["objects"].collect()
-
-
-def test_idle_users_are_forgotten(spark, tmp_path):
-    schema = streams.EVENTS
-    row = lambda i, day, user, kind: (i, __import__("datetime").datetime(2024, 1, 1) + __import__("datetime").timedelta(days=day), user, kind, 0.0, "")
-    spark.createDataFrame([row(1, 0, 1, "signup"), row(2, 1, 1, "view")], schema).write.parquet(f"{tmp_path}/e")
-    stream = streams.state_machine(streams.read_events(spark, f"{tmp_path}/e", closed=True).where("user_id > 0 OR event_type = 'end'"))
-    got = {r.user_id: (r.state, r.n) for r in streams.run_now(stream, "update").collect() if r.user_id > 0}
-    assert got == {1: ("ACTIVE", 2)}

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velarium.operators.components import roots  # noqa: F401  part of this module's functions
 from velarium.session import materialize
 
 _names = itertools.count()
@@ -57,29 +58,6 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def roots(upstream: DataFrame, nodes: DataFrame) -> DataFrame:
-    """upstream (node, source) -> node, root: the sources without a source of their own that each node goes back to, however far; ways into a cycle have none.
-
-    Only pairs that weren't there go on, so it ends on any graph. At each round, ways to a source that has one
-    source itself skip it, so a run of n such nodes takes log n rounds.
-    """
-    up = first = materialize(upstream.select(F.col("node").alias("__n"), F.col("source").alias("__s")).distinct(), "upstream")
-    front = seen = materialize(nodes.select("node", F.col("node").alias("root")).distinct(), "roots")
-    skipping = True
-    while True:
-        step = front.join(up, F.col("root") == F.col("__n")).select("node", F.col("__s").alias("root")).distinct()
-        front = materialize(step.join(seen, ["node", "root"], "left_anti"), "roots")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-        if skipping:
-            ahead = up.groupBy(F.col("__n").alias("__x")).agg(F.count(F.lit(1)).alias("__k"), F.min("__s").alias("__t")).where("__k = 1 AND __x <> __t")
-            skipped = materialize(up.join(ahead, F.col("__s") == F.col("__x"), "left").select("__n", F.coalesce("__t", "__s").alias("__s"), F.col("__t").isNotNull().alias("__far")), "upstream")
-            skipping = not skipped.where("__far").isEmpty()
-            up = skipped.select("__n", "__s").distinct()
-    return seen.join(first.select(F.col("__n").alias("root")).distinct(), "root", "left_anti").select("node", "root")
-
-
 def on_cycle(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node: the nodes of cycles of any length, where each node has one edge out at most (as of parents).
 

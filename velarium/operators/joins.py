@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velarium.operators import ranged
+
 
 def diff(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """keys, change: ADDED, REMOVED, MODIFIED or UNCHANGED. NULL equals NULL."""
@@ -65,15 +67,8 @@ def as_of(left: DataFrame, right: DataFrame, group: str, at: str, effective: str
 
 
 def as_of_sorted(left: DataFrame, right: DataFrame, group: str, at: str, effective: str, values: list[str]) -> DataFrame:
-    """as_of() for a right side with many rows a group: both sides in one sort by group and time, each row takes the last values that it passes.
-
-    Time is linear in both sides, but a group is one task.
-    """
-    keys = [c for c in left.columns if c not in values]
-    a = left.select(F.col(group).alias("__g"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*keys).alias("__l"), F.lit(None).alias("__r"))
-    b = right.select(F.col(group).alias("__g"), F.col(effective).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*values).alias("__r"))
-    passed = F.last("__r", ignorenulls=True).over(W.partitionBy("__g").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0))
-    return a.unionByName(b).withColumn("__r", passed).where("__side = 1").select(*[F.col(f"__l.{c}").alias(c) for c in keys], *[F.col(f"__r.{v}").alias(v) for v in values])
+    """as_of() for groups with many rows on either side: both sides in one order of group and time, each row takes the last values that it passes. Time is linear in both sides, and a group is spread over ranges of that order."""
+    return ranged.as_of(left, right, group, at, effective, values)
 
 
 def classify(wanted: DataFrame, have: DataFrame, key: str, other: str) -> DataFrame:

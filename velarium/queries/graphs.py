@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velarium.operators import components as C
 from velarium.operators import hierarchy as H
 from velarium.registry import query
-from velarium.session import table
+from velarium.session import materialize, table
 
 _TREE = "SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer"
 _CLOSURE = f"t AS ({_TREE}), w(ancestor, node, depth) AS (SELECT node, node, 0 FROM t UNION ALL SELECT t.parent, w.node, w.depth + 1 FROM w JOIN t ON t.node = w.ancestor WHERE t.parent IS NOT NULL)"
@@ -94,7 +95,7 @@ def upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE u AS ({_UP}), w(node, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT w.node, u.source FROM w JOIN u ON u.node = w.root) SELECT node, root FROM w WHERE root NOT IN (SELECT node FROM u)")
 def lineage_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.roots(upstream(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")))
+    return C.roots(upstream(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")))
 
 
 @query(f"WITH RECURSIVE u AS ({_UP}), w(node, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT w.node, u.source FROM w JOIN u ON u.node = w.root) SELECT node, count(DISTINCT root) AS n_roots FROM w WHERE root NOT IN (SELECT node FROM u) GROUP BY 1")
@@ -110,12 +111,50 @@ def lineage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upstream(spark, sf_dir).join(known, "source", "left_anti").select("node", "source")
 
 
-@query(f"WITH e AS ({_EDGES}), k AS (SELECT a, count(DISTINCT b) AS n FROM e GROUP BY 1) SELECT s_suppkey, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN s_suppkey % 9 = 4 THEN 'CYCLE' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'STATIC' END AS status FROM supplier LEFT JOIN k ON a = s_suppkey")
+_MUTUAL = f"e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), n AS (SELECT a AS node FROM e UNION SELECT b FROM e), c AS (SELECT node, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = node), node) AS component FROM n)"
+
+
+def named_components(edges_: DataFrame) -> DataFrame:
+    """Strong components, named by their least node."""
+    found = materialize(C.strong_components(edges_), "components")
+    return found.join(found.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
+
+
+@query(f"WITH RECURSIVE {_MUTUAL} SELECT node, component FROM c")
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that lead to each other."""
+    return named_components(edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_MUTUAL} SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c x ON x.node = e.a JOIN c y ON y.node = e.b WHERE x.component <> y.component")
+def graph_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of the components, which has no cycle."""
+    rows = edges(spark, sf_dir)
+    return C.condense(rows, named_components(rows))
+
+
+_FRAGMENTS = "SELECT s_suppkey AS key FROM supplier WHERE s_suppkey % 19 <> 11 UNION ALL SELECT s_suppkey FROM supplier WHERE s_suppkey % 23 = 5"
+_INCLUDES = (
+    "SELECT s_suppkey AS key, 0 AS position, CASE WHEN s_suppkey % 8 < 6 THEN s_suppkey // 2 ELSE s_suppkey * 2 % 97 END AS target, CASE WHEN s_suppkey % 29 = 7 THEN 'REFERENCE' END AS dynamic FROM supplier WHERE s_suppkey % 3 <> 0"
+    " UNION ALL SELECT s_suppkey, 1, s_suppkey + 10, CASE WHEN s_suppkey % 4 = 1 THEN 'PROPERTY' END FROM supplier WHERE s_suppkey % 10 = 3"
+)
+
+
+@query(f"""
+    WITH RECURSIVE f AS ({_FRAGMENTS}), i AS ({_INCLUDES}), k AS (SELECT key, count(*) AS n FROM f GROUP BY 1), l AS (SELECT i.* FROM i JOIN k USING (key) WHERE n = 1),
+    e AS (SELECT key AS a, target AS b FROM l WHERE dynamic IS NULL), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+    fault AS (SELECT key, CASE WHEN max(n) IS NULL THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS status FROM (SELECT key FROM f UNION SELECT target FROM i UNION SELECT s_suppkey FROM supplier) LEFT JOIN k USING (key) GROUP BY 1 HAVING coalesce(max(n), 0) <> 1),
+    seed AS (SELECT key FROM fault UNION SELECT key FROM l WHERE dynamic IS NOT NULL UNION SELECT a FROM r WHERE a = b),
+    bad AS (SELECT key FROM seed UNION SELECT a FROM r JOIN seed ON key = b),
+    nxt AS (SELECT key, min_by(target, position) AS target, min_by(coalesce(dynamic, ''), position) AS dynamic FROM l WHERE dynamic IS NOT NULL OR target IN (SELECT key FROM bad) GROUP BY 1),
+    stops AS (SELECT key, 'DYNAMIC_' || dynamic AS status FROM nxt WHERE dynamic <> '' UNION ALL SELECT key, status FROM fault),
+    w(start, node) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT w.start, n.target FROM w JOIN nxt n ON n.key = w.node AND n.dynamic = '')
+    SELECT s_suppkey AS key, coalesce((SELECT min(status) FROM w JOIN stops ON stops.key = w.node WHERE w.start = s_suppkey), CASE WHEN s_suppkey IN (SELECT key FROM bad) THEN 'CYCLE' ELSE 'RESOLVED' END) AS status FROM supplier
+""")
 def include_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each fragment's include leads to one other, to several, nowhere, or back to itself."""
-    own = table(spark, sf_dir, "supplier")
-    includes = own.select(F.col("s_suppkey").alias("a"), F.when(F.col("s_suppkey") % 9 == 4, F.col("s_suppkey")).otherwise(-F.col("s_suppkey") - 1).alias("b"))
-    counts = edges(spark, sf_dir).groupBy("a").agg(F.count_distinct("b").alias("n"))
-    circular = H.on_cycle(includes).select(F.col("node").alias("__c"))
-    status = F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("__c").isNotNull(), "CYCLE").when(F.col("n") > 1, "AMBIGUOUS").otherwise("STATIC")
-    return own.join(counts, F.col("a") == F.col("s_suppkey"), "left").join(circular, F.col("__c") == F.col("s_suppkey"), "left").select("s_suppkey", status.alias("status"))
+    """How each fragment's includes resolve, passed on along includes."""
+    supplier = table(spark, sf_dir, "supplier")
+    fragments = supplier.where("s_suppkey % 19 <> 11").select("s_suppkey").unionAll(supplier.where("s_suppkey % 23 = 5").select("s_suppkey")).withColumnRenamed("s_suppkey", "key")
+    first = supplier.where("s_suppkey % 3 <> 0").selectExpr("s_suppkey AS key", "0 AS position", "CASE WHEN s_suppkey % 8 < 6 THEN s_suppkey div 2 ELSE s_suppkey * 2 % 97 END AS target", "CASE WHEN s_suppkey % 29 = 7 THEN 'REFERENCE' END AS dynamic")
+    second = supplier.where("s_suppkey % 10 = 3").selectExpr("s_suppkey AS key", "1 AS position", "s_suppkey + 10 AS target", "CASE WHEN s_suppkey % 4 = 1 THEN 'PROPERTY' END AS dynamic")
+    return C.resolve_includes(fragments, first.unionByName(second), supplier.select(F.col("s_suppkey").alias("key")))

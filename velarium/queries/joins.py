@@ -112,6 +112,14 @@ def join_asof_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.as_of(orders, monthly_targets(spark, sf_dir), "segment", "d", "effective", ["effective", "target"]).select("o_orderkey", "effective", "target")
 
 
+@query("SELECT e.event_id, o.amount FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_totalprice) AS amount FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate")
+def join_asof_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest order of each event's user at its time; both sides are long, and a user is spread over ranges of time."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("from")).agg(F.max("o_totalprice").alias("amount"))
+    return J.as_of_sorted(events, orders, "user_id", "ts", "from", ["amount"]).select("event_id", "amount")
+
+
 @query(f"WITH t AS ({_TARGETS}), o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, c_mktsegment AS metric FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000) SELECT o.o_orderkey, t.id FROM o JOIN t ON o.metric = t.metric AND o.d BETWEEN t.s AND t.e")
 def join_range_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_totalprice > 250000").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.col("c_mktsegment").alias("metric"))

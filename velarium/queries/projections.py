@@ -88,14 +88,18 @@ def hier_sibling_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(members, ["r_name", "n_name"]).select(F.concat_ws("/", "r_name", "n_name").alias("path"), "place")
 
 
-_STATEMENTS = "SELECT user_id AS method, event_id AS id, CASE event_type WHEN 'view' THEN 'BRANCH' WHEN 'error' THEN 'RETURN' ELSE 'PLAIN' END AS kind, CASE WHEN event_type = 'view' THEN event_id + 1 END AS target, 'v' || event_id % 3 AS variable, event_id % 5 = 0 AS defines FROM events"
-_FLOW = "SELECT method, id AS a, b, kind FROM (SELECT method, id, lead(id) OVER (PARTITION BY method ORDER BY id) AS b, CASE kind WHEN 'BRANCH' THEN 'TRUE' ELSE 'NEXT' END AS kind, kind AS was FROM s) WHERE b IS NOT NULL AND was <> 'RETURN' UNION ALL SELECT method, id, target, 'FALSE' FROM s WHERE kind = 'BRANCH'"
+_STATEMENTS = (
+    "SELECT user_id AS method, event_id AS id, CASE WHEN event_type = 'view' THEN 'BRANCH' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'RETURN' WHEN event_type = 'signup' AND event_id % 4 = 1 THEN 'CALL' ELSE 'PLAIN' END AS kind,"
+    " CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 4 = 2 THEN lag(event_id, 3) OVER m ELSE lead(event_id, 5) OVER m END END AS target, concat('v', event_id % 3) AS variable, event_id % 5 = 0 AS defines,"
+    " CASE WHEN event_id % 10 = 0 THEN concat('v', (event_id + 1) % 3) END AS source, CASE WHEN event_type = 'signup' AND event_id % 4 = 1 THEN user_id + 1 END AS callee FROM events WINDOW m AS (PARTITION BY user_id ORDER BY event_id)"
+)
+_FLOW = "SELECT method, id AS a, b, kind FROM (SELECT method, id, lead(id) OVER (PARTITION BY method ORDER BY id) AS b, CASE kind WHEN 'BRANCH' THEN 'TRUE' ELSE 'NEXT' END AS kind, kind AS was FROM s) WHERE b IS NOT NULL AND was <> 'RETURN' UNION ALL SELECT method, id, target, 'FALSE' FROM s WHERE kind = 'BRANCH' AND target IS NOT NULL"
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of methods, made from events of users."""
-    kind = "CASE event_type WHEN 'view' THEN 'BRANCH' WHEN 'error' THEN 'RETURN' ELSE 'PLAIN' END AS kind"
-    return table(spark, sf_dir, "events").selectExpr("user_id AS method", "event_id AS id", kind, "CASE WHEN event_type = 'view' THEN event_id + 1 END AS target", "concat('v', event_id % 3) AS variable", "event_id % 5 = 0 AS defines")
+    """Statements of methods, made from events of users: branches ahead and back, calls, returns, definitions and assignments."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("__statement_events")
+    return spark.sql(_STATEMENTS.replace("FROM events", "FROM __statement_events"))
 
 
 @query(f"WITH s AS ({_STATEMENTS}) {_FLOW}")
@@ -103,9 +107,29 @@ def flow_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.control_flow(statements(spark, sf_dir))
 
 
-@query(f"WITH s AS ({_STATEMENTS}) SELECT method, variable, a, id AS b FROM (SELECT *, max(CASE WHEN defines THEN id END) OVER (PARTITION BY method, variable ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM s) WHERE NOT defines AND a IS NOT NULL")
+@query(f"""
+    WITH s AS ({_STATEMENTS}), r AS (SELECT method, id, kind, callee, lead(id) OVER (PARTITION BY method ORDER BY id) AS after FROM s), c AS (SELECT * FROM r WHERE kind = 'CALL')
+    SELECT c.method, c.id AS a, c.callee, (SELECT min(id) FROM s WHERE s.method = c.callee) AS b, 'CALL' AS kind FROM c WHERE callee IN (SELECT method FROM s)
+    UNION ALL SELECT c.method, x.id, c.callee, c.after, 'RETURN' FROM c JOIN r x ON x.method = c.callee AND (x.kind = 'RETURN' OR x.after IS NULL) WHERE c.after IS NOT NULL
+""")
+def flow_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between methods: into each called one, and back from each way out of it."""
+    return flows.call_edges(statements(spark, sf_dir))
+
+
+@query(f"""
+    WITH RECURSIVE s AS ({_STATEMENTS}), e AS (SELECT DISTINCT method, a, b FROM ({_FLOW})), k AS (SELECT method, id, variable FROM s WHERE defines),
+    r(method, variable, a, node) AS (
+        SELECT k.method, k.variable, k.id, e.b FROM k JOIN e ON e.method = k.method AND e.a = k.id
+        UNION SELECT r.method, r.variable, r.a, e.b FROM r JOIN e ON e.method = r.method AND e.a = r.node WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.method = r.method AND k.id = r.node AND k.variable = r.variable)
+    ), u AS (SELECT method, id, variable, 'DEF_USE' AS kind FROM s WHERE NOT defines UNION ALL SELECT method, id, source, 'ASSIGNMENT' FROM s WHERE defines AND source IS NOT NULL)
+    SELECT u.method, u.variable, r.a, u.id AS b, u.kind FROM u JOIN r ON r.method = u.method AND r.variable = u.variable AND r.node = u.id
+    UNION ALL SELECT method, variable, id, (SELECT min(id) FROM s x WHERE x.method = s.callee), 'ARGUMENT_TO_PARAMETER' FROM s WHERE kind = 'CALL' AND NOT defines AND callee IN (SELECT method FROM s)
+""")
 def flow_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.data_flow(statements(spark, sf_dir))
+    """Definitions that reach uses over branches and loops, assignments and arguments."""
+    rows = statements(spark, sf_dir)
+    return flows.data_flow(rows, flows.control_flow(rows))
 
 
 @query(f"WITH s AS ({_STATEMENTS}), e AS (SELECT DISTINCT method, a, b FROM ({_FLOW})), d AS (SELECT method, node, sum(o) AS o, sum(i) AS i FROM (SELECT method, a AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT method, b, 0, 1 FROM e) GROUP BY 1, 2) SELECT method, node, CASE WHEN o > 1 AND i > 1 THEN 'BOTH' WHEN o > 1 THEN 'BRANCH' WHEN i > 1 THEN 'JOIN' WHEN i = 0 THEN 'START' WHEN o = 0 THEN 'END' ELSE 'LINEAR' END AS disposition FROM d")

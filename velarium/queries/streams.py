@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,14 @@ from velarium.session import table
 from velarium.streaming import streams as S
 
 
-def _events(spark: SparkSession, sf_dir: str, closed: bool = False) -> DataFrame:
-    return S.read_events(spark, f"{sf_dir}/events.parquet", closed=closed)
+def _events(spark: SparkSession, sf_dir: str, tail: str | None = None) -> DataFrame:
+    return S.read_events(spark, f"{sf_dir}/events.parquet", tail=tail)
+
+
+def _to_the_end(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], mode: str = "append", keys: tuple[str, ...] = (), store: str | None = None) -> DataFrame:
+    """What a stream over the events puts out once the log has ended."""
+    tail = S.new_tail(spark)
+    return _plain(S.run_now(make(_events(spark, sf_dir, tail)), mode, keys, tail, store=store))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -21,17 +29,17 @@ def _plain(df: DataFrame) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(S.run_now(S.tumbling(_events(spark, sf_dir, closed=True), "6 hours")))
+    return _to_the_end(spark, sf_dir, lambda events: S.tumbling(events, "6 hours"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 1 DAY AS start, event_type, count(*) AS n FROM events, range(0, 3) t(k) GROUP BY 1, 2")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(S.run_now(S.sliding(_events(spark, sf_dir, closed=True), "3 days", "1 day")))
+    return _to_the_end(spark, sf_dir, lambda events: S.sliding(events, "3 days", "1 day"))
 
 
 @query("WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM events), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(S.run_now(S.sessions(_events(spark, sf_dir, closed=True), "12 hours")))
+    return _to_the_end(spark, sf_dir, lambda events: S.sessions(events, "12 hours"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -45,8 +53,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 1 DAY AS start, user_id, count(*) AS n FROM events, range(0, 30) t(k) WHERE event_type = 'error' GROUP BY 1, 2")
 def stream_rolling_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events of one sort in the thirty days from each day."""
-    events = _events(spark, sf_dir, closed=True).where("event_type IN ('error', 'end')")
-    return _plain(S.run_now(S.rolling_by_user(events, "30 days", "1 day")))
+    return _to_the_end(spark, sf_dir, lambda events: S.rolling_by_user(events.where("event_type IN ('error', 'end')"), "30 days", "1 day"))
 
 
 @query("SELECT event_id, user_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'")
@@ -74,4 +81,5 @@ _MOVES = "WITH a AS (SELECT *, min(CASE WHEN event_type = 'signup' THEN (ts, eve
 
 @query(f"{_MOVES} SELECT user_id, CASE WHEN max(three) IS NOT NULL THEN 'BUYER' WHEN max(two) IS NOT NULL THEN 'ACTIVE' WHEN max(one) IS NOT NULL THEN 'NEW' END AS state, (max(one) IS NOT NULL)::BIGINT + (max(two) IS NOT NULL)::BIGINT + (max(three) IS NOT NULL)::BIGINT AS n, count(*) FILTER (event_type IN ('signup', 'view', 'purchase')) - n AS broken FROM c GROUP BY user_id")
 def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.run_now(S.state_machine(_events(spark, sf_dir)), "update")
+    """Each user's state after all events, in their order, however they came in batches."""
+    return _to_the_end(spark, sf_dir, S.state_machine, "update", ("user_id",), S.ROCKSDB)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velarium.operators.ranged import over
 from velarium.operators.ranking import places
 from velarium.registry import query
 from velarium.session import table
@@ -20,8 +21,10 @@ def win_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN before IS NULL THEN 'ADDED' WHEN before = o_orderstatus THEN 'INHERITED' ELSE 'MODIFIED' END AS change FROM (SELECT o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders)")
 def win_lag_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("o_orderstatus").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(before.isNull(), "ADDED").when(before == F.col("o_orderstatus"), "INHERITED").otherwise("MODIFIED").alias("change"))
+    """Each version against the one before; a customer with many versions is spread over ranges."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    before = F.col("before")
+    return over(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], before=("lag", "o_orderstatus")).select("o_orderkey", F.when(before.isNull(), "ADDED").when(before == F.col("o_orderstatus"), "INHERITED").otherwise("MODIFIED").alias("change"))
 
 
 _DAILY = "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2"
@@ -67,14 +70,16 @@ def win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)::BIGINT AS q, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS following FROM supplier")
 def win_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.ntile(4).over(w).cast("long").alias("q"), F.lead("s_suppkey").over(w).alias("following"))
+    """Quarters of each nation, and who follows; a nation with many suppliers is spread over ranges."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return over(rows, ["s_nationkey"], ["s_acctbal", "s_suppkey"], q=("ntile", 4), following=("lead", "s_suppkey")).select("s_suppkey", "q", "following")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events")
 def win_attempt_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next number of each attempt: one more than those before."""
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("attempt"))
+    """The next number of each attempt: one more than those before. A user with most of the events is spread over ranges."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return over(rows, ["user_id"], ["ts", "event_id"], attempt=("row_number",)).select("user_id", "event_id", "attempt")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders")
