@@ -146,9 +146,9 @@ def test_diff(spark):
 
 
 def test_line_diff():
-    got = linediff.compare("a b c d".split(), "a x c d e".split())
+    got = list(linediff.compare("a b c d".split(), "a x c d e".split()))
     assert got == [("UNCHANGED", "a"), ("REMOVED", "b"), ("ADDED", "x"), ("UNCHANGED", "c"), ("UNCHANGED", "d"), ("ADDED", "e")]
-    assert linediff.compare([], []) == [] and [c for c, _ in linediff.compare(["a"], ["b"])] == ["REMOVED", "ADDED"]
+    assert list(linediff.compare([], [])) == [] and [c for c, _ in linediff.compare(["a"], ["b"])] == ["REMOVED", "ADDED"]
 
 
 def test_rules(spark):

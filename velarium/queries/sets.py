@@ -89,19 +89,39 @@ def diff_json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, ["p_partkey", "path"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text, and what is left of it without every fifth line, with a new line after every seventh."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("before"))
+    lines = F.transform(F.split("before", "\n", -1), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
+    kept = F.filter(lines, lambda x: x["k"] % 5 != 2)
+    more = F.flatten(F.transform(kept, lambda x: F.when(x["k"] % 7 == 3, F.array(x["line"], F.concat(F.lit("new line "), x["k"].cast("string")))).otherwise(F.array(x["line"]))))
+    return docs.withColumn("after", F.array_join(more, "\n"))
+
+
 @query()
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text against itself in upper case from the third line on: lines kept, removed and added."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("before"))
-    lines = F.split("before", "\n")
-    after = F.array_join(F.concat(F.slice(lines, 1, 2), F.transform(F.slice(lines, F.lit(3), F.size(lines)), F.upper)), "\n")
-    return diff_lines(docs.withColumn("after", after), "id", "before", "after")
+    """Each text against its edited version: lines kept, removed and added."""
+    return diff_lines(edited_documents(spark, sf_dir), "id", "before", "after")
+
+
+@query("""
+    WITH l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents)
+    SELECT id, count(*) FILTER (k % 5 <> 2) AS n_unchanged, count(*) FILTER (k % 5 = 2) AS n_removed, count(*) FILTER (k % 5 <> 2 AND k % 7 = 3) AS n_added,
+        md5(string_agg(line, chr(10) ORDER BY k)) AS before, md5(string_agg(line || CASE WHEN k % 7 = 3 THEN chr(10) || 'new line ' || k ELSE '' END, chr(10) ORDER BY k) FILTER (k % 5 <> 2)) AS after
+    FROM l GROUP BY id
+""")
+def line_diff_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the differences alone: how many lines are common (as many as can be), and both texts, rebuilt."""
+    rows = diff_lines(edited_documents(spark, sf_dir), "id", "before", "after")
+    of = lambda change: F.count(F.when(F.col("change") == change, 1))
+    text = lambda change: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("change") != change, F.struct("line_number", "line")))), lambda x: x["line"]), "\n").cast("binary"))
+    return rows.groupBy("id").agg(of("UNCHANGED").alias("n_unchanged"), of("REMOVED").alias("n_removed"), of("ADDED").alias("n_added"), text("ADDED").alias("before"), text("REMOVED").alias("after"))
 
 
 _LINED = ((1, "a\nb\nc", "a\nx\nc"), (2, "", "new"), (3, "same", "same"), (4, "a\nb\nc\nd", "b\nd\ne"), (5, None, None), (6, "x\nx\ny", "x\ny\ny"))
 _LINES = (
     (1, 0, "UNCHANGED", "a"), (1, 1, "REMOVED", "b"), (1, 2, "ADDED", "x"), (1, 3, "UNCHANGED", "c"), (2, 0, "REMOVED", ""), (2, 1, "ADDED", "new"), (3, 0, "UNCHANGED", "same"),
-    (4, 0, "REMOVED", "a"), (4, 1, "UNCHANGED", "b"), (4, 2, "REMOVED", "c"), (4, 3, "UNCHANGED", "d"), (4, 4, "ADDED", "e"), (5, 0, "UNCHANGED", ""), (6, 0, "UNCHANGED", "x"), (6, 1, "REMOVED", "x"), (6, 2, "ADDED", "y"), (6, 3, "UNCHANGED", "y"),
+    (4, 0, "REMOVED", "a"), (4, 1, "UNCHANGED", "b"), (4, 2, "REMOVED", "c"), (4, 3, "UNCHANGED", "d"), (4, 4, "ADDED", "e"), (5, 0, "UNCHANGED", ""), (6, 0, "UNCHANGED", "x"), (6, 1, "REMOVED", "x"), (6, 2, "UNCHANGED", "y"), (6, 3, "ADDED", "y"),
 )
 
 
