@@ -134,7 +134,7 @@ def test_as_of_overlap_and_containment(spark):
         assert sorted(((r.g, r.d, r.v) for r in way(left, right, "g", "d", "e", ["v"]).collect()), key=str) == [("a", date(2025, 1, 1), None), ("a", date(2026, 1, 5), 2), ("b", date(2026, 1, 1), None)]
     spans = [(i, "m", date(2026, 1, 1 + i), date(2026, 1, 1 + i + i % 9)) for i in range(20)]
     df = spark.createDataFrame(spans, "k int, g string, s date, e date")
-    got = sorted((r.a, r.b) for r in joins.overlaps(df, "k", "g", "s", "e", 3).collect())
+    got = sorted((r.a, r.b) for r in joins.overlaps(df, "k", "g", "s", "e").collect())
     assert got == [(a[0], b[0]) for a in spans for b in spans if a[0] < b[0] and a[2] <= b[3] and a[3] >= b[2]]
 
 

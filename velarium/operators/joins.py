@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velarium.operators import ranged
+from velarium.operators.intervals import contained, overlaps  # noqa: F401  part of this module's functions
 
 
 def diff(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,32 +28,6 @@ def diff_fields(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.explode(pairs).alias("p")).select(key, "p.*").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def _buckets(start: Column, end: Column, days: int) -> Column:
-    number = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / days)
-    return F.sequence(number(start), number(end))
-
-
-def overlaps(df: DataFrame, key: str, group: str, start: str, end: str, days: int) -> DataFrame:
-    """Pairs (a, b) of one group whose intervals overlap, each once.
-
-    Intervals meet in buckets of days (about as long as they are), and only in the first one that
-    they share, so that no distinct is needed and a group's work is spread over its buckets.
-    """
-    rows = df.withColumn("__b", F.explode(_buckets(F.col(start), F.col(end), days)))
-    a, b = rows.alias("a"), rows.alias("b")
-    meet = F.floor(F.datediff(F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}")), F.lit("1970-01-01").cast("date")) / days)
-    on = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.__b") == F.col("b.__b")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    found = a.join(b, on).where((F.col(f"a.{start}") <= F.col(f"b.{end}")) & (F.col(f"a.{end}") >= F.col(f"b.{start}")) & (meet == F.col("a.__b")))
-    return found.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
-
-
-def contained(points: DataFrame, intervals: DataFrame, group: str, at: str, start: str, end: str, days: int) -> DataFrame:
-    """Rows of points with the intervals of their group that hold them, by the bucket of the point."""
-    rows = intervals.withColumn("__b", F.explode(_buckets(F.col(start), F.col(end), days)))
-    dots = points.withColumn("__b", F.floor(F.datediff(F.col(at), F.lit("1970-01-01").cast("date")) / days))
-    return dots.join(rows, [group, "__b"]).where(F.col(at).between(F.col(start), F.col(end)))
-
-
 def as_of(left: DataFrame, right: DataFrame, group: str, at: str, effective: str, values: list[str]) -> DataFrame:
     """left with the values of right's latest row of the group that is in effect; NULL before the first.
 

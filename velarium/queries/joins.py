@@ -69,19 +69,20 @@ def join_full_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.diff(*part_versions(spark, sf_dir), ["p_partkey"])
 
 
-_TARGETS = "SELECT c_custkey AS id, c_mktsegment AS metric, DATE '1995-01-01' + (c_custkey * 37 % 2000)::INTEGER AS s, DATE '1995-01-01' + (c_custkey * 37 % 2000 + 3)::INTEGER AS e FROM customer"
+_TARGETS = "SELECT o_orderkey AS id, o_custkey AS metric, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + (CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 30 WHEN 3 THEN 365 ELSE 3650 END)::INTEGER AS e FROM orders"
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets with intervals of four days, from customers."""
-    start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") * 37 % 2000).cast("int"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("metric"), start.alias("s"), F.date_add(start, 3).alias("e"))
+    """Targets of customers that hold for a day, a week, a month, a year or ten years, from their orders."""
+    k, start = F.col("o_orderkey") % 5, F.to_date("o_orderdate")
+    days = F.when(k == 0, 0).when(k == 1, 6).when(k == 2, 30).when(k == 3, 365).otherwise(3650)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("metric"), start.alias("s"), F.date_add(start, days).alias("e"))
 
 
 @query(f"WITH t AS ({_TARGETS}) SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.metric = b.metric AND a.id < b.id AND a.s <= b.e AND a.e >= b.s")
 def join_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping pairs; intervals meet in buckets of days, not across a whole metric."""
-    return J.overlaps(targets(spark, sf_dir), "id", "metric", "s", "e", days=8)
+    """Overlapping pairs of intervals of mixed lengths, which meet in buckets as wide as the longer one."""
+    return J.overlaps(targets(spark, sf_dir), "id", "metric", "s", "e")
 
 
 @query("SELECT p_type AS alias, count(DISTINCT p_brand) AS n_targets FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
@@ -120,10 +121,12 @@ def join_asof_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.as_of_sorted(events, orders, "user_id", "ts", "from", ["amount"]).select("event_id", "amount")
 
 
-@query(f"WITH t AS ({_TARGETS}), o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, c_mktsegment AS metric FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000) SELECT o.o_orderkey, t.id FROM o JOIN t ON o.metric = t.metric AND o.d BETWEEN t.s AND t.e")
+@query(f"WITH t AS ({_TARGETS}) SELECT l_orderkey, l_linenumber, t.id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN t ON o_custkey = t.metric AND CAST(l_shipdate AS DATE) BETWEEN t.s AND t.e")
 def join_range_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_totalprice > 250000").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.col("c_mktsegment").alias("metric"))
-    return J.contained(orders, targets(spark, sf_dir), "metric", "d", "s", "e", days=8).select("o_orderkey", "id")
+    """The targets of a line's customer that hold on the day it is shipped."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"), F.col("o_custkey").alias("metric"))
+    return J.contained(lines, targets(spark, sf_dir), "metric", "d", "s", "e").select("l_orderkey", "l_linenumber", "id")
 
 
 @query("WITH k AS (SELECT p_name, count(*) AS n FROM (SELECT CASE p_partkey WHEN 7 THEN 'one of a kind' ELSE p_name END AS p_name FROM part) GROUP BY 1), w AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'red ring' WHEN 1 THEN 'no part' ELSE 'one of a kind' END AS name FROM supplier) SELECT s_suppkey, CASE WHEN n IS NULL THEN 'NO_MATCH' WHEN n = 1 THEN 'UNIQUE' ELSE 'MULTIPLE' END AS outcome FROM w LEFT JOIN k ON name = p_name")

@@ -50,7 +50,7 @@ _check("dq_empty_filter", lambda s, d: Q.failing(_part(s, d).select("p_partkey",
 
 @query(f"WITH t AS ({_TARGETS}) SELECT 'METRIC_TARGET_OVERLAP' AS code, CAST(id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT a.id FROM t a JOIN t b ON a.metric = b.metric AND a.id < b.id AND a.s <= b.e AND a.e >= b.s) GROUP BY id")
 def dq_target_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = J.overlaps(targets(spark, sf_dir), "id", "metric", "s", "e", 8).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    found = J.overlaps(targets(spark, sf_dir), "id", "metric", "s", "e").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     return Q.failing(found, "METRIC_TARGET_OVERLAP", "a", F.lit(True), "n")
 
 
