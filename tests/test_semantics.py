@@ -219,7 +219,7 @@ def test_content_store(spark, tmp_path):
     refs = s.put(texts)
     s.put(texts)
     assert s.all().count() == 2 and s.get(refs.select("ref")).count() == 2 and s.broken().count() == 0
-    spark.createDataFrame([("sha256:0", "c")], "ref string, content string").write.mode("append").parquet(s.path)
+    spark.createDataFrame([("sha256:0", "c")], "ref string, content string").write.parquet(f"{s.path}/texts/segment=x/folder=0")
     assert s.broken().count() == 1
 
 

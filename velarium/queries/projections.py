@@ -151,12 +151,40 @@ def flow_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECRET = b"test"
 
 
+_RANKED = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS customer FROM orders"
+
+
+def ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with keys that may be NULL."""
+    when = lambda n, c: F.when(F.col("o_orderkey") % n > 0, F.col(c))
+    return table(spark, sf_dir, "orders").select("o_orderkey", when(5, "o_orderpriority").alias("priority"), when(3, "o_custkey").alias("customer"))
+
+
+@query(f"WITH r AS ({_RANKED}), n AS (SELECT count(*) AS total, (count(*) + 19) // 20 * 2 // 3 AS page FROM r) SELECT o_orderkey, priority, customer, page, total FROM (SELECT *, row_number() OVER (ORDER BY priority NULLS LAST, customer NULLS LAST, o_orderkey) AS k FROM r), n WHERE k > (page - 1) * 20 AND k <= page * 20")
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page at two thirds of all, by an index of ranges: it reads no more than the first page does."""
+    index = paging.PageIndex.build(ranked_orders(spark, sf_dir), ["priority", "customer", "o_orderkey"], nulls_last=True)
+    number = index.pages(20) * 2 // 3
+    return index.page(number, 20).withColumn("page", F.lit(number).cast("long")).withColumn("total", F.lit(index.total).cast("long"))
+
+
+@query(f"WITH r AS ({_RANKED}) SELECT o_orderkey, priority, customer FROM r WHERE priority IS NULL AND customer IS NULL OR priority IS NULL AND customer = (SELECT min(customer) FROM r WHERE priority IS NULL) ORDER BY priority NULLS FIRST, customer NULLS FIRST, o_orderkey LIMIT 50 OFFSET (SELECT greatest(count(*) - 45, 0) FROM r WHERE priority IS NULL AND customer IS NULL)")
+def page_over_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after one whose keys are NULL: first the rest of these, then those of the first customer."""
+    rows, keys = ranked_orders(spark, sf_dir), ["priority", "customer", "o_orderkey"]
+    both = rows.where("priority IS NULL AND customer IS NULL")
+    at = both.orderBy(F.desc("o_orderkey")).offset(45).limit(1).select("o_orderkey").head()
+    first = rows.where("priority IS NULL").agg(F.min("customer")).first()[0]
+    page = paging.keyset(rows, keys, 50, after=(None, None, at[0]) if at else None)
+    return page.where(F.col("customer").isNull() | (F.col("customer") == first))
+
+
 @query("SELECT c_custkey, c_name, 3 AS page, true AS has_more, (SELECT count(*) FROM customer) AS total FROM (SELECT * FROM customer ORDER BY c_name, c_custkey LIMIT 20 OFFSET 40)")
 def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third page, by the cursors of the two before."""
-    customers, cursor = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), None
+    """The third page, by the cursors of the two before; the index is made once."""
+    index, cursor = paging.PageIndex.build(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"]), None
     for number in range(1, 4):
-        page = paging.read_page(customers, ["c_name", "c_custkey"], SECRET, {"run": "r1", "filter": ""}, size=20, cursor=cursor)
+        page = index.read(SECRET, {"run": "r1", "filter": ""}, size=20, cursor=cursor)
         cursor = page.after
     return page.rows.select("c_custkey", "c_name", F.lit(number).alias("page"), F.lit(page.has_more).alias("has_more"), F.lit(page.total).cast("long").alias("total"))
 

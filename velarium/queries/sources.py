@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.operators import sqlprofile
 from velarium.registry import query
-from velarium.session import table
+from velarium.session import scratch_dir, table
 from velarium.sources import registry, store
+from velarium.sources.keyed import KeyedTable
 
 
-@query("SELECT p_partkey, sha256(p_name) AS fingerprint FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey <= 20)")
+@query("WITH p AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand) AS content FROM part), h AS (SELECT max(p_partkey) // 2 AS half FROM part) SELECT DISTINCT 'sha256:' || sha256(content) AS fingerprint, content FROM p, h WHERE p_partkey > half AND content NOT IN (SELECT content FROM p, h WHERE p_partkey <= half)")
 def src_capture_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures whose fingerprint isn't among the first twenty."""
-    captures = table(spark, sf_dir, "part").select("p_partkey", F.sha2("p_name", 256).alias("fingerprint"))
-    return store.new_captures(captures, captures.where("p_partkey <= 20")).select("p_partkey", "fingerprint")
+    """The first half of the parts is captured, then the second: what of it isn't in the store yet, which tells by its filters what to read."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("content"))
+    half = part.agg(F.max("p_partkey")).first()[0] // 2
+    held = store.ContentStore(spark, f"{scratch_dir(spark)}/captures-{uuid.uuid4().hex}")
+    held.put(part.where(F.col("p_partkey") <= half))
+    return held.missing(part.where(F.col("p_partkey") > half)).select(F.col("ref").alias("fingerprint"), "content")
 
 
 @query("SELECT batch, sha256(string_agg(snapshot, chr(10) ORDER BY snapshot)) AS identity, count(*) AS n FROM (SELECT DISTINCT p_brand AS batch, p_type AS snapshot FROM part) GROUP BY 1")
@@ -38,7 +44,8 @@ def src_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     new = old.where("s_suppkey % 5 = 0").select("s_suppkey", F.lit(0.0).alias("s_acctbal")).unionByName(spark.range(1).select(F.lit(1000000).cast("long").alias("s_suppkey"), F.lit(1.0).alias("s_acctbal")))
-    return store.upsert(old, new, ["s_suppkey"])
+    made = KeyedTable.create(old, f"{scratch_dir(spark)}/suppliers-{uuid.uuid4().hex}", ["s_suppkey"], buckets=16)
+    return made.upsert(new).rows()
 
 
 _OLD, _NEW = "SELECT 'c' || s_suppkey AS name, 'csv' AS family, s_name AS config, 2 AS revision FROM supplier WHERE s_suppkey % 4 <> 0", "SELECT 'c' || s_suppkey AS name, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'csv' END AS family, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '!' ELSE s_name END AS config, CASE WHEN s_suppkey % 6 <> 0 THEN 3 ELSE 2 END AS revision FROM supplier"
@@ -54,7 +61,9 @@ def src_import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_name < 'Supplier#000000003' OR s_name >= 'Supplier#000000006'")
 def src_range_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.range_delete(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", "Supplier#000000003", "Supplier#000000006")
+    """Only buckets that hold such names are written again."""
+    made = KeyedTable.create(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), f"{scratch_dir(spark)}/suppliers-{uuid.uuid4().hex}", ["s_suppkey"], buckets=16)
+    return made.delete_range("s_name", "Supplier#000000003", "Supplier#000000006").rows()
 
 
 _XML = "CASE s_suppkey % 6 WHEN 0 THEN '<!DOCTYPE a><s>x</s>' WHEN 1 THEN concat('<?xml version=\"1.0\"?><s><name>', s_name, '</name></s>') WHEN 2 THEN '<s><name>cut' WHEN 3 THEN 'no markup' WHEN 4 THEN ' ' ELSE concat('<s name=\"', s_name, '\"/>') END"

@@ -2,44 +2,118 @@
 
 from __future__ import annotations
 
+import hashlib  # noqa: F401  for users of filters
 import io
 import re
 import uuid
 import zipfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.functions.scalar import content_ref
+from velarium.session import discard, materialize
 
 #: The nine sections of a standard document, in order.
 SECTIONS = ("Overview", "Entities", "Events", "Relations", "Metrics", "Rules", "Calendars", "Evidence", "Open questions")
 
 
+#: Bits of a filter for each digest, and hash functions: 1 in 100 digests that aren't there may seem to be.
+FILTER_BITS, FILTER_HASHES = 10, 7
+
+
+def _places(refs: pd.Series, size: int) -> np.ndarray:
+    """A digest's places in a filter, a row for each; digests are uniform, so parts of them serve as hashes."""
+    halves = np.array([(int(r[-32:-16], 16), int(r[-16:], 16) | 1) for r in refs], np.uint64).reshape(-1, 2)
+    return (halves[:, :1] + np.arange(FILTER_HASHES, dtype=np.uint64) * halves[:, 1:]) % np.uint64(size)
+
+
+def make_filter(refs: pd.Series) -> bytes:
+    bits = np.zeros(max(64, -(-len(refs) * FILTER_BITS // 8) * 8), bool)
+    bits[_places(refs, len(bits)).ravel()] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_hold(data: bytes, refs: pd.Series) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
+    return bits[_places(refs, len(bits))].all(axis=1)
+
+
 class ContentStore:
-    """Texts under the digest of their content. A text is written once; what is there is never changed."""
+    """Texts under the digest of their content. A text is written once; what is there is never changed.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Each put that brings something new makes a segment: texts in folders by the first digits of their digests, and a Bloom
+    filter of each folder's digests. A put looks its digests up in the filters and reads only the folders that may
+    hold one of them, so what it reads follows the batch, not the store. digits: hexadecimal, so many that a
+    folder's digests of one put suit a task.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, digits: int = 2):
+        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
+
+    def _there(self, what: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
     def all(self) -> DataFrame:
-        return self.spark.read.schema("ref string, content string").option("recursiveFileLookup", "true").parquet(self.path)
+        schema = "ref string, content string, segment string, folder string"
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/texts") if self._there("texts") else self.spark.createDataFrame([], schema)
+        return rows.select("ref", "content", "segment", "folder")
+
+    def _folder(self):
+        return F.substring("ref", len("sha256:") + 1, self.digits)
+
+    def candidates(self, refs: DataFrame) -> DataFrame:
+        """refs (ref) -> segment, folder: those that may hold one of refs, by their filters."""
+        if not self._there("filters"):
+            return self.spark.createDataFrame([], "segment string, folder string")
+        filters = self.spark.read.schema("folder string, bits binary, segment string").parquet(f"{self.path}/filters")
+
+        def look_up(mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            hits = [(s, f) for s, f, bits in zip(held.segment, held.folder, held.bits, strict=True) if len(mine) and may_hold(bits, mine.ref).any()]
+            return pd.DataFrame(hits, columns=["segment", "folder"])
+
+        return refs.select("ref", self._folder().alias("folder")).groupBy("folder").cogroup(filters.groupBy("folder")).applyInPandas(look_up, "segment string, folder string")
+
+    def known(self, refs: DataFrame) -> DataFrame:
+        """refs (ref) -> ref of those that are there. Reads the folders that candidates() names."""
+        found = [(r.segment, r.folder) for r in self.candidates(refs).collect()]  # as many as the folders of all segments at most
+        if not found:
+            return refs.select("ref").limit(0)
+        rows = self.spark.read.schema("ref string").parquet(*[f"{self.path}/texts/segment={s}/folder={f}" for s, f in found])
+        return refs.select("ref").join(rows.select("ref"), "ref", "left_semi")
+
+    @staticmethod
+    def named(texts: DataFrame) -> DataFrame:
+        """texts (content) -> ref, content of each distinct text."""
+        return texts.select(content_ref(F.col("content")).alias("ref"), "content").dropDuplicates(["ref"])
+
+    def missing(self, texts: DataFrame) -> DataFrame:
+        """texts (content) -> ref, content of those that aren't there yet."""
+        fresh = materialize(self.named(texts), "put")
+        return fresh.join(self.known(fresh), "ref", "left_anti")
 
     def put(self, texts: DataFrame) -> DataFrame:
-        """texts (content) -> ref, content of each distinct text; appends those that aren't there."""
-        fresh = texts.select(content_ref(F.col("content")).alias("ref"), "content").dropDuplicates(["ref"])
-        try:
-            known = self.all().select("ref")
-        except Exception as error:  # the first put: there is no folder yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = None
-        (fresh if known is None else fresh.join(known, "ref", "left_anti")).write.mode("append").parquet(self.path)
-        return fresh
+        """texts (content) -> ref, content of each distinct text; a segment of those that aren't there is added."""
+        new = materialize(self.missing(texts).withColumn("folder", self._folder()), "new")
+        if not new.isEmpty():
+            segment = uuid.uuid4().hex
+
+            def bits(rows: pd.DataFrame) -> pd.DataFrame:
+                return pd.DataFrame({"folder": [rows.folder.iloc[0]], "bits": [make_filter(rows.ref)]})
+
+            new.repartition("folder").write.partitionBy("folder").parquet(f"{self.path}/texts/segment={segment}")
+            # Texts without filters would be written again by a later put, which does no harm, so filters come last.
+            new.select("ref", "folder").groupBy("folder").applyInPandas(bits, "folder string, bits binary").write.parquet(f"{self.path}/filters/segment={segment}")
+        discard(new)
+        return self.named(texts)
 
     def get(self, refs: DataFrame) -> DataFrame:
         """refs (ref) -> ref, content; a content that doesn't give its ref is left out."""
-        return refs.join(self.all(), "ref").where(F.col("ref") == content_ref(F.col("content")))
+        texts = self.all().select("ref", "content").dropDuplicates(["ref", "content"])
+        return refs.join(texts, "ref").where(F.col("ref") == content_ref(F.col("content")))
 
     def broken(self) -> DataFrame:
         return self.all().where(F.col("ref") != content_ref(F.col("content"))).select("ref")
@@ -56,11 +130,6 @@ def freeze(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("batch").agg(members.alias("members")).withColumn("identity", F.sha2(F.array_join("members", "\n"), 256))
 
 
-def range_delete(df: DataFrame, key: str, low, high) -> DataFrame:
-    """The rows whose key isn't from low up to (without) high; a null key stays."""
-    return df.where(F.col(key).isNull() | (F.col(key) < F.lit(low)) | (F.col(key) >= F.lit(high)))
-
-
 def batches(df: DataFrame, size: int = 1000) -> DataFrame:
     """df with batch: numbers of groups of at most `size` rows, each inside one task."""
     number = F.monotonically_increasing_id()  # counts up inside each partition
@@ -108,11 +177,6 @@ def range_scan(df: DataFrame, key: str, prefix: str, after: str | None = None, s
     return (rows.where(F.col(key) > after) if after is not None else rows).orderBy(key).limit(size + 1)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows in place of those with their keys."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-
-
 def render_markdown(title: str, sections: dict[str, str]) -> str:
     if unknown := set(sections) - set(SECTIONS):
         raise ValueError(f"unknown sections {sorted(unknown)}")
