@@ -32,14 +32,29 @@ def normalize_operator(name: str) -> str:
 ALLOWED = frozenset("abs ceil floor round coalesce nullif ifnull greatest least cast case when then else end and or not in is null between like if concat concat_ws lower upper trim ltrim rtrim length substring substr replace split_part date date_add date_trunc to_date year quarter month day hour datediff unix_timestamp true false interval".split())
 
 
+_TOKEN = re.compile(r"""(?P<text>'(?:[^'\\]|\\.|'')*')|(?P<quoted>`(?:[^`]|``)*`)|(?P<name>[^\W\d]\w*)|(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?)|(?P<other>\S)""", re.S)
+#: Words that no scalar expression over columns has.
+_FORBIDDEN = frozenset("select from with insert delete update drop reflect java_method try_reflect lateral table values".split())
+
+
 def check_transform(expression: str) -> None:
-    """Refuses what isn't a scalar expression over columns, literals, operators and ALLOWED functions."""
-    bare = re.sub(r"'(?:[^']|'')*'", "''", expression)
-    if re.search(r";|--|/\*|\b(?:select|from|with|insert|delete|update|drop|reflect|java_method|try_reflect)\b", bare, re.I):
-        raise ValueError(f"not a scalar expression: {expression}")
-    for name in re.findall(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", bare):
-        if name.lower() not in ALLOWED and not name.lower().startswith(("decimal", "varchar")):
-            raise ValueError(f"{name} isn't allowed in an expression")
+    """Refuses what isn't a scalar expression over columns, literals, operators and ALLOWED functions.
+
+    It is read token by token, so what stands in a literal or a quoted name is no word of its own. Only a bare name that
+    is allowed may stand before a bracket: quoted names, qualified ones and lambdas are refused there.
+    """
+    before = previous = ""
+    for token in _TOKEN.finditer(expression):
+        kind, word = token.lastgroup, token[0]
+        if word in (";", '"', "$", "@", "#", "{", "}", "[", "]", "?") or word in "'`" and kind == "other" or expression.startswith(("--", "/*", "->", "=>"), token.start()) and kind == "other":
+            raise ValueError(f"not a scalar expression: {expression}")
+        if kind == "name" and word.lower() in _FORBIDDEN and previous != ".":
+            raise ValueError(f"not a scalar expression: {expression}")
+        if word == "(" and kind == "other" and previous:
+            name = re.fullmatch(r"[^\W\d]\w*", previous)
+            if previous.startswith(("`", "'")) or before == "." or name and previous.lower() not in ALLOWED and not re.fullmatch(r"(?i)decimal|varchar|char", previous):
+                raise ValueError(f"{previous} isn't allowed in an expression")
+        before, previous = previous, word
 
 
 def physical_table(thing: Object, preferred: tuple[str, ...] = ()) -> str:

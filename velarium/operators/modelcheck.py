@@ -1,17 +1,19 @@
 """Checks of a semantic model that is stored as tables: each gives the rows that break it.
 
 A check is a row of a table: its code and severity, the table it looks at (as `t`), another one (as `o`) with
-the condition that joins both, and what makes a row a violation. Each becomes one scan, one anti or equi
-join, or one aggregate that combines before the shuffle; none collects a table.
+the condition that joins both, and what makes a row a violation. Checks are compiled together: a table is scanned
+once for all checks that look at it, each row becoming a row for each check that it concerns; all pairs of
+tables meet in one join by check and key, and all counts are one aggregate. All cycles are found in one run.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "code string, severity string, key string, detail string"
@@ -68,30 +70,156 @@ def _out(df: DataFrame, check: Check, key: str, detail: str) -> DataFrame:
     return df.select(F.lit(check.code).alias("code"), F.lit(check.severity).alias("severity"), F.expr(f"CAST({key} AS STRING)").alias("key"), F.expr(f"CAST({detail} AS STRING)").alias("detail"))
 
 
-def violations_of(check: Check, tables: Mapping[str, DataFrame] | Callable[[str], DataFrame]) -> DataFrame:
-    get = tables if callable(tables) else tables.__getitem__
+def conjuncts(condition: str) -> list[str]:
+    """The parts of a condition that are joined by AND outside of parentheses."""
+    parts, depth, held = [], 0, []
+    for word in re.split(r"(\s+AND\s+|[()])", condition):
+        depth += (word == "(") - (word == ")")
+        if depth == 0 and word.strip() == "AND":
+            parts.append("".join(held).strip())
+            held = []
+        else:
+            held.append(word)
+    return [*parts, "".join(held).strip()]
+
+
+def _sides(text: str) -> set[str]:
+    return set(re.findall(r"\b([to])\.\w", text))
+
+
+@dataclass
+class _Plan:
+    """A check taken apart: what each side must be, the keys that must be equal, and what is left to ask of a pair."""
+
+    check: Check
+    t_where: list[str]
+    o_where: list[str]
+    keys: list[tuple[str, str]]
+    rest: list[str]
+
+    @classmethod
+    def of(cls, check: Check) -> _Plan:
+        plan = cls(check, [], [], [], [])
+        if check.form in ("row", "twice", "anti"):
+            plan.t_where.append(check.where)
+        asked = (conjuncts(check.on) if check.on else []) + (conjuncts(check.where) if check.form in ("pair", "count") else [])
+        for part in asked:
+            sides = _sides(part)
+            equal = re.fullmatch(r"([to])\.(\w+) = ([to])\.(\w+)", part)
+            if equal and sides == {"t", "o"}:
+                named = {equal[1]: equal[2], equal[3]: equal[4]}
+                plan.keys.append((named["t"], named["o"]))
+            elif sides == {"t", "o"}:
+                plan.rest.append(part)
+            else:
+                (plan.o_where if sides == {"o"} else plan.t_where).append(part)
+        if check.form == "anti" and any(p in plan.t_where for p in conjuncts(check.on)):
+            raise ValueError(f"{check.code}: a condition on t alone belongs to `where`")
+        if check.form == "anti" and plan.rest:
+            raise ValueError(f"{check.code}: rows without a match can only be told by equal keys")
+        return plan
+
+    def shared(self, side: str) -> list[str]:
+        """Columns of a side that the rest asks for."""
+        return sorted(set(re.findall(rf"\b{side}\.(\w+)", " ".join(self.rest))))
+
+
+def _stream(side: str, name: str, plans: list[tuple[int, _Plan]], df: DataFrame) -> DataFrame:
+    """One scan of a table for all checks that look at it from one side: n (the check), k (its key), and of t: key, detail, of o: detail; numbers and texts for the rest. One expression, as text: a table may have many checks."""
+    kinds = dict(df.dtypes)
+    rows = []
+    for n, plan in plans:
+        c = plan.check
+        key_of = [pair[0 if side == "t" else 1] for pair in plan.keys]
+        k = f"concat({', '.join(f'CAST({side}.{column} AS STRING), char(1)' for column in key_of)})" if key_of else "CAST(NULL AS STRING)"
+        if side == "t":
+            # Rows without a key match nothing; each gets a key of its own, so that they don't gather in one task.
+            k = f"coalesce({k}, concat(char(2), coalesce(CAST({c.key} AS STRING), '')))"
+        asked = plan.shared(side)
+        texts = [x for x in asked if kinds[x] == "string"]
+        numbers = [x for x in asked if x not in texts]
+        if any(not re.match(r"tinyint|smallint|int|bigint|date", kinds[x]) for x in numbers):
+            raise ValueError(f"{c.code}: only whole numbers, days and texts are compared between tables")
+        numbers = ", ".join(f"unix_date({side}.{x})" if kinds[x] == "date" else f"{side}.{x}" for x in numbers)
+        detail = c.detail if c.form in ("row", "anti", "pair") and ("o" in _sides(c.detail)) == (side == "o") else "NULL"
+        where = " AND ".join(f"({w})" for w in (plan.t_where if side == "t" else plan.o_where)) or "true"
+        key = f", 'key', CAST({c.key} AS STRING)" if side == "t" else ""
+        fields = f"'n', {n}, 'k', {k}, 'detail', CAST({detail} AS STRING), 'numbers', CAST(array({numbers}) AS ARRAY<BIGINT>), 'texts', CAST(array({', '.join(f'{side}.{x}' for x in texts)}) AS ARRAY<STRING>){key}"
+        rows.append(f"CASE WHEN {where} THEN named_struct({fields}) END")
+    return df.alias(side).selectExpr(f"explode(filter(array({', '.join(rows)}), x -> x IS NOT NULL)) AS x").select("x.*")
+
+
+def _rest(n: int, plan: _Plan, kinds: Mapping[str, Mapping[str, str]]) -> str:
+    """What is left to ask, over the numbers and texts that both sides brought."""
+    text = " AND ".join(f"({p})" for p in plan.rest)
+    for side in "to":
+        asked = plan.shared(side)
+        texts = [x for x in asked if kinds[side][x] == "string"]
+        numbers = [x for x in asked if x not in texts]
+        for x in asked:
+            place = f"{side}.texts[{texts.index(x)}]" if x in texts else f"{side}.numbers[{numbers.index(x)}]"
+            text = re.sub(rf"\b{side}\.{x}\b(?!\[)", place, text)
+    return f"WHEN {n} THEN {text}"
+
+
+def _joined(checks: list[Check], get: Callable[[str], DataFrame]) -> DataFrame:
+    """All checks that look at rows and pairs of rows: each table is scanned once for each side that it stands on, and all meet in one join by check and key, and in one aggregate."""
+    plans = [(n, _Plan.of(c)) for n, c in enumerate(checks)]
+    sides: dict[str, dict[str, list]] = {"t": {}, "o": {}}
+    for n, plan in plans:
+        sides["t"].setdefault(plan.check.t, []).append((n, plan))
+        if plan.check.o:
+            sides["o"].setdefault(plan.check.o, []).append((n, plan))
+    frames = {side: {name: get(name) for name in of} for side, of in sides.items()}
+    whole = {side: reduce(DataFrame.unionByName, [_stream(side, name, some, frames[side][name]) for name, some in of.items()]) for side, of in sides.items() if of}
+    forms, rests = [c.form for c in checks], []
+    for n, plan in plans:
+        if plan.rest:
+            rests.append(_rest(n, plan, {"t": dict(frames["t"][plan.check.t].dtypes), "o": dict(frames["o"][plan.check.o].dtypes)}))
+    t = whole["t"].alias("t")
+    form = F.element_at(F.array(*[F.lit(x) for x in forms]), F.col("t.n") + 1)
+    if "o" in whole:
+        met = t.join(whole["o"].withColumn("there", F.lit(True)).alias("o"), F.expr("t.n = o.n AND t.k = o.k"), "left")
+        met = met.where((form.isin("row", "twice")) | ((form == "anti") & F.col("o.there").isNull()) | (form.isin("pair", "count") & F.col("o.there") & F.expr(f"CASE t.n {' '.join(rests)} ELSE true END" if rests else "true")))
+        detail = F.coalesce("t.detail", "o.detail")
+    else:
+        met, detail = t, F.col("t.detail")
+    counts = met.groupBy(F.col("t.n").alias("n"), F.col("t.key").alias("key"), detail.alias("detail")).agg(F.count(F.lit(1)).alias("rows"))
+    form = F.element_at(F.array(*[F.lit(x) for x in forms]), F.col("n") + 1)
+    counts = counts.where((form != "twice") | (F.col("rows") > 1))
+    times = F.when(form.isin("row", "anti"), F.col("rows")).otherwise(F.lit(1).cast("long"))
+    each = counts.withColumn("detail", F.when(form.isin("twice", "count"), F.col("rows").cast("string")).otherwise(F.col("detail"))).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("n") + 1)
+    return each.select(pick([c.code for c in checks]).alias("code"), pick([c.severity for c in checks]).alias("severity"), "key", "detail")
+
+
+def _cycles(checks: list[Check], get: Callable[[str], DataFrame]) -> DataFrame:
+    """All cycle checks in one run: nodes carry the number of their check."""
+    tag = lambda n, c: F.concat(F.lit(f"{n}:"), F.col(c).cast("string")).alias(c)
+    edges = reduce(DataFrame.union, [get(c.t).where("a IS NOT NULL AND b IS NOT NULL").select(tag(n, "a"), tag(n, "b")) for n, c in enumerate(checks)])
+    n = F.substring_index("node", ":", 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), n + 1)
+    return reaches_cycle(edges).select(pick([c.code for c in checks]).alias("code"), pick([c.severity for c in checks]).alias("severity"), F.expr("substring(node, instr(node, ':') + 1)").alias("key"), F.lit("").alias("detail"))
+
+
+def _apart(check: Check, get: Callable[[str], DataFrame]) -> DataFrame:
     t = get(check.t).alias("t")
-    if check.form == "cycle":
-        return _out(reaches_cycle(t), check, "node", check.detail)
-    if check.form == "apart":
-        pairs = reachable_pairs(get(check.o), t.select("start"))
-        return _out(t.where(check.where).join(pairs.alias("o"), F.expr("t.start = o.start AND t.node = o.node"), "left_anti"), check, check.key, check.detail)
-    if check.form == "twice":
-        return _out(t.where(check.where).groupBy(F.expr(check.key).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), check, "k", "n")
-    if check.form == "row":
-        return _out(t.where(check.where), check, check.key, check.detail)
-    o = get(check.o).alias("o")
-    if check.form == "anti":
-        return _out(t.where(check.where).join(o, F.expr(check.on), "left_anti"), check, check.key, check.detail)
-    joined = t.join(o, F.expr(check.on)).where(check.where)
-    if check.form == "pair":
-        return _out(joined, check, check.key, check.detail).distinct()
-    return _out(joined.groupBy(F.expr(check.key).alias("k")).agg(F.count(F.lit(1)).alias("n")), check, "k", "n")
+    pairs = reachable_pairs(get(check.o), t.select("start"))
+    return _out(t.where(check.where).join(pairs.alias("o"), F.expr("t.start = o.start AND t.node = o.node"), "left_anti"), check, check.key, check.detail)
 
 
 def violations(checks: Iterable[Check], tables: Mapping[str, DataFrame] | Callable[[str], DataFrame]) -> DataFrame:
     """code, severity, key, detail of all checks."""
-    return reduce(DataFrame.unionByName, [violations_of(c, tables) for c in checks])
+    get = tables if callable(tables) else tables.__getitem__
+    checks = list(checks)
+    plain = [c for c in checks if c.form not in ("cycle", "apart")]
+    rings = [c for c in checks if c.form == "cycle"]
+    parts = ([_joined(plain, get)] if plain else []) + ([_cycles(rings, get)] if rings else []) + [_apart(c, get) for c in checks if c.form == "apart"]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def violations_of(check: Check, tables: Mapping[str, DataFrame] | Callable[[str], DataFrame]) -> DataFrame:
+    return violations([check], tables)
 
 
 def gate(found: DataFrame) -> DataFrame:

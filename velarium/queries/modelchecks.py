@@ -6,7 +6,7 @@ The expressions below are read by both engines; joins, aggregates and closures a
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,10 +60,12 @@ MODEL: dict[str, list[tuple[str, dict[str, str], str]]] = {
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    """The model's tables by name."""
+    """The model's tables by name; each file is opened once."""
+    opened = cache(lambda source: table(spark, sf_dir, source))
 
+    @cache
     def get(name: str) -> DataFrame:
-        parts = [table(spark, sf_dir, source).where(where).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()]) for source, columns, where in MODEL[name]]
+        parts = [opened(source).where(where).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()]) for source, columns, where in MODEL[name]]
         return reduce(DataFrame.union, parts)
 
     return get
