@@ -2,9 +2,9 @@
 
 Candidates come from regular expressions: the base kinds, numbers like cards that fail the check digit,
 phones without a country code, e-mail addresses with `at` and `dot` spelled out, IPv6 addresses, and
-secrets (keys, passwords and tokens that are assigned). Three labelers vote on each (for, against, or
-abstain): its form, a gazetteer (top-level domains, issuers, reserved addresses, key prefixes), and words
-of its context; none knows which spans are base. For each kind, expectation-maximisation over the counts
+secrets (keys, passwords and tokens that are assigned). Four labelers vote on each (for, against, or
+abstain): its form (a card's with its check digit), a gazetteer (top-level domains, issuers with the lengths of their
+numbers, reserved addresses, key prefixes), words of its context, and what it touches. For each kind, expectation-maximisation over the counts
 of vote patterns estimates how reliable each labeler is. A logistic classifier over features of the spans (rule, length,
 separators, neighbours, check digits; not the votes) is trained on the posteriors of all candidates, and
 decides on those that aren't base. Base spans stay whatever it says.
@@ -57,12 +57,12 @@ RULES = (
 )
 #: Rules whose matches are never base.
 ADDED = ("spelled", "local", "national", "ip6", "secret")
-AROUND = 40
+AROUND = 80
 
 #: Fixed values of the gazetteer and the context labelers.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|at|ch|nl|be|us|ca"
 RESERVED = r"^(?:0|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-4])\."
-ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|3[0689]|6(?:011|4[4-9]|5))"
+ISSUERS = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12,15})$"
 CONTEXT = {
     "email": (r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel|adresse)\b", r"(?i)\b(?:example|sample|user@)\b"),
     "ip": (r"(?i)\b(?:ip|address|host|server|login|from|adresse|dirección)\b", r"(?i)\b(?:version|ver|release|section|v)\.?$"),
@@ -70,7 +70,7 @@ CONTEXT = {
     SECRET: (r"(?i)\b(?:key|password|passwd|pwd|secret|token|credentials|login|auth)\b", r"(?i)\b(?:example|sample|placeholder|your)\b"),
     "phone": (r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|cell|telefon|téléphone|teléfono|anrufen)\b", r"(?i)\b(?:order|isbn|id|serial|part|version|nr|no)\b"),
 }
-VOTES = ("form", "gazetteer", "context")
+VOTES = ("form", "gazetteer", "context", "neighbours")
 
 
 def _candidate(rule: str):
@@ -125,11 +125,11 @@ def labelled(found: DataFrame) -> DataFrame:
         _by_kind(
             email=text.rlike(r"^[A-Za-z0-9](?:[._%+-]?[A-Za-z0-9])*+@(?:[A-Za-z0-9](?:-*[A-Za-z0-9])*+\.)+[A-Za-z]{2,}$") | (F.col("rule") == "spelled"),
             ip=text.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$") | (F.col("rule") == "ip6"),
-            card=text.rlike(r"^(?:[0-9]{14,16}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$"),
+            card=luhn & text.rlike(r"^(?:[0-9]{14,16}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$"),
             phone=text.rlike(r"^(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?)?[0-9]+(?:([\x20.-])[0-9]+(?:\1[0-9]+)*)?$"),
             secret=text.rlike(r"[0-9]") & text.rlike(r"[A-Za-z]") & text.rlike(r"[A-Za-z0-9+/_-]{12,}"),
         ),
-        _by_kind(email=text.rlike(r"\.\.|\.[0-9]+$|^[.-]|-\."), ip=text.rlike(r"^(?:0\.|.*\.0[0-9])"), card=text.rlike(r"\x20.*-|-.*\x20|^[0-9]{1,3}[\x20-]"), phone=text.rlike(r"[\x20.()-]{3}|\([^)]*$"), secret=~text.rlike(r"[0-9]")),
+        _by_kind(email=text.rlike(r"\.\.|\.[0-9]+$|^[.-]|-\."), ip=text.rlike(r"^(?:0\.|.*\.0[0-9])"), card=~luhn | text.rlike(r"\x20.*-|-.*\x20|^[0-9]{1,3}[\x20-]"), phone=text.rlike(r"[\x20.()-]{3}|\([^)]*$"), secret=~text.rlike(r"[0-9]")),
     )
     near = F.concat_ws(" ", "left", "right")
     context = _vote(_by_kind(**{k: near.rlike(said) for k, (said, _) in CONTEXT.items()}), _by_kind(**{k: F.col("left").rlike(denied) for k, (_, denied) in CONTEXT.items()}))
@@ -141,11 +141,13 @@ def labelled(found: DataFrame) -> DataFrame:
     gazetteer = _vote(_by_kind(**{k: v[0] for k, v in listed.items()}), _by_kind(**{k: v[1] for k, v in listed.items()}))
     marks = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\x20().-]"), F.lit(0))))
     apart = r"^$|[\x20\t\n\r(\[{<\"',;:=]$"
+    apart_left, apart_right = F.col("left").rlike(apart), F.col("right").rlike(r"^$|^[\x20\t\n\r)\]}>\"',;:.!?]")
+    neighbours = _vote(apart_left & apart_right, F.col("left").rlike(r"[\p{L}\p{N}#/\\]$") | F.col("right").rlike(r"^[\p{L}\p{N}/\\]"))
     rows = rows.select(
         "row", "doc_id", "kind", "rule", "start", "end", F.coalesce(ok, F.lit(False)).alias("base"), F.coalesce(weak, F.lit(False)).alias("weak"),
-        form.alias("form"), gazetteer.alias("gazetteer"), context.alias("context"),
+        form.alias("form"), gazetteer.alias("gazetteer"), context.alias("context"), neighbours.alias("neighbours"),
         F.least(F.lit(3), F.floor(F.length(text) / 8)).cast("int").alias("size"), F.least(F.lit(2), marks).alias("marks"), (F.col("kind") == "card").cast("int").alias("_card"), luhn.cast("int").alias("_luhn"),
-        F.col("left").rlike(apart).cast("int").alias("apart_left"), F.col("right").rlike(r"^$|^[\x20\t\n\r)\]}>\"',;:.!?]").cast("int").alias("apart_right"),
+        apart_left.cast("int").alias("apart_left"), apart_right.cast("int").alias("apart_right"),
     )
     return rows.withColumn("checked", F.when(F.col("_card") == 1, 2 * F.coalesce("_luhn", F.lit(0)) - 1).otherwise(0)).drop("_card", "_luhn")
 
