@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.registry import query
-from velarium.session import table
+from velarium.session import scratch_dir, table
+from velarium.sources import log
 from velarium.streaming import streams as S
 
 
@@ -83,3 +85,18 @@ _MOVES = "WITH a AS (SELECT *, min(CASE WHEN event_type = 'signup' THEN (ts, eve
 def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's state after all events, in their order, however they came in batches."""
     return _to_the_end(spark, sf_dir, S.state_machine, "update", ("user_id",), S.ROCKSDB)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in a segmented log, written by two commits; a stream takes the first, stops, and goes on with the second by its offsets."""
+    log.register(spark)
+    base = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("payload"))
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    records = spark.readStream.format("velarium_log").option("path", f"{base}/log").load()
+    rows = records.select(F.from_json("payload", "event_id long, user_id long, event_type string").alias("r")).select("r.*")
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        events.where(part).select("payload").write.format("velarium_log").option("path", f"{base}/log").mode("append").save()
+        out = S.run_now(rows, base=f"{base}/run")
+    return out
