@@ -4,7 +4,8 @@ A log is a folder: `data/` has segments (a JSON text a line), `manifests/` the c
 segments with the offset of each one's first record; records without a commit don't exist. A job's tasks write segments
 under names of their own; the driver then publishes all of them by creating the next manifest, whole and only if there is
 none of that number; if another writer was first, it tries the one after. Nothing is renamed or written over, so a
-job that is given up leaves at most files that no manifest names, and these it deletes.
+job that is given up leaves at most files that no manifest names. These it deletes, but for those of tasks that
+were killed while they wrote, which clean() takes away.
 
 A stream's offset is the number of records that it has read. It goes on from its checkpoint, and records keep
 their offsets for ever, so a restart neither loses nor repeats one. commit() notes how far a named reader has come.
@@ -16,6 +17,7 @@ import bisect
 import contextlib
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -109,6 +111,13 @@ class Log:
                 os.unlink(own)
             return at
 
+    def clean(self, age: float = 86_400) -> int:
+        """Delete files that no manifest names and nobody wrote to for so many seconds (those of tasks that were killed); how many went."""
+        named = {file for name in self.manifests() for file, *_ in self.read(name)["segments"]}
+        old = [f for f in os.listdir(f"{self.path}/data") if f not in named and time.time() - os.stat(f"{self.path}/data/{f}").st_mtime >= age]
+        self.delete([(f, 0) for f in old])
+        return len(old)
+
     def delete(self, files: list[tuple[str, int]]) -> None:
         for file, _ in files:
             with contextlib.suppress(FileNotFoundError):
