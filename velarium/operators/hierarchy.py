@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velarium.operators.components import roots  # noqa: F401  part of this module's functions
-from velarium.session import materialize
+from velarium.operators.ranking import places
+from velarium.session import discard, materialize
 
 _names = itertools.count()
 
@@ -71,3 +72,27 @@ def on_cycle(edges: DataFrame) -> DataFrame:
             return at.select(F.col("b").alias("node")).distinct()
         before = ends
         at = materialize(at.join(at.select(F.col("a").alias("__x"), F.col("b").alias("__next")), F.col("b") == F.col("__x")).select("a", F.col("__next").alias("b")), "cycle")
+
+
+def tree(nodes: DataFrame) -> DataFrame:
+    """nodes (node, parent, position, name; node unique) -> node, depth (of a root 0), path (names by /), place (from 1, parents before children, siblings by position, name, node).
+
+    A node without a known parent is a root. What lies on a circle or below one hangs on no root and has no row. Each round
+    joins the ways found so far to each other, so a tree of depth n takes log n rounds, and the places come from ranges.
+    """
+    own = F.struct("position", F.coalesce("name", F.lit("")).alias("name"), "node")
+    known = nodes.select(F.col("node").alias("__node"))
+    at = nodes.join(known, F.col("parent") == F.col("__node"), "left").select("node", F.col("__node").alias("up"), F.array(own).alias("way"))
+    at, left = materialize(at, "tree"), -1
+    while True:
+        open_ = at.where("up IS NOT NULL").count()
+        if open_ in (0, left):
+            # With as many as before, none of what is left leads to a root.
+            rooted = at.where("up IS NULL").select("node", "way")
+            return places(rooted, ["way"]).select("node", (F.size("way") - 1).alias("depth"), F.array_join("way.name", "/").alias("path"), "place")
+        left = open_
+        above = at.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("way").alias("__way"))
+        joined = at.join(above, "up", "left").select("node", F.col("__up").alias("up"), F.when(F.col("up").isNull(), F.col("way")).otherwise(F.concat("__way", "way")).alias("way"))
+        fresh = materialize(joined, "tree")
+        discard(at)
+        at = fresh

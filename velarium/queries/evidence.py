@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.operators import evidence as E
+from velarium.operators import governance as V
+from velarium.operators import ranged
 from velarium.registry import query
-from velarium.session import table
+from velarium.session import materialize, table
 
 _REC = "SELECT p_partkey AS id, p_brand AS subject, p_type AS predicate, CAST(p_size % 3 AS VARCHAR) AS value, 'root' || p_partkey % 4 AS root, p_partkey % 5 = 0 AS derived FROM part"
 
@@ -221,3 +225,133 @@ def gov_four_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nobody publishes their own draft; a changed base is a conflict."""
     outcome = F.when(F.col("o_custkey") % 10 == F.col("o_orderkey") % 10, "SELF_APPROVAL").when(F.col("o_totalprice") > 400000, "BASE_CONFLICT").otherwise("PUBLISHED")
     return table(spark, sf_dir, "orders").select("o_orderkey", outcome.alias("outcome"))
+
+
+_ORIGINAL = {
+    "rules": "SELECT concat('k', p_partkey) AS code FROM part WHERE p_partkey % 6 = 0",
+    "exclusions": "SELECT p_partkey AS position, concat('k', p_partkey % 1000) AS code, p_name AS name, CASE WHEN p_size % 9 = 0 THEN '' ELSE concat('gap ', p_partkey) END AS reason FROM part WHERE p_size % 5 = 0",
+    "pending": "SELECT p_partkey AS position, concat(CASE p_size % 3 WHEN 0 THEN 'deferred:FIELD:' WHEN 1 THEN 'candidate:RULE:' ELSE '' END, 'k', p_partkey % 1500) AS code, p_name AS name, concat('doubt ', p_partkey) AS reason FROM part WHERE p_size % 4 = 1",
+    "decisions": "SELECT o_orderkey AS position, concat('d', o_orderkey) AS decision, CASE WHEN o_custkey % 2 = 0 THEN 'FIELD' ELSE 'RULE' END AS kind, concat('k', o_custkey) AS code, CASE o_orderpriority WHEN '1-URGENT' THEN 'KEEP' WHEN '2-HIGH' THEN 'EXCLUDED' WHEN '3-MEDIUM' THEN 'DEFERRED' WHEN '5-LOW' THEN 'KEEP_WITHOUT_ENUM_MEMBER' ELSE 'CANDIDATE_ONLY' END AS disposition, concat('c', o_custkey) AS name FROM orders",
+    "evidence": "SELECT concat('d', o_orderkey) AS decision, concat('k', o_custkey) AS code, concat('e', l_partkey) AS ref FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "candidates": "SELECT concat('n', p_partkey) AS candidate, CASE WHEN p_partkey % 50 = 7 THEN 'PENDING_ASSET' WHEN p_partkey % 2 = 0 THEN 'FIELD' ELSE 'RULE' END AS kind, CASE WHEN p_partkey % 40 = 3 THEN NULL ELSE concat('k', p_partkey) END AS code, p_name AS name, p_type AS summary FROM part WHERE p_partkey % 3 <> 1",
+}
+
+
+def originals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Exclusions, pending entries, decisions and candidates, made from parts, orders and their lines."""
+    tables = {t: table(spark, sf_dir, t) for t in ("part", "orders", "lineitem")}
+    return {name: spark.sql(sql.replace("FROM part", "FROM {part}").replace("FROM orders", "FROM {orders}").replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}"), **{t: df for t, df in tables.items() if re.search(rf"(FROM|JOIN) {t}\b", sql)}) for name, sql in _ORIGINAL.items()}
+
+
+# The lists after all decisions: once its first entries are taken away by KEEPs, a code's list starts anew at the last KEEP.
+_AFTER = f"""WITH {', '.join(f'{name} AS MATERIALIZED ({sql})' for name, sql in _ORIGINAL.items())},
+    x AS (SELECT 'EXCLUSION' AS list, position, code, name, reason FROM exclusions UNION ALL SELECT 'PENDING', position, code, name, reason FROM pending),
+    g AS (SELECT 'EXCLUSION' AS list, code AS key, position, decision, code, name, disposition, CASE disposition WHEN 'KEEP' THEN -1 ELSE 1 END AS step FROM decisions WHERE disposition IN ('KEEP', 'EXCLUDED')
+        UNION ALL SELECT 'PENDING', concat('deferred:', kind, ':', code), position, decision, code, name, disposition, CASE disposition WHEN 'KEEP' THEN -1 ELSE 1 END FROM decisions WHERE disposition IN ('KEEP', 'DEFERRED')
+        UNION ALL SELECT 'PENDING', concat('candidate:', kind, ':', code), position, decision, code, name, disposition, CASE disposition WHEN 'KEEP' THEN -1 ELSE 1 END FROM decisions WHERE disposition = 'KEEP' OR (disposition = 'CANDIDATE_ONLY' AND NOT (kind = 'RULE' AND code IN (SELECT code FROM rules)))),
+    o AS (SELECT list, 0 AS added, position, code, name, reason, NULL AS decision, NULL AS refs FROM (SELECT *, row_number() OVER (PARTITION BY list, code ORDER BY position) AS nth FROM x) t WHERE nth > (SELECT count(*) FROM g WHERE g.list = t.list AND g.key = t.code AND step = -1)),
+    f AS (SELECT * FROM g a WHERE step = 1 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.list = a.list AND b.key = a.key AND b.step = -1 AND b.position > a.position) AND NOT EXISTS (SELECT 1 FROM o WHERE o.list = a.list AND o.code = a.key)
+        QUALIFY row_number() OVER (PARTITION BY list, key ORDER BY position) = 1),
+    lists AS (SELECT * FROM o UNION ALL SELECT list, 1, position, key, name, '标准化决定 ' || decision || CASE disposition WHEN 'EXCLUDED' THEN ' 将该对象排除。' WHEN 'DEFERRED' THEN ' 延后该对象。' ELSE ' 仅登记为候选。' END, decision,
+        (SELECT coalesce(string_agg(DISTINCT ref, ',' ORDER BY ref), '') FROM evidence e WHERE e.decision = f.decision AND e.code = f.code) FROM f)"""
+
+
+@query(f"{_AFTER} SELECT list, code, name, reason, decision, refs FROM lists")
+def ev_decided_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusions and pending entries after all decisions in their order."""
+    t = originals(spark, sf_dir)
+    return E.apply_decisions(t["exclusions"], t["pending"], t["rules"], t["decisions"], t["evidence"]).drop("place")
+
+
+@query(f"""{_AFTER}, gap AS (SELECT code, arg_max(reason, (added, position)) AS reason FROM lists WHERE list = 'EXCLUSION' GROUP BY 1), doubt AS (SELECT CASE WHEN contains(code, ':') THEN split_part(code, ':', 3) ELSE code END AS code, arg_max(reason, (added, position)) AS reason FROM lists WHERE list = 'PENDING' GROUP BY 1),
+    j AS (SELECT c.*, nullif(g.reason, '') AS gap, CASE WHEN kind = 'PENDING_ASSET' THEN nullif(summary, '') ELSE nullif(d.reason, '') END AS doubt FROM candidates c LEFT JOIN gap g USING (code) LEFT JOIN doubt d USING (code))
+    SELECT 'conclusion:' || candidate AS conclusion, candidate, name, CASE WHEN gap IS NOT NULL THEN 'EXCLUDED_GAP' WHEN doubt IS NOT NULL THEN 'EXCLUDED_UNCERTAIN' ELSE 'ELIGIBLE' END AS eligibility, coalesce(gap, doubt) AS reason FROM j
+    UNION ALL SELECT 'conclusion:gap:' || code, NULL, name, 'EXCLUDED_GAP', reason FROM lists l WHERE list = 'EXCLUSION' AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.code = l.code)""")
+def ev_modeling_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be modelled once all decisions are applied, with a row for each exclusion that no candidate stands for."""
+    t = originals(spark, sf_dir)
+    lists = E.apply_decisions(t["exclusions"], t["pending"], t["rules"], t["decisions"], t["evidence"])
+    lists = materialize(lists, "lists")
+    return E.eligibility(t["candidates"], lists.where("list = 'EXCLUSION'"), lists.where("list = 'PENDING'"))
+
+
+_CLOSED = {
+    "sources": "SELECT concat('s', s_suppkey) AS connection, concat('v', s_suppkey) AS snapshot, array(concat('v', s_suppkey - 1), concat('v', s_suppkey div 2)) AS upstream FROM supplier",
+    "evidence": "SELECT concat('e', p_partkey) AS id FROM part WHERE p_partkey % 13 <> 4",
+    "claims": "SELECT concat('c', ps) AS claim, concat('s', sk) AS source, array(concat('e', pk), concat('e', pk + 1)) AS refs, array(concat('c', ps div 2)) AS upstream FROM (SELECT l_orderkey * 10 + l_linenumber AS ps, min(l_suppkey) AS sk, min(l_partkey) AS pk FROM lineitem GROUP BY 1)",
+}
+
+
+def _duck(sql: str) -> str:
+    return sql.replace("array(", "list_value(").replace(" div ", " // ")
+
+
+@query(f"""WITH {', '.join(f'{name} AS ({_duck(sql)})' for name, sql in _CLOSED.items())}, r AS (SELECT claim, unnest(refs) AS id FROM claims), u AS (SELECT claim, source, unnest(upstream) AS up FROM claims)
+    SELECT 'MISSING_SOURCE' AS code, claim FROM claims WHERE source NOT IN (SELECT connection FROM sources) UNION SELECT 'MISSING_EVIDENCE', claim FROM r WHERE id NOT IN (SELECT id FROM evidence) UNION SELECT 'MISSING_UPSTREAM', claim FROM u WHERE up NOT IN (SELECT claim FROM claims)
+    UNION SELECT 'OPEN_UPSTREAM', u.claim FROM u JOIN claims c ON c.claim = u.up JOIN sources a ON a.connection = u.source JOIN sources b ON b.connection = c.source WHERE NOT list_contains(a.upstream, b.snapshot)""")
+def ev_unclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of a frozen set that refer to what it doesn't hold."""
+    part, supplier, lineitem = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    frames = {name: spark.sql(sql.replace(f"FROM {t}", f"FROM {{{t}}}"), **{t: df}) for (name, sql), (t, df) in zip(_CLOSED.items(), (("supplier", supplier), ("part", part), ("lineitem", lineitem)), strict=True)}
+    return E.unclosed(frames["sources"], frames["evidence"], frames["claims"])
+
+
+_BODY = "concat_ws('|', o_orderkey, o_custkey, o_orderstatus)"
+_ITEM = "CASE WHEN o_orderkey % 1511 = 777 THEN 'bad' ELSE sha2({b}, 256) END"
+
+
+@query(f"""WITH i AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_orderkey AS ref, o_orderkey % 1511 <> 777 AND o_orderkey % 1999 <> 1200 AS good FROM orders), s AS (SELECT min(place) AS stop FROM i WHERE NOT good), b AS (SELECT (place - 1) // 100 + 1 AS batch, count(*) AS n_items, count(*) FILTER (place < coalesce(stop, place + 1)) AS n_completed, any_value(stop) AS stop, min(ref) FILTER (place = stop) AS failed FROM i, s GROUP BY 1)
+    SELECT batch, CASE WHEN n_completed = n_items THEN 'COMPLETED' WHEN failed IS NOT NULL THEN 'FAILED' ELSE 'NOT_RUN' END AS status, n_items, n_completed, failed FROM b""")
+def ev_verify_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a check of all bodies in order comes, by batches of 100."""
+    orders = table(spark, sf_dir, "orders")
+    items = orders.selectExpr("o_orderkey AS position", "o_orderkey AS ref", f"{_ITEM.format(b=_BODY)} AS checksum")
+    return E.verify_batches(items, orders.where("o_orderkey % 1999 <> 1200").selectExpr("o_orderkey AS ref", f"{_BODY} AS body"))[0]
+
+
+_WRITES = "SELECT event_type AS key, event_id AS seq, 1 + event_id // 25 - event_id % 3 AS expected FROM events"
+
+
+@query(f"""WITH RECURSIVE w AS MATERIALIZED ({_WRITES}), n AS MATERIALIZED (SELECT a.key, a.seq, min(b.seq) AS next FROM w a JOIN w b ON a.key = b.key AND b.expected = a.expected + 1 AND b.seq > a.seq GROUP BY 1, 2),
+    d AS (SELECT key, min(seq) AS seq FROM w WHERE expected = 1 GROUP BY 1 UNION ALL SELECT d.key, next FROM d JOIN n ON n.key = d.key AND n.seq = d.seq)
+    SELECT w.key, w.seq, expected, CASE WHEN d.seq IS NOT NULL THEN 'APPLIED' ELSE 'STALE' END AS outcome, 1 + count(d.seq) OVER (PARTITION BY w.key ORDER BY w.seq) AS revision FROM w LEFT JOIN d ON d.key = w.key AND d.seq = w.seq""")
+def gov_guarded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes to five objects, each with the revision that it expects."""
+    writes = table(spark, sf_dir, "events").selectExpr("event_type AS key", "event_id AS seq", "1 + event_id div 25 - event_id % 3 AS expected")
+    return V.guarded_writes(writes, "key", "seq", "expected")
+
+
+# Two actions for each order: a review and a publication, of which some are made by the author, by the wrong role, late or without a reason.
+_ACTS = {
+    "roles": "SELECT DISTINCT o_orderpriority AS space, c_custkey AS actor, CASE c_custkey % 7 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'EDITOR' WHEN 2 THEN 'PUBLISHER' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'PUBLISHER' ELSE 'REVIEWER' END END AS role FROM orders JOIN customer ON c_custkey < 14",
+    "drafts": "SELECT o_orderkey AS request, o_orderpriority AS space, o_custkey % 14 AS author, (o_orderkey * 5 + 3) % 14 AS reviewer, (o_orderkey * 3 + 2) % 14 AS publisher, o_custkey % 9 AS luck FROM orders",
+    "good": "SELECT *, author <> reviewer AND author <> publisher AND (reviewer % 7 = 0 OR (reviewer % 7 > 2 AND reviewer % 2 = 1)) AND (publisher % 7 IN (0, 2) OR (publisher % 7 > 2 AND publisher % 2 = 0)) AND luck NOT IN (0, 1, 2, 3, 8) AS fine FROM drafts",
+}
+_REVIEWED = "SELECT request, request * 4 + 1 AS seq, reviewer AS actor, 'REVIEW' AS action, CASE WHEN luck = 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision, CASE WHEN luck = 1 THEN 7 ELSE 1 END AS expected, CASE WHEN request % 2 = 0 THEN '理由' END AS reason FROM good"
+_PUBLISHED = "SELECT request, request * 4 + {n} AS seq, publisher AS actor, 'PUBLISH' AS action, NULL AS decision, CASE WHEN luck = 2 THEN 1 ELSE 2 END AS expected, CASE WHEN luck = 3 THEN 'ok' ELSE '发布' END AS reason FROM good"
+_ACTIONS = f"{_REVIEWED} UNION ALL {_PUBLISHED.format(n=2)} UNION ALL {_PUBLISHED.format(n=3)} WHERE request % 5 = 0"
+
+
+@query(f"""WITH RECURSIVE {', '.join(f'{name} AS MATERIALIZED ({sql})' for name, sql in _ACTS.items())},
+    q AS MATERIALIZED (SELECT request, space, author, last_value(CASE WHEN fine THEN request END IGNORE NULLS) OVER (PARTITION BY space ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND CASE WHEN luck = 8 THEN 101 ELSE 1 END PRECEDING) AS base FROM good),
+    m AS (SELECT space, actor, bool_or(role IN ('REVIEWER', 'ADMIN')) AS reviews, bool_or(role IN ('PUBLISHER', 'ADMIN')) AS publishes FROM roles GROUP BY 1, 2),
+    a AS MATERIALIZED (SELECT x.*, space, base, CASE WHEN author = x.actor THEN 'SELF' WHEN NOT coalesce(CASE action WHEN 'PUBLISH' THEN publishes ELSE reviews END, false) THEN 'FORBIDDEN' WHEN expected <> CASE action WHEN 'PUBLISH' THEN 2 ELSE 1 END THEN 'STALE'
+        WHEN NOT (coalesce(regexp_matches(reason, '[\u3400-\u9fff]'), false) OR (action = 'REVIEW' AND decision = 'APPROVE')) THEN 'NO_REASON' END AS wrong FROM ({_ACTIONS}) x JOIN q USING (request) LEFT JOIN m USING (space, actor)),
+    r AS (SELECT request, min(seq) AS stamp, arg_min(CASE decision WHEN 'APPROVE' THEN 'APPROVED' WHEN 'REJECT' THEN 'REJECTED' ELSE 'CHANGES_REQUESTED' END, seq) AS status FROM a WHERE action = 'REVIEW' AND wrong IS NULL GROUP BY 1),
+    t AS MATERIALIZED (SELECT request, space, base, min(seq) AS stamp FROM a JOIN r USING (request) WHERE action = 'PUBLISH' AND wrong IS NULL AND status = 'APPROVED' AND seq > r.stamp GROUP BY 1, 2, 3),
+    n AS MATERIALIZED (SELECT t.base, arg_min(t.request, t.stamp) AS next FROM t JOIN t b ON b.request = t.base AND b.space = t.space AND t.stamp > b.stamp GROUP BY 1),
+    d AS (SELECT arg_min(request, stamp) AS request, 1 AS version FROM t WHERE base IS NULL GROUP BY space UNION ALL SELECT next, version + 1 FROM d JOIN n ON n.base = d.request),
+    z AS (SELECT a.request, a.seq, CASE WHEN action = 'PUBLISH' AND NOT (coalesce(r.status = 'APPROVED' AND a.seq > r.stamp, false) AND a.seq <= coalesce(t.stamp, a.seq)) THEN 'NOT_APPROVED' WHEN action = 'REVIEW' AND a.seq > coalesce(r.stamp, a.seq) THEN 'NOT_OPEN' WHEN wrong IS NOT NULL THEN wrong
+        WHEN action = 'REVIEW' THEN CASE decision WHEN 'APPROVE' THEN 'APPROVED' WHEN 'REJECT' THEN 'REJECTED' ELSE 'CHANGES_REQUESTED' END WHEN version IS NOT NULL THEN 'PUBLISHED' ELSE 'CONFLICTED' END AS outcome, version FROM a LEFT JOIN r USING (request) LEFT JOIN t USING (request) LEFT JOIN d USING (request))
+    SELECT request, seq, outcome, CASE WHEN outcome = 'PUBLISHED' THEN version END AS version FROM z""")
+def gov_review_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews and publications in their order, with the versions that come of them; some drafts begin from an old version."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    roles = spark.sql(_ACTS["roles"].replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), orders=orders.select("o_orderpriority").distinct(), customer=customer)
+    drafts = spark.sql(_ACTS["drafts"].replace("FROM orders", "FROM {orders}"), orders=orders)
+    good = spark.sql(_ACTS["good"].replace("FROM drafts", "FROM {drafts}"), drafts=drafts)
+    # What was fine last, of all before and of all but the last hundred before.
+    seen = ranged.over(good.withColumn("sure", F.when(F.col("fine"), F.col("request"))), ["space"], ["request"], new=("last_before", "sure"), n=("row_number",))
+    older = seen.select("space", (F.col("n") + 100).alias("n"), F.col("new").alias("old"))
+    requests = seen.join(older, ["space", "n"], "left").select("request", "space", "author", F.when(F.col("luck") == 8, F.col("old")).otherwise(F.col("new")).alias("base"))
+    return V.review_and_publish(requests, spark.sql(_ACTIONS.replace("FROM good", "FROM {good}"), good=good), roles)

@@ -158,3 +158,13 @@ def include_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = supplier.where("s_suppkey % 3 <> 0").selectExpr("s_suppkey AS key", "0 AS position", "CASE WHEN s_suppkey % 8 < 6 THEN s_suppkey div 2 ELSE s_suppkey * 2 % 97 END AS target", "CASE WHEN s_suppkey % 29 = 7 THEN 'REFERENCE' END AS dynamic")
     second = supplier.where("s_suppkey % 10 = 3").selectExpr("s_suppkey AS key", "1 AS position", "s_suppkey + 10 AS target", "CASE WHEN s_suppkey % 4 = 1 THEN 'PROPERTY' END AS dynamic")
     return C.resolve_includes(fragments, first.unionByName(second), supplier.select(F.col("s_suppkey").alias("key")))
+
+
+_NODES = "SELECT c_custkey AS node, CASE WHEN c_custkey % 97 = 13 THEN c_custkey * 2 WHEN c_custkey % 31 = 5 THEN -1 WHEN c_custkey > 0 THEN c_custkey {d} 2 END AS parent, c_custkey * 7 % 3 AS position, concat('m', c_custkey * 13 % 40) AS name FROM customer"
+
+
+@query(f"""WITH RECURSIVE v AS ({_NODES.format(d='//')}), w(node, depth, path, way) AS (SELECT node, 0, name, [{{'p': position, 'n': name, 'k': node}}] FROM v WHERE parent IS NULL OR parent NOT IN (SELECT node FROM v)
+    UNION ALL SELECT v.node, depth + 1, path || '/' || name, list_append(way, {{'p': position, 'n': name, 'k': v.node}}) FROM w JOIN v ON v.parent = w.node) SELECT node, depth, path, row_number() OVER (ORDER BY way) AS place FROM w""")
+def hier_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a tree of any depth with their paths, in the tree's order; some have an unknown parent, some are on circles."""
+    return H.tree(spark.sql(_NODES.format(d="div").replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer")))

@@ -171,6 +171,27 @@ def compare_and_set(spark: SparkSession, path: str, expected: int, df: DataFrame
     return expected + 1
 
 
+def freeze(items: DataFrame, bodies: DataFrame, path: str, size: int = 100) -> tuple[int, DataFrame]:
+    """Check items against bodies in batches (`evidence.verify_batches`) as the next attempt under path -> its number and progress.
+
+    Each attempt keeps its progress and what it verified there; the next one reads only bodies that none before it verified.
+    Two attempts at once get one number, and the later one fails (FileExistsError).
+    """
+    from velarium.operators.evidence import verify_batches
+
+    spark, folder = items.sparkSession, path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [str(f.getPath().getName()) for f in fs.listStatus(at)] if fs.exists(at) else []
+    done = sorted(int(n.removeprefix("progress-")) for n in names if re.fullmatch(r"progress-\d+", n))
+    known = [f"{folder}/verified-{n:06d}" for n in done if f"verified-{n:06d}" in names]
+    progress, verified = verify_batches(items, bodies, size, spark.read.parquet(*known) if known else None)
+    attempt = (done[-1] if done else 0) + 1
+    publish(progress, f"{folder}/progress-{attempt:06d}")
+    publish(verified, f"{folder}/verified-{attempt:06d}")
+    return attempt, spark.read.parquet(f"{folder}/progress-{attempt:06d}")
+
+
 def range_scan(df: DataFrame, key: str, prefix: str, after: str | None = None, size: int = 20) -> DataFrame:
     """Keys with a prefix, after a cursor: pushed down to the files' statistics as a range."""
     rows = df.where((F.col(key) >= prefix) & (F.col(key) < prefix + "\U0010ffff"))
