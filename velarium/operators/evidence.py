@@ -248,14 +248,16 @@ def verify_batches(items: DataFrame, bodies: DataFrame, size: int = 100, verifie
 
     progress (batch from 1, status, n_items, n_completed, failed) says how far a check in order comes: the first item whose body is
     missing or has another digest stops it; its batch is FAILED, the ones before it COMPLETED, those after it NOT_RUN. The second
-    frame (ref, checksum) has the items before the stop. Items that `verified` has, from a run before, are good unread.
-    All digests are taken in one job; counts of the batches give the progress, and one number reaches the driver.
+    frame (ref, checksum) has the items that were read and found good, also behind the stop. Those that `verified` has, from
+    runs before, are good unread.
+    All digests are taken in one job, so what follows a stop is verified too; counts of the batches give the progress, and one number reaches the driver.
     """
     placed = places(items.select("position", "ref", "checksum"), ["position"])
     before = (verified if verified is not None else items.limit(0)).select("ref", "checksum", F.lit(True).alias("__known")).distinct()
     marked = placed.join(before, ["ref", "checksum"], "left")
     unread = marked.where("__known IS NULL").join(bodies.select("ref", "body"), "ref", "left").select("place", "ref", "checksum", F.coalesce(F.sha2("body", 256) == F.col("checksum"), F.lit(False)).alias("good"))
-    checked = materialize(unread.unionByName(marked.where("__known").select("place", "ref", "checksum", F.lit(True).alias("good"))), "verified")
+    read = unread.withColumn("read", F.lit(True))
+    checked = materialize(read.unionByName(marked.where("__known").select("place", "ref", "checksum", F.lit(True).alias("good"), F.lit(False).alias("read"))), "verified")
     bad = F.when(~F.col("good"), F.struct("place", "ref"))
     stop = checked.agg(F.min(bad).alias("bad")).first()["bad"]
     batch = (F.floor((F.col("place") - 1) / size) + 1).cast("long")
@@ -264,4 +266,4 @@ def verify_batches(items: DataFrame, bodies: DataFrame, size: int = 100, verifie
     good = F.lit(True) if at is None else F.col("place") < at
     failed = F.when(status == "FAILED", F.lit(None if stop is None else stop["ref"]))
     progress = checked.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(good).alias("n_completed")).select("batch", status.alias("status"), "n_items", "n_completed", failed.alias("failed"))
-    return progress, checked.where(good).select("ref", "checksum")
+    return progress, checked.where("good AND read").select("ref", "checksum")

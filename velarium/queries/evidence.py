@@ -161,10 +161,14 @@ def ev_issue_root_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ev_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps come before uncertain findings."""
     rows = records(spark, sf_dir)
-    gaps = rows.where("id % 13 = 0").select("id", F.lit(True).alias("gap"))
-    uncertain = E.findings(E.claims(rows)).where("status IN ('CONFLICT', 'DERIVED')").select("subject", "predicate", F.lit(True).alias("uncertain"))
-    joined = rows.join(gaps, "id", "left").join(uncertain, ["subject", "predicate"], "left")
-    return joined.select("id", F.when(F.col("gap"), "EXCLUDED_GAP").when(F.col("uncertain"), "EXCLUDED_UNCERTAIN").otherwise("ELIGIBLE").alias("eligibility"))
+    uncertain = E.findings(E.claims(rows)).where("status IN ('CONFLICT', 'DERIVED')").select("subject", "predicate")
+    code = F.col("id").cast("string").alias("code")
+    entry = lambda df, reason: df.select(F.col("id").alias("place"), code, F.col("subject").alias("name"), F.lit(reason).alias("reason"))
+    found = E.eligibility(
+        rows.select(F.col("id").alias("candidate"), F.lit("FIELD").alias("kind"), code, F.col("subject").alias("name"), F.col("predicate").alias("summary")),
+        entry(rows.where("id % 13 = 0"), "gap"), entry(rows.join(uncertain, ["subject", "predicate"], "left_semi"), "uncertain"),
+    )
+    return found.select(F.col("candidate").alias("id"), "eligibility")
 
 
 @query(f"{_WITH}, w AS (SELECT subject, predicate, value, row_number() OVER (PARTITION BY subject, predicate ORDER BY n DESC, value) AS k FROM c) SELECT subject, predicate, value FROM w WHERE k = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.operators import joins as J
+from velarium.operators import projection as P
 from velarium.operators import rules as R
 from velarium.registry import query, register
 from velarium.session import table
@@ -94,9 +95,12 @@ def rule_trigger_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, coalesce(metric_target, event_target, entity_target, 'UNRESOLVED') AS target FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'metric:' || s_suppkey END AS metric_target, CASE WHEN s_suppkey % 3 = 0 THEN 'event:' || s_suppkey END AS event_target, CASE WHEN s_suppkey % 2 = 0 THEN 'entity:' || s_suppkey END AS entity_target FROM supplier)")
 def rule_target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    found = [F.when(key % n == 0, F.concat(F.lit(f"{kind}:"), key)) for n, kind in ((5, "metric"), (3, "event"), (2, "entity"))]
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(*found, F.lit("UNRESOLVED")).alias("target"))
+    """The object that a rule's key names: a metric before an event before an entity."""
+    supplier = table(spark, sf_dir, "supplier")
+    coded = lambda n: supplier.where(F.col("s_suppkey") % n == 0).select(F.col("s_suppkey").alias("code"), F.col("s_suppkey").alias("name"))
+    rules = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("target"), F.lit(None).cast("long").alias("owner"))
+    found = P.resolve_targets(rules, coded(5), coded(3), coded(2))
+    return found.select(F.col("id").alias("s_suppkey"), F.coalesce(F.concat(F.lower("target_type"), F.lit(":"), F.col("name").cast("string")), F.lit("UNRESOLVED")).alias("target"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events WHERE NOT (user_id % 50 = 0 OR event_type = 'error') GROUP BY 1")

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import hashlib  # noqa: F401  for users of filters
 import io
+import json
 import re
 import uuid
 import zipfile
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from velarium.functions.scalar import content_ref
 from velarium.session import discard, materialize
+from velarium.sources.keyed import Conflict, Files
 
 #: The nine sections of a standard document, in order.
 SECTIONS = ("Overview", "Entities", "Events", "Relations", "Metrics", "Rules", "Calendars", "Evidence", "Open questions")
@@ -165,31 +169,59 @@ def publish(df: DataFrame, path: str) -> None:
         raise FileExistsError(path)
 
 
+class Versions:
+    """Numbered versions of a few tables, from 1. Tables are written to folders of their own; a version is a file that names
+    them and is created only if there is none of its number, so of two writers one wins on any store, and nothing is
+    renamed. Folders of a writer that lost, or was killed, are named by no version and may be cleaned away.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+
+    def last(self) -> int:
+        """The last version's number; 0 before the first."""
+        return max((int(n[1:-5]) for n in self.files.names("versions") if re.fullmatch(r"v\d+\.json", n)), default=0)
+
+    def put(self, expected: int, **tables: DataFrame) -> int:
+        """Publish tables as the version after `expected`, which has to be the last one (else FileExistsError) -> its number."""
+        if self.last() != expected:
+            raise FileExistsError(f"{self.path} isn't at version {expected}")
+        named = {}
+        for name, df in tables.items():
+            named[name] = {"folder": f"data/{name}-{uuid.uuid4().hex}", "schema": df.schema.jsonValue()}
+            df.write.parquet(f"{self.path}/{named[name]['folder']}")
+        try:
+            self.files.create(f"versions/v{expected + 1:012d}.json", json.dumps(named))
+        except Conflict as error:
+            raise FileExistsError(f"{self.path} has version {expected + 1}") from error
+        return expected + 1
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table of a version, of the last where none is named."""
+        named = json.loads(self.files.read(f"versions/v{self.last() if version is None else version:012d}.json"))[name]
+        return self.spark.read.schema(StructType.fromJson(named["schema"])).parquet(f"{self.path}/{named['folder']}")
+
+
 def compare_and_set(spark: SparkSession, path: str, expected: int, df: DataFrame) -> int:
-    """Publish df as the version after `expected`; another writer's version there already is a conflict (FileExistsError). Returns the version."""
-    publish(df, f"{path.rstrip('/')}/v{expected + 1:012d}")
-    return expected + 1
+    """Publish df as the version after `expected`; another writer's version there already, or one that isn't there yet, is a conflict (FileExistsError). Returns the version."""
+    return Versions(spark, path).put(expected, rows=df)
 
 
 def freeze(items: DataFrame, bodies: DataFrame, path: str, size: int = 100) -> tuple[int, DataFrame]:
     """Check items against bodies in batches (`evidence.verify_batches`) as the next attempt under path -> its number and progress.
 
     Each attempt keeps its progress and what it verified there; the next one reads only bodies that none before it verified.
-    Two attempts at once get one number, and the later one fails (FileExistsError).
+    Of two attempts at once the later one fails (FileExistsError).
     """
     from velarium.operators.evidence import verify_batches
 
-    spark, folder = items.sparkSession, path.rstrip("/")
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    names = [str(f.getPath().getName()) for f in fs.listStatus(at)] if fs.exists(at) else []
-    done = sorted(int(n.removeprefix("progress-")) for n in names if re.fullmatch(r"progress-\d+", n))
-    known = [f"{folder}/verified-{n:06d}" for n in done if f"verified-{n:06d}" in names]
-    progress, verified = verify_batches(items, bodies, size, spark.read.parquet(*known) if known else None)
-    attempt = (done[-1] if done else 0) + 1
-    publish(progress, f"{folder}/progress-{attempt:06d}")
-    publish(verified, f"{folder}/verified-{attempt:06d}")
-    return attempt, spark.read.parquet(f"{folder}/progress-{attempt:06d}")
+    attempts = Versions(items.sparkSession, path)
+    before = attempts.last()
+    # Each attempt keeps what it read itself.
+    known = reduce(DataFrame.unionByName, [attempts.read("verified", n) for n in range(1, before + 1)]) if before else None
+    progress, verified = verify_batches(items, bodies, size, known)
+    number = attempts.put(before, progress=progress, verified=verified)
+    return number, attempts.read("progress", number)
 
 
 def range_scan(df: DataFrame, key: str, prefix: str, after: str | None = None, size: int = 20) -> DataFrame:
