@@ -94,6 +94,21 @@ def test_metrics_are_checked(spark, sf):
     assert row.n > 0 and row.k > 0 and row.r is None
 
 
+def test_sums_keep_apart(spark, sf):
+    from velarium.queries.metrics import _stock
+
+    stock = _stock()
+    for bad, dimensions in ((("age",), ()), (("months",), ()), (("months",), ("customer.c_mktsegment",))):
+        with pytest.raises(ValueError, match="isn't (summed across o_custkey|allowed on age|summed)"):
+            compute(spark, sf, [BasicMetric("m", "order", "SUM", *bad)], dimensions, catalog=stock)
+    # Without dimensions, and over a period that has nothing, whose states are NULL.
+    metrics = [BasicMetric("s", "order", "SUM", "stock"), BasicMetric("top", "order", "MAX", "stock"), BasicMetric("n", "order", "COUNT")]
+    row = compute(spark, sf, metrics, catalog=stock).first()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("date_trunc('MONTH', o_orderdate) AS m", "o_totalprice AS v").toPandas()
+    assert row.s == pytest.approx(orders[orders.m == orders.m.max()].v.sum()) and row.top == orders.v.max() and row.n == len(orders)
+    assert tuple(compute(spark, sf, metrics, period=(date(1900, 1, 1), date(1900, 1, 2)), catalog=stock).first()) == (None, None, 0)
+
+
 def test_plan_of_the_flagship(spark, sf):
     from velarium.queries.metrics import flagship
 

@@ -123,29 +123,56 @@ def aggregate(metric: BasicMetric, catalog: Catalog) -> Column:
     return function(guarded(metric, catalog)).alias(metric.code)
 
 
+def check_sums(metrics: Iterable[BasicMetric], names: Iterable[str], catalog: Catalog) -> None:
+    """ValueError where a sum would go across what an attribute keeps apart."""
+    for m in metrics:
+        if m.attribute and normalize_operator(m.operator) == "SUM":
+            attribute = catalog.objects[m.event].attribute(m.attribute)
+            if attribute.additivity == "none" and (across := set(attribute.within) - set(names)):
+                raise ValueError(f"{attribute.code} isn't summed across {', '.join(sorted(across))}")
+
+
+def of_latest(metric: BasicMetric, catalog: Catalog) -> bool:
+    """Whether a metric sums what is a state at a time, so that only its event's latest time counts."""
+    thing = catalog.objects[metric.event]
+    return bool(metric.attribute and thing.default_time) and normalize_operator(metric.operator) == "SUM" and thing.attribute(metric.attribute).additivity == "semi"
+
+
 def compute(
     spark: SparkSession, sf_dir: str, metrics: Iterable[BasicMetric | CompositeMetric], dimensions: tuple[str, ...] = (), period: tuple[date, date] | None = None,
     where: tuple[Condition, ...] = (), catalog: Catalog = STAR, keep: Iterable[str] | None = None,
 ) -> DataFrame:
-    """A row for each combination of dimensions; metrics of events that lack one are NULL there. where: conditions over dimensions' names."""
+    """A row for each combination of dimensions; metrics of events that lack one are NULL there. where: conditions over dimensions' names.
+
+    Sums of semi-additive attributes of an event are those at its latest time in the period, whatever the conditions;
+    a group without rows then has NULL.
+    """
     metrics = list(metrics)
     basic = [m for m in metrics if isinstance(m, BasicMetric)]
     composite = {m.code: m.formula for m in metrics if isinstance(m, CompositeMetric)}
     formula.check_cycles(composite)
     names, out = [dimension_name(d) for d in dimensions], None
+    check_sums(basic, names, catalog)
     for event in dict.fromkeys(m.event for m in basic):
         df = scan(spark, sf_dir, catalog, event)
         if period:
             time = F.col(catalog.objects[event].default_time)
             df = df.where((time >= F.lit(period[0])) & (time < F.lit(period[1] + timedelta(days=1))))
-        df = with_dimensions(df, spark, sf_dir, catalog, event, dimensions).where(combine(where))
+        scanned, df = df, with_dimensions(df, spark, sf_dir, catalog, event, dimensions).where(combine(where))
         own = [m for m in basic if m.event == event]
         ranked = [m for m in own if normalize_operator(m.operator) == "MEDIAN"]
-        part = df.groupBy(*names).agg(*[aggregate(m, catalog) for m in own if m not in ranked], *([F.count(F.lit(1)).alias("__rows")] if ranked else []))
+        states = [m for m in own if of_latest(m, catalog)]
+        apart = [*ranked, *states]
+        part = df.groupBy(*names).agg(*[aggregate(m, catalog) for m in own if m not in apart], *([F.count(F.lit(1)).alias("__rows")] if apart else []))
+        if states:
+            at = catalog.objects[event].default_time
+            last = scanned.agg(F.max(at).alias("__last"))  # one row
+            found = df.join(F.broadcast(last), F.col(at) == F.col("__last")).groupBy(*names).agg(*[aggregate(m, catalog) for m in states])
+            part = join_on_keys(part, found, names) if names else part.join(F.broadcast(found), F.lit(True), "left")  # one row each
         for m in ranked:
             found = medians(df.withColumn("__value", guarded(m, catalog)), names, "__value", m.code)
             part = join_on_keys(part, found, names) if names else part.join(F.broadcast(found), F.lit(True), "left")  # one row each
-        if ranked:
+        if apart:
             part = part.drop("__rows")
         if out is None:
             out = part

@@ -40,8 +40,8 @@ STAR = Catalog(
 
 
 def legal_operators(attribute: A) -> tuple[str, ...]:
-    """Text, codes and ids can only be counted; what isn't additive can't be summed."""
+    """Text, codes and ids can only be counted; what isn't additive can't be summed, or only within what keeps it apart."""
     if attribute.semantic_type in COUNT_ONLY:
         return ("COUNT", "COUNT_DISTINCT")
     out = ("COUNT", "COUNT_DISTINCT", "AVG", "MAX", "MIN", "MEDIAN")
-    return (*out, "SUM") if attribute.additivity != "none" and attribute.semantic_type in NUMBERS else out
+    return (*out, "SUM") if (attribute.additivity != "none" or attribute.within) and attribute.semantic_type in NUMBERS else out

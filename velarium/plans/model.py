@@ -15,8 +15,10 @@ class Attribute:
     #: Physical expression; the code itself if empty.
     transform: str = ""
     unit: str = ""
-    #: SUM may be forbidden: "additive", "semi" (latest snapshot only), "none".
+    #: How far SUM goes: "additive"; "semi" (of an event: at its latest time only); "none" (not at all, but for `within`).
     additivity: str = "additive"
+    #: Dimensions' names that a sum has to keep apart (say a batch), where additivity is "none".
+    within: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from velarium.functions.timex import TimeRule, resolve
 from velarium.operators.metrics import compute, latest_snapshot
+from velarium.plans.catalog import STAR
+from velarium.plans.model import Attribute as A
 from velarium.plans.model import BasicMetric as M
-from velarium.plans.model import CompositeMetric, Condition
+from velarium.plans.model import Catalog, CompositeMetric, Condition
 from velarium.registry import query, register
 from velarium.session import table
 
@@ -104,6 +107,34 @@ def metric_semi_additive_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(latest_snapshot(_snapshots(spark, sf_dir), "day", "value", ("event_type",), per_key=True))
 
 
+def _stock() -> Catalog:
+    """Orders as states of a stock: amounts count at the latest month only, ages are never summed, and months in stock only within a customer."""
+    months = "(2000 - year(o_orderdate)) * 12 - month(o_orderdate)"
+    attributes = (
+        *STAR.objects["order"].attributes, A("at", "DATETIME", transform="to_date(date_trunc('MONTH', o_orderdate))"), A("stock", "AMOUNT", transform="o_totalprice", additivity="semi"),
+        A("age", "NUMBER", transform="datediff(date '2000-01-01', o_orderdate)", additivity="none"), A("months", "NUMBER", transform=months, additivity="none", within=("o_custkey",)),
+    )
+    return replace(STAR, objects=STAR.objects | {"order": replace(STAR.objects["order"], attributes=attributes, default_time="at")})
+
+
+@query("""WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders WHERE o_orderdate < TIMESTAMP '1998-04-01'), l AS (SELECT max(month) AS last FROM o)
+    SELECT c_mktsegment, round(sum(o_totalprice) FILTER (month = last), 2) AS stock, round(sum(o_totalprice) FILTER (month = last AND o_orderstatus = 'O'), 2) AS stock_open, count(*) AS n, round(avg(date_diff('day', o_orderdate, TIMESTAMP '2000-01-01')), 4) AS age, median(o_totalprice) AS middle FROM o JOIN customer ON c_custkey = o_custkey, l GROUP BY 1""")
+def metric_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semi-additive metrics beside additive ones, an average that is never a sum, and a median."""
+    asked = [
+        M("stock", "order", "SUM", "stock"), M("stock_open", "order", "SUM", "stock", (Condition("o_orderstatus", "=", ("O",)),)), M("n", "order", "COUNT"),
+        M("age", "order", "AVG", "age"), M("middle", "order", "MEDIAN", "o_totalprice"),
+    ]
+    found = compute(spark, sf_dir, asked, ("customer.c_mktsegment",), (date(1900, 1, 1), date(1998, 3, 31)), catalog=_stock())
+    return found.select("c_mktsegment", F.round("stock", 2).alias("stock"), F.round("stock_open", 2).alias("stock_open"), "n", F.round("age", 4).alias("age"), "middle")
+
+
+@query("SELECT o_custkey, sum((2000 - year(o_orderdate)) * 12 - month(o_orderdate))::BIGINT AS months FROM orders GROUP BY 1")
+def metric_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum that keeps apart what must not be added up."""
+    return compute(spark, sf_dir, [M("months", "order", "SUM", "months")], ("order.o_custkey",), catalog=_stock())
+
+
 @query("SELECT o_orderpriority, round(avg(date_diff('second', o_orderdate, l_shipdate) / 3600.0), 4) AS avg_hours FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY 1")
 def metric_avg_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours are averaged, never summed."""
