@@ -1,5 +1,6 @@
 """Tables by key and content stores: what a change reads and writes, and who sees what."""
 
+import hashlib
 import os
 
 import pandas as pd
@@ -91,3 +92,9 @@ def test_a_put_reads_what_may_hold_it(spark, tmp_path):
     assert held.all().count() == 810 and held.all().select("ref").distinct().count() == 810
     held.put(texts(0, 10))
     assert held.all().select("segment").distinct().count() == 3, "nothing new, no segment"
+
+
+def test_a_batch_of_snapshots_and_a_check_of_bodies_are_two_functions(spark):
+    rows = spark.createDataFrame([("x", "b"), ("x", "a"), ("x", "b"), ("y", "c")], "batch string, snapshot string")
+    found = {r.batch: (r.members, r.identity) for r in store.freeze_batch(rows).collect()}
+    assert found == {"x": (["a", "b"], hashlib.sha256(b"a\nb").hexdigest()), "y": (["c"], hashlib.sha256(b"c").hexdigest())}

@@ -26,7 +26,7 @@ def src_capture_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT batch, sha256(string_agg(snapshot, chr(10) ORDER BY snapshot)) AS identity, count(*) AS n FROM (SELECT DISTINCT p_brand AS batch, p_type AS snapshot FROM part) GROUP BY 1")
 def src_freeze_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frozen = store.freeze(table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch"), F.col("p_type").alias("snapshot")))
+    frozen = store.freeze_batch(table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch"), F.col("p_type").alias("snapshot")))
     return frozen.select("batch", "identity", F.size("members").cast("long").alias("n"))
 
 

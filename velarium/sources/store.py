@@ -128,8 +128,8 @@ def new_captures(captures: DataFrame, known: DataFrame) -> DataFrame:
     return captures.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
 
 
-def freeze(snapshots: DataFrame) -> DataFrame:
-    """batch, members, identity: distinct snapshot ids in order, and a digest over them."""
+def freeze_batch(snapshots: DataFrame) -> DataFrame:
+    """snapshots (batch, snapshot) -> batch, members, identity: distinct snapshot ids in order, and a digest over them."""
     members = F.array_sort(F.collect_set("snapshot"))
     return snapshots.groupBy("batch").agg(members.alias("members")).withColumn("identity", F.sha2(F.array_join("members", "\n"), 256))
 
