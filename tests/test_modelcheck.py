@@ -79,3 +79,30 @@ def test_expressions_are_read_by_token():
     for bad in ("`uuid`()", "`raise_error`('x')", "`monotonically_increasing_id` ()", "uuid()", "sys.uuid()", "a; drop table t", "a -- b", "a /* b */", "(SELECT 1)", "transform(a, x -> x)", "'open", "a[0]", "reflect('a')", "\"uuid\"()", "if/**/(a, b, c)"):
         with pytest.raises(ValueError):
             metrics.check_transform(bad)
+
+
+def test_rows_that_meet_many_are_compared_once_and_in_parts(spark, monkeypatch):
+    """3,000 equal rows are one before they meet; a key with many rows is dealt into parts; repeated keys and details stay distinct."""
+    monkeypatch.setattr(modelcheck, "PART_ROWS", 16)
+    same = spark.range(6000).selectExpr("'x' AS s", "CAST(id % 2 AS INT) AS n", "id AS i")
+    some = spark.range(100).selectExpr("id % 90 AS id", "CAST(id % 2 AS INT) AS k", "id AS n", "id % 7 AS m")
+    checks = [
+        Check("SEMI", "W", "f", "pair", "same", "t.s", "t.n < o.n", "t.s", "same", "t.s = o.s"),
+        Check("OF_O", "W", "f", "pair", "some", "t.id", "t.n < o.n", "o.m", "some", "t.k = o.k"),
+        Check("COUNT", "B", "f", "count", "some", "t.id", "t.n < o.n", "", "some", "t.k = o.k"),
+        Check("PAIRS", "W", "f", "pair", "some", "t.n", "t.n < o.n", "o.n", "some", "t.k = o.k"),
+    ]
+    found = Counter((r.code, r.key, r.detail) for r in modelcheck.violations(checks, {"same": same, "some": some}).collect())
+    rows = [(i % 90, i % 2, i, i % 7) for i in range(100)]
+    met = [(x, y) for x in rows for y in rows if x[1] == y[1] and x[2] < y[2]]
+    want = Counter({("SEMI", "x", "x"): 1}) + Counter({("OF_O", str(x[0]), str(y[3])) for x, y in met}) + Counter(("PAIRS", str(x[2]), str(y[2])) for x, y in met)
+    want += Counter({("COUNT", str(i), str(c)) for i, c in Counter(x[0] for x, _ in met).items()})
+    assert found == want
+
+
+def test_pairs_that_are_distinct_as_they_are_arent_shuffled(spark):
+    """Each row has its own key and detail: no aggregate over the pairs, which may be far more than the rows."""
+    some = spark.range(100).selectExpr("id", "id % 2 AS k")
+    found = modelcheck.violations([Check("P", "W", "f", "pair", "some", "t.id", "t.id < o.id", "o.id", "some", "t.k = o.k")], {"some": some})
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 2 * 50 * 49 // 2
