@@ -25,6 +25,9 @@ def ring(*nodes):
 GRAPHS = {
     "sparse": (12, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (7, 7), (8, 9), (9, 8), (9, 10)]),
     "rings and runs": (40, [*ring(*range(10)), *ring(10, 11), (12, 13), (13, 14), *ring(20, 21, 22, 23), (21, 30), (30, 31), (31, 20), (31, 32), (32, 33)]),
+    "long ways with ways back": (160, [e for k in range(3, 150, 10) for e in ((k, k + 10), (k, 2 * k % 17))] + [(k, 2 * k % 17) for k in range(17)]),
+    "trees on rings and back": (60, [*ring(0, 1, 2, 3), *((k // 2, k) for k in range(8, 40)), (37, 9), (39, 4), (4, 2), *ring(50, 51, 52), (52, 53), (53, 54), (54, 55)]),
+    "thin": (60, [(random.Random(k).randrange(60), random.Random(k + 900).randrange(60)) for k in range(75)]),
     "dense": (15, [(random.Random(k).randrange(15), random.Random(k + 500).randrange(15)) for k in range(45)]),
 }
 
@@ -65,6 +68,17 @@ def test_long_runs_are_skipped(spark, monkeypatch):
     assert len(written) < 16
 
 
+def test_long_ways_with_ways_back_take_few_rounds(spark, monkeypatch):
+    """Each node of a way of 400 has a way back to its start too, so no run of single ways is to be skipped."""
+    written = []
+    plain = fixpoint.materialize
+    for module in (fixpoint, C):
+        monkeypatch.setattr(module, "materialize", lambda *a: written.append(1) or plain(*a))
+    found = C.strong_components(spark.createDataFrame([e for k in range(400) for e in ((k, k + 1), (k, 0))], "a int, b int")).collect()
+    assert len({r.component for r in found if r.node < 400}) == 1 and len(found) == 401
+    assert len(written) < 80
+
+
 def test_follow(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (4, 5), (5, 6), (6, 5), (7, 7), (8, 9)], "a int, b int")
     assert {r.a: (r.end, r.steps if r.end else None) for r in fixpoint.follow(links, []).collect()} == {1: (9, 3), 2: (9, 2), 3: (9, 1), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None), 8: (9, 1)}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velarium.operators.fixpoint import closure, follow, least_of_rings
+from velarium.operators.fixpoint import closure, follow, least_of_rings, mark_back, ring_nodes
 from velarium.session import discard, materialize
 
 
@@ -41,34 +41,72 @@ def _trim(edges: DataFrame) -> DataFrame:
         at = step
 
 
+def _shrink(at: DataFrame) -> tuple[DataFrame, tuple | None]:
+    """edges (a, b; a isn't b) -> edges without nodes that one node alone leads to, and what _grow needs to put them back.
+
+    A way to such a node passes the one before it, so all ways to it pass its root, the first node back that isn't such a one.
+    Its ways on become its root's, which leaves the components of all others as they are. Where going back leads round, the
+    ring is a component, and what hangs from it is alone.
+    """
+    stems = materialize(at.groupBy(F.col("b").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("b")).where("n = 1").select("a", "b"), "stems")
+    if stems.isEmpty():
+        return at, None
+    ends = materialize(follow(stems, []).select("a", "end"), "ends")
+    turning = ends.where("end IS NULL").select("a")
+    rooted = ends.where("end IS NOT NULL").select(F.col("a").alias("node"), F.col("end").alias("root"))
+    rings = None
+    if not turning.isEmpty():
+        circling = stems.join(turning, "a", "left_semi")
+        rings = least_of_rings(circling.join(ring_nodes(circling).withColumnRenamed("node", "a"), "a", "left_semi")).withColumnRenamed("least", "component")
+    ways = at.join(turning, "a", "left_anti").join(stems.select(F.col("a").alias("b")), "b", "left_anti")
+    ways = materialize(ways.join(rooted.select(F.col("node").alias("a"), "root"), "a", "left").select("a", F.coalesce("root", "a").alias("root"), "b"), "ways")
+    return materialize(ways.where("root <> b").select(F.col("root").alias("a"), "b").distinct(), "shrunk"), (stems.join(turning, "a", "left_anti"), rooted, rings, ways)
+
+
+def _grow(level: tuple, known: DataFrame) -> DataFrame:
+    """known (node, component: of nodes that aren't alone) of the edges that _shrink gave -> known of those that it took.
+
+    A node taken away is in its root's component if a node from it on, in the tree below its root, leads back to that component; else it is alone.
+    """
+    stems, rooted, rings, ways = level
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))
+    back = ways.where("a <> root").join(of("root"), "root", "left").join(of("b"), "b", "left").where("coalesce(__root, root) = coalesce(__b, b)")
+    inside = mark_back(stems, back.select(F.col("a").alias("node"))).join(rooted, "node").join(of("root"), "root", "left")
+    more = known.unionByName(inside.select("node", F.coalesce("__root", "root").alias("component")))
+    return materialize(more.unionByName(rings) if rings is not None else more, "known")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, component: a node for each node of an edge; nodes that lead to each other share a component, named by one of them.
 
-    Runs of nodes with one way in and one on are skipped first, in rounds that double; such a node is in the
-    component of its run's two ends where they share one, else alone, and a ring of only such nodes is a component. The rest by
+    Nodes that one node alone leads to are merged into it, however long the runs and trees of them, in rounds that double;
+    then those that lead to one node alone, and so on while the graph gets smaller by a fifth. The rest by
     forward-backward colouring: nodes that can't be on a cycle are trimmed away; each other node takes the greatest node
     that leads to it as its colour; of a colour, what leads back to that node is a component. Edges of components found
     are taken away, and the rest is coloured again. All steps are joins and aggregates.
     """
     whole = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct(), "edges")
     nodes = whole.select(F.col("a").alias("node")).union(whole.select("b")).distinct()
-    on = whole.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("to")).where("n = 1 AND node <> to").select("node", "to")
-    back = whole.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("from")).where("n = 1").select("node", "from")
-    inner = materialize(on.join(back, "node"), "inner")
-    ahead = materialize(follow(inner.select(F.col("node").alias("a"), F.col("to").alias("b")), []).select("a", "end"), "ahead")
-    behind = follow(inner.select(F.col("node").alias("a"), F.col("from").alias("b")), []).select("a", F.col("end").alias("first"))
-    runs = materialize(ahead.join(behind, "a").where("end IS NOT NULL").select(F.col("a").alias("node"), "first", "end"), "runs")
-    turning = ahead.where("end IS NULL").select(F.col("a").alias("node"))
-    rings = least_of_rings(inner.join(turning, "node", "left_semi").select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("least", "component")
-    short = whole.join(inner.select(F.col("node").alias("a")), "a", "left_anti").join(runs.select(F.col("node").alias("b"), "end"), "b", "left").select("a", F.coalesce("end", "b").alias("b"))
-    found = _coloured(materialize(short.distinct(), "short"))
-    alone = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = alone.where("n > 1").select("component")
-    # A run from a node back to itself is on a cycle with it.
-    both = runs.join(found.select(F.col("node").alias("first"), F.col("component").alias("__f")), "first", "left").join(found.select(F.col("node").alias("end"), F.col("component").alias("__e")), "end", "left")
-    inside = both.where("__f = __e").select("node", F.col("__f").alias("component"))
-    named = found.join(sizes, "component", "left_semi").select("node", "component").unionByName(inside).unionByName(rings)
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    at, levels = whole.where("a <> b"), []
+    n = at.count()
+    while n:
+        inside = at.select(F.col("b").alias("a")).intersect(at.select("a"))
+        at = materialize(at.join(inside, "a", "left_semi").join(inside.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"), "inside")
+        for _ in range(2):  # forwards, then backwards
+            at, level = _shrink(at)
+            levels += [level] if level else []
+            at = at.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        before, n = n, at.count()
+        if n > before * 0.8:
+            break
+    known = nodes.select("node", F.col("node").alias("component")).limit(0)
+    if n:
+        found = _coloured(materialize(at, "core"))
+        several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+        known = materialize(found.join(several, "component", "left_semi").select("node", "component"), "known")
+    for level in reversed(levels):
+        known = _grow(level, known)
+    return nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _coloured(whole: DataFrame) -> DataFrame:

@@ -56,6 +56,36 @@ def follow(links: DataFrame, keys: list[str]) -> DataFrame:
         left = moving
 
 
+def ring_nodes(links: DataFrame) -> DataFrame:
+    """links (a, b; a distinct) that all lead round -> node: those on the rings, without those that only lead to one.
+
+    Ends of ways of n steps are the rings' nodes and those with a way of n steps to them. As long as there are any of
+    these, ways twice as long end in fewer nodes.
+    """
+    at = materialize(links.select("a", "b"), "ringed")
+    n = at.select("b").distinct().count()
+    while True:
+        step = materialize(at.join(at.select(F.col("a").alias("b"), F.col("b").alias("__b")), "b").select("a", F.col("__b").alias("b")), "ringed")
+        discard(at)
+        at, before, n = step, n, step.select("b").distinct().count()
+        if n == before:
+            return at.select(F.col("b").alias("node")).distinct()
+
+
+def mark_back(links: DataFrame, marked: DataFrame) -> DataFrame:
+    """links (a, b; a distinct, none leads round), marked (node) -> node: nodes of a that a marked one leads to, or that are marked; in rounds that double."""
+    marked = marked.distinct().select(F.col("node").alias("a"), F.lit(True).alias("__on"))
+    at = materialize(links.join(marked, "a", "left").select("a", "b", F.col("__on").isNotNull().alias("on")), "marks")
+    while not at.where("b IS NOT NULL").isEmpty():
+        sent = at.where("on AND b IS NOT NULL").select(F.col("b").alias("a"), F.lit(True).alias("__on")).distinct()
+        ahead = at.select(F.col("a").alias("b"), F.col("b").alias("__b"))
+        step = at.join(sent, "a", "left").join(ahead, "b", "left").select("a", F.col("__b").alias("b"), (F.col("on") | F.col("__on").isNotNull()).alias("on"))
+        step = materialize(step, "marks")
+        discard(at)
+        at = step
+    return at.where("on").select(F.col("a").alias("node"))
+
+
 def least_of_rings(links: DataFrame) -> DataFrame:
     """links (a, b) that are rings only -> node, least: the least node of each one's ring, in rounds that double."""
     at, changed = materialize(links.select("a", F.col("b").alias("end"), F.least("a", "b").alias("least")), "rings"), True
