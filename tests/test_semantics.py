@@ -255,3 +255,18 @@ def test_entry_without_llm(spark):
     import __spark_entry__ as E
 
     assert set(E.oracle_sql()) <= set(E.queries()) and E.entry(spark).count() > 0
+
+
+def test_a_key_with_many_pairs_is_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART_PAIRS", 50)
+    left = spark.range(60).selectExpr("IF(id % 3 = 0, 7, IF(id = 1, NULL, id)) AS key", "id AS a")
+    right = spark.range(80).selectExpr("IF(id % 2 = 0, 7, IF(id = 5, NULL, id)) AS key", "id AS b")
+    met = joins.many_to_many(left, right, "key")
+    assert met.columns == ["key", "a", "b"] and "part" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, left.join(right, "key").collect()))
+
+
+def test_tables_of_documents_are_not_broadcast_by_the_size_of_their_files(spark, sf):
+    from velarium.queries.projections import documents
+
+    assert "BroadcastHashJoin" not in documents(spark, sf)["relations"]._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,27 @@ from pyspark.sql import functions as F
 
 from velarium.operators import ranged
 from velarium.operators.intervals import contained, overlaps  # noqa: F401  part of this module's functions
+from velarium.session import materialize
+
+
+#: Pairs of a key that many_to_many leaves to one task.
+PART_PAIRS = 5_000_000
+
+
+def many_to_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right by an equal key that may have many rows on both sides: by the number of its pairs, a key is dealt into parts of left, each of which meets all of its right rows."""
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("__m")), key)
+    parts = F.least(F.ceil(F.col("__n") * F.col("__m") / PART_PAIRS), F.col("__n"))
+    hot = materialize(sizes.where(F.col("__n") * F.col("__m") > PART_PAIRS).select(key, parts.cast("int").alias("__parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    deal = F.pmod(F.xxhash64(*left.columns), F.coalesce("__parts", F.lit(1))).cast("int")
+    a = left.join(hot, key, "left").withColumn("__part", deal).drop("__parts")
+    b = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    # By number: rows are few for the pairs they make, and small shuffles would be merged into few tasks.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (rows.repartition(tasks, key, "__part") for rows in (a, b))
+    return a.join(b.hint("merge"), [key, "__part"]).drop("__part")
 
 
 def diff(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

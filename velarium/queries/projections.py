@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.functions import scalar as S
-from velarium.operators import flows, paging
+from velarium.operators import flows, joins, paging
 from velarium.operators import projection as P
 from velarium.registry import query
 from velarium.session import table
@@ -237,7 +237,7 @@ def join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT key, c_custkey, s_suppkey FROM (SELECT c_nationkey AS key, c_custkey FROM customer WHERE c_custkey % 10 = 0) JOIN (SELECT s_nationkey AS key, s_suppkey FROM supplier) USING (key)")
 def join_using(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("key"), "c_custkey")
-    return left.join(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey"), "key")
+    return joins.many_to_many(left, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey"), "key")
 
 
 @query("WITH v AS (SELECT p_partkey, 1 AS version, p_size AS value FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 2, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size END FROM part WHERE p_partkey % 5 <> 0) SELECT p_partkey, CASE WHEN a.version IS NULL THEN 'ADDED' WHEN b.version IS NULL THEN 'REMOVED' WHEN a.value = b.value THEN 'INHERITED' ELSE 'MODIFIED' END AS change FROM (SELECT * FROM v WHERE version = 1) a FULL JOIN (SELECT * FROM v WHERE version = 2) b USING (p_partkey)")
