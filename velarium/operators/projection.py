@@ -38,7 +38,8 @@ def catalog_tables(documents: DataFrame, key: str, payload: str) -> dict[str, Da
     parsed = documents.select(key, F.from_json(payload, DOCUMENT, {"mode": "FAILFAST"}).alias("d"))
     objects = parsed.select(key, F.explode("d.tables").alias("t")).select(key, F.col("t.id").alias("object"), F.col("t.kind").alias("kind"), F.size("t.evidence").alias("n_evidence"), F.col("t.fields").alias("fields"))
     fields = objects.select(key, "object", F.posexplode("fields").alias("ordinal", "f")).select(key, "object", "ordinal", F.col("f.id").alias("field"), F.col("f.type").alias("type"), field_role(F.col("f.type"), F.col("f.is_metric")).alias("role"))
-    ends = objects.select(key, "object", "kind")
+    # Tables are far more rows than their documents' files suggest: without the hint, they would be guessed small and broadcast.
+    ends = objects.select(key, "object", "kind").hint("merge")
     relations = parsed.select(key, F.explode("d.relations").alias("r")).select(key, F.col("r.id").alias("relation"), F.col("r.source").alias("source"), F.col("r.target").alias("target"), F.size("r.evidence").alias("n_evidence"))
     relations = relations.join(ends.toDF(key, "source", "source_kind"), [key, "source"], "left").join(ends.toDF(key, "target", "target_kind"), [key, "target"], "left")
     relations = relations.select(key, "relation", "source", "target", relation_type(F.col("source_kind"), F.col("target_kind")).alias("type"), (F.col("source_kind").isNotNull() & F.col("target_kind").isNotNull()).alias("resolved"), "n_evidence")
@@ -52,7 +53,7 @@ def publication_checks(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
     count = lambda df, name: df.groupBy(key).agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n"))
     twice = fields.groupBy(key, "object").agg((F.count(F.lit(1)) > F.count_distinct("field")).alias("bad")).where("bad")
     needed = metrics.select(key, "metric", "event", F.explode("fields").alias("field"))
-    lacking = needed.join(fields.select(key, F.col("object").alias("event"), "field").distinct(), [key, "event", "field"], "left_anti").select(key, "metric").distinct()
+    lacking = needed.join(fields.select(key, F.col("object").alias("event"), "field").distinct().hint("merge"), [key, "event", "field"], "left_anti").select(key, "metric").distinct()
     unsourced = [df.where("n_evidence = 0").select(key) for df in (objects, relations, metrics)]
     return count(relations.where("NOT resolved"), "RELATION_ENDPOINTS").unionByName(count(twice, "FIELD_UNIQUENESS")).unionByName(count(lacking, "METRIC_DEPENDENCIES")).unionByName(count(unsourced[0].union(unsourced[1]).union(unsourced[2]), "SOURCE_EVIDENCE"))
 
