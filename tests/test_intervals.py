@@ -41,6 +41,21 @@ def test_contained(spark, monkeypatch, part_rows):
     assert sorted(got) == sorted((i, k) for i, g, p in dots for k, h, s, e in rows if g and g == h and p is not None and holds(s, e) and s <= p <= e)
 
 
+@pytest.mark.parametrize(("few", "copies"), [(64, 1), (30, None), (0, None)])
+def test_points_of_few_intervals_have_no_copies(spark, monkeypatch, few, copies):
+    """Groups with few intervals, with many, and both: the same pairs; a point goes through the shuffle once where its group has few."""
+    monkeypatch.setattr(intervals, "FEW", few)
+    rows = [(k, "m" if k % 3 else "n", k * 10, k * 10 + 2 ** (k % 9)) for k in range(60)]
+    dots = [(i, "mn"[i % 2], i * 3) for i in range(200)]
+    sides = []
+    meet = intervals.meet
+    monkeypatch.setattr(intervals, "meet", lambda own, *rest: sides.append(own.count()) or meet(own, *rest))
+    got = [(r.i, r.k) for r in intervals.contained(spark.createDataFrame(dots, "i int, g string, p long"), spark.createDataFrame(rows, "k int, g string, s long, e long"), "g", "p", "s", "e").collect()]
+    assert sorted(got) == sorted((i, k) for i, g, p in dots for k, h, s, e in rows if g == h and s <= p <= e)
+    if copies:
+        assert sides == [len(dots)]
+
+
 def test_dates_and_times(spark):
     rows = [(1, "m", date(1969, 12, 30), date(1970, 1, 2)), (2, "m", date(1970, 1, 2), date(1970, 1, 2)), (3, "m", date(1970, 1, 3), date(1980, 1, 1))]
     df = spark.createDataFrame(rows, "k int, g string, s date, e date")

@@ -6,6 +6,9 @@ as many as the logarithm of the longest length at most. Two intervals meet at th
 that they share there; a point is looked up in one bucket of each level. Nearly all that meets in a bucket does
 overlap, so the work is that of the result, however lengths are mixed.
 
+Points of a group with few intervals are not looked up by levels, which takes a copy of the point for each: they meet
+all intervals of their group.
+
 Buckets in which very many intervals have their level are dealt into parts, each of which meets a copy of the other side.
 
 Ends are dates, times or whole numbers, and belong to the interval. Intervals with a NULL end, a NULL group, or whose
@@ -23,6 +26,8 @@ from velarium.session import materialize
 PART_ROWS = 50_000
 #: Up to so many hot keys go to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 10_000
+#: Points of groups with at most so many intervals meet all of these.
+FEW = 64
 
 
 def number(df: DataFrame, column: str) -> Column:
@@ -85,11 +90,22 @@ def overlaps(df: DataFrame, key: str, group: str, start: str, end: str) -> DataF
 def contained(points: DataFrame, intervals: DataFrame, group: str, at: str, start: str, end: str) -> DataFrame:
     """Rows of points with the columns of the intervals of their group that hold them."""
     rows = _leveled(intervals, group, start, end).select(F.col(group).alias("__g"), F.struct(*[F.col(c) for c in intervals.columns]).alias("__i"), "__s", "__e", "__level")
-    levels = _levels(rows)
-    own = _filed(rows.withColumn("__at", F.col("__level"))).drop("__level")
     dots = points.select(F.col(group).alias("__g"), F.struct(*[F.col(c) for c in points.columns]).alias("__dot"), number(points, at).alias("__p")).where("__p IS NOT NULL AND __g IS NOT NULL")
-    dots = dots.withColumn("__at", F.explode(levels)).withColumn("__b", _bucket(F.col("__p"), F.col("__at")))
     # The side that crowds in one bucket is dealt; by what it holds, so that a task that runs again deals alike.
-    met = meet(dots.withColumn("__deal", F.xxhash64(F.to_json("__dot"))), own, ["__g", "__at", "__b"], "__deal")
+    dots = dots.withColumn("__deal", F.xxhash64(F.to_json("__dot")))
+    crowded = materialize(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > FEW).select("__g"), "crowded")
+    n = crowded.count()
+    if not n:
+        met = meet(dots, rows, ["__g"], "__deal")
+    else:
+        crowded = F.broadcast(crowded) if n <= BROADCAST_KEYS else crowded
+        of = lambda df, how: df.join(crowded, "__g", how)
+        many = of(rows, "left_semi")
+        levels = _levels(many)
+        own = _filed(many.withColumn("__at", F.col("__level")))
+        each = of(dots, "left_semi").withColumn("__at", F.explode(levels)).withColumn("__b", _bucket(F.col("__p"), F.col("__at")))
+        few = meet(of(dots, "left_anti"), of(rows, "left_anti"), ["__g"], "__deal")
+        names = ["__dot", "__p", "__i", "__s", "__e"]
+        met = few.select(*names).unionByName(meet(each, own, ["__g", "__at", "__b"], "__deal").select(*names))
     kept = [F.col("__i")[c].alias(c) for c in intervals.columns if c != group]
     return met.where(F.col("__p").between(F.col("__s"), F.col("__e"))).select(*[F.col("__dot")[c].alias(c) for c in points.columns], *kept)
