@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from velarium.operators import components as C
 from velarium.operators import fixpoint, flows
@@ -180,3 +181,14 @@ def test_calls_and_arguments(spark):
     df = spark.createDataFrame([(*r[:6], None, r[6]) for r in rows], "method int, id int, kind string, target int, variable string, defines boolean, source string, callee int")
     assert sorted((r.method, r.a, r.callee, r.b, r.kind) for r in flows.call_edges(df).collect()) == [(1, 2, 2, 7, "CALL"), (1, 8, 2, 3, "RETURN"), (1, 9, 2, 3, "RETURN")]
     assert ("x", 2, 7, "ARGUMENT_TO_PARAMETER") in {(r.variable, r.a, r.b, r.kind) for r in flows.data_flow(df, flows.control_flow(df)).collect()}
+
+
+def test_a_round_of_few_goes_by_broadcast(spark):
+    """A long way beside many facts: its rounds' rows go to every task, and neither what is known nor the ways are shuffled for them."""
+    ways = spark.range(30).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    start = spark.range(1, 1000).select((-F.col("id")).alias("node")).union(spark.createDataFrame([(0,)], "node long"))
+    step = lambda rows: rows.join(ways, F.col("node") == F.col("a")).select(F.col("b").alias("node"))
+    sizes = []
+    got = fixpoint.closure(start, step, few=lambda rows: sizes.append(rows.count()) or step(rows))
+    assert sorted(r.node for r in got.collect()) == list(range(-999, 31))
+    assert len(sizes) > 20 and max(sizes) <= 2

@@ -11,25 +11,41 @@ from pyspark.sql import functions as F
 from velarium.session import discard, materialize
 
 
-def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], hops: int = 2, tag: str = "facts") -> DataFrame:
+#: A round of at most so many rows, and at most a tenth of those that are known, goes to every task: what it meets isn't shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], hops: int = 2, tag: str = "facts", few: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All rows of start and what step makes of rows, again and again. step keeps the columns and treats each row by itself (a join, not an aggregate).
 
     Only rows that weren't there go on, so it ends wherever there are finitely many different ones; a round goes
-    so many hops ahead, and each is written to the shared folder, so the plan doesn't grow.
+    so many hops ahead, and each is written to the shared folder, so the plan doesn't grow. A round of few rows goes
+    one hop ahead by broadcasts; few: step for these, where marking its rows for a broadcast isn't enough.
     """
     seen = [materialize(start.distinct(), tag)]
     names = start.columns
+    count = seen[0].count()
+    total = count
     while True:
-        ahead, found = seen[-1], []
-        for _ in range(hops):
-            ahead = step(ahead)
-            found.append(ahead)
         known = reduce(DataFrame.unionByName, seen).select(*[F.col(c).alias(f"__{c}") for c in names])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names])
-        fresh = materialize(reduce(DataFrame.unionByName, found).distinct().join(known, same, "left_anti"), tag)
-        if fresh.isEmpty():
+        if count <= BROADCAST_ROWS and total >= 10 * count:
+            found = materialize((few or step)(F.broadcast(seen[-1])).distinct(), f"{tag}-next")
+            if found.count() <= BROADCAST_ROWS:
+                known = known.join(F.broadcast(found), same, "left_semi")
+            fresh = materialize(found.join(known, same, "left_anti"), tag)
+            discard(found)
+        else:
+            ahead, made = seen[-1], []
+            for _ in range(hops):
+                ahead = step(ahead)
+                made.append(ahead)
+            fresh = materialize(reduce(DataFrame.unionByName, made).distinct().join(known, same, "left_anti"), tag)
+        count = fresh.count()
+        if not count:
             discard(fresh)
             return reduce(DataFrame.unionByName, seen)
+        total += count
         seen.append(fresh)
 
 
@@ -43,9 +59,9 @@ def follow(links: DataFrame, keys: list[str]) -> DataFrame:
     at, left = materialize(links.select(*keys, "a", F.col("b").alias("end"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moving")), "follow"), -1
     while True:
         ahead = at.select(*keys, F.col("a").alias("end"), F.col("end").alias("__end"), F.col("steps").alias("__steps"))
-        joined = at.join(ahead, [*keys, "end"], "left")
+        joined = at.where("moving").join(ahead, [*keys, "end"], "left")
         step = joined.select(*keys, "a", F.coalesce("__end", "end").alias("end"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.col("__end").isNotNull().alias("moving"))
-        fresh = materialize(step, "follow")
+        fresh = materialize(step.unionByName(at.where("NOT moving")), "follow")
         discard(at)
         at = fresh
         moving = at.where("moving").count()

@@ -50,8 +50,9 @@ def reaching(accesses: DataFrame, edges: DataFrame) -> DataFrame:
 
     Definitions and uses inside a block of statements meet in its order. Between blocks, a definition that its
     block keeps goes on to the next blocks, and through those that don't define the variable, until nothing new is reached.
-    A statement uses before it defines.
+    A statement uses before it defines. Edges are written once, as they are read many times.
     """
+    edges = materialize(edges.select("method", "a", "b").distinct(), "edges")
     ends = edges.select("method", F.col("a").alias("node")).union(edges.select("method", F.col("b").alias("node")))
     place = materialize(blocks(ends.union(accesses.select("method", F.col("id").alias("node"))), edges), "blocks")
     held = accesses.join(place.withColumnRenamed("node", "id"), ["method", "id"]).withColumn("__def", F.when(F.col("defines"), F.col("id")))
@@ -59,11 +60,15 @@ def reaching(accesses: DataFrame, edges: DataFrame) -> DataFrame:
     uses = met.where("NOT defines")
     inside = uses.where("a IS NOT NULL").select("method", "variable", "a", F.col("id").alias("b"), "kind")
     kept = materialize(met.where("defines").groupBy("method", "block", "variable").agg(F.max_by("id", "place").alias("def")), "definitions")
-    leads = edges.select("method", "a", "b").distinct().join(place.select("method", F.col("node").alias("a"), "block"), ["method", "a"])
+    leads = edges.join(place.select("method", F.col("node").alias("a"), "block"), ["method", "a"])
     heads = place.where("node = block").select("method", F.col("node").alias("b"))
     ways = materialize(leads.join(heads, ["method", "b"], "left_semi").select("method", "block", F.col("b").alias("__to")).distinct(), "ways")
     go = lambda facts: facts.join(ways, ["method", "block"]).select("method", "variable", "def", F.col("__to").alias("block"))
-    facts = closure(go(kept), lambda facts: go(facts.join(kept.select("method", "block", "variable"), ["method", "block", "variable"], "left_anti")), tag="reaching")
+    at = ["method", "block", "variable"]
+    ends = kept.select(*at)
+    # Few facts go to the blocks that end them, and on, without a shuffle of either.
+    few = lambda facts: go(F.broadcast(facts.join(F.broadcast(ends.join(F.broadcast(facts.select(*at)), at, "left_semi")), at, "left_anti")))
+    facts = closure(go(kept), lambda facts: go(facts.join(ends, at, "left_anti")), tag="reaching", few=few)
     open_uses = uses.where("a IS NULL").select("method", "block", "variable", "id", "kind")
     return inside.unionByName(open_uses.join(facts, ["method", "block", "variable"]).select("method", "variable", F.col("def").alias("a"), F.col("id").alias("b"), "kind"))
 
@@ -74,6 +79,7 @@ def data_flow(statements: DataFrame, edges: DataFrame) -> DataFrame:
     DEF_USE from a definition to a statement that uses its variable, ASSIGNMENT to one that gives it (as `source`) to
     its own variable, ARGUMENT_TO_PARAMETER from a call that uses a variable to the callee's first statement.
     """
+    statements = materialize(statements.select("method", "id", "kind", "variable", "defines", "source", "callee"), "statements")
     reads = statements.where("NOT defines").select("method", "id", "variable", F.lit(False).alias("defines"), F.lit("DEF_USE").alias("kind"))
     given = statements.where("defines AND source IS NOT NULL").select("method", "id", F.col("source").alias("variable"), F.lit(False).alias("defines"), F.lit("ASSIGNMENT").alias("kind"))
     writes = statements.where("defines").select("method", "id", "variable", F.lit(True).alias("defines"), F.lit(None).cast("string").alias("kind"))
