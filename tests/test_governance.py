@@ -212,3 +212,16 @@ def test_versions(spark, tmp_path):
     with pytest.raises(FileExistsError):
         other.put(1, a=spark.range(9))
     assert (one.last(), one.read("a").count(), one.read("a", 1).count()) == (2, 5, 3)
+
+
+@pytest.mark.parametrize(("steps", "join"), [(100_000, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_rows_on_a_root_stay_out_of_the_joins(spark, monkeypatch, steps, join):
+    """A star with a way of three: nodes on few others meet them by a broadcast, or by sorted ranges, and joins hold open rows only."""
+    monkeypatch.setattr(hierarchy, "BROADCAST_STEPS", steps)
+    nodes = [(0, None, 0, "r"), (1, 0, 0, "a"), (2, 1, 0, "b"), *((k, 0, k, "c") for k in range(3, 40))]
+    plans, plain = [], hierarchy.materialize
+    monkeypatch.setattr(hierarchy, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, tag))
+    got = {(r.node, r.depth, r.path, r.place) for r in hierarchy.tree(spark.createDataFrame(nodes, "node int, parent int, position int, name string")).collect()}
+    assert got == {(0, 0, "r", 1), (1, 1, "r/a", 2), (2, 2, "r/a/b", 3), *((k, 1, "r/c", k + 1) for k in range(3, 40))}
+    rounds = [p for p in plans[1:] if "Union" in p]
+    assert len(rounds) == len(plans) - 1 and all(join in p for p in rounds)

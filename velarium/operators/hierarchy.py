@@ -13,6 +13,8 @@ from velarium.operators.ranking import places
 from velarium.session import discard, materialize
 
 _names = itertools.count()
+#: Ways of at most so many steps together go to every task.
+BROADCAST_STEPS = 100_000
 
 
 def levels_closure(parents: DataFrame, levels: int) -> DataFrame:
@@ -79,10 +81,12 @@ def tree(nodes: DataFrame) -> DataFrame:
 
     A node without a known parent is a root. What lies on a circle or below one hangs on no root and has no row. Each round
     joins the ways found so far to each other, so a tree of depth n takes log n rounds, and the places come from ranges.
+    Rows that hang on a root are left out of the joins. Where the others hang on few nodes, as in late rounds, these nodes go to
+    every task; else joins ask for sorted ranges, as ways are small as files, where names repeat, and large in memory.
     """
     own = F.struct("position", F.coalesce("name", F.lit("")).alias("name"), "node")
     known = nodes.select(F.col("node").alias("__node"))
-    at = nodes.join(known, F.col("parent") == F.col("__node"), "left").select("node", F.col("__node").alias("up"), F.array(own).alias("way"))
+    at = nodes.join(known.hint("merge"), F.col("parent") == F.col("__node"), "left").select("node", F.col("__node").alias("up"), F.array(own).alias("way"))
     at, left = materialize(at, "tree"), -1
     while True:
         open_ = at.where("up IS NOT NULL").count()
@@ -92,7 +96,12 @@ def tree(nodes: DataFrame) -> DataFrame:
             return places(rooted, ["way"]).select("node", (F.size("way") - 1).alias("depth"), F.array_join("way.name", "/").alias("path"), "place")
         left = open_
         above = at.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("way").alias("__way"))
-        joined = at.join(above, "up", "left").select("node", F.col("__up").alias("up"), F.when(F.col("up").isNull(), F.col("way")).otherwise(F.concat("__way", "way")).alias("way"))
-        fresh = materialize(joined, "tree")
+        ups = at.where("up IS NOT NULL").select("up").distinct()
+        few = ups.count() <= BROADCAST_STEPS
+        if few:
+            above = above.join(F.broadcast(ups), "up", "left_semi")
+            few = above.agg(F.coalesce(F.sum(F.size("__way")), F.lit(0))).first()[0] <= BROADCAST_STEPS
+        joined = at.where("up IS NOT NULL").join(F.broadcast(above) if few else above.hint("merge"), "up").select("node", F.col("__up").alias("up"), F.concat("__way", "way").alias("way"))
+        fresh = materialize(joined.unionByName(at.where("up IS NULL")), "tree")
         discard(at)
         at = fresh
