@@ -225,3 +225,17 @@ def test_rows_on_a_root_stay_out_of_the_joins(spark, monkeypatch, steps, join):
     assert got == {(0, 0, "r", 1), (1, 1, "r/a", 2), (2, 2, "r/a/b", 3), *((k, 1, "r/c", k + 1) for k in range(3, 40))}
     rounds = [p for p in plans[1:] if "Union" in p]
     assert len(rounds) == len(plans) - 1 and all(join in p for p in rounds)
+
+
+def test_no_side_of_a_request_goes_through_the_driver(spark, monkeypatch):
+    """Small tables are no reason for a broadcast, as files say little of the rows made of them."""
+    from velarium.operators import fixpoint
+
+    plans, plain = [], fixpoint.materialize
+    monkeypatch.setattr(fixpoint, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, tag))
+    requests = spark.createDataFrame([(1, "s", "ann", None), (2, "s", "ann", 1)], "request int, space string, author string, base int")
+    actions = [(r, 4 * r + n, who, kind, "APPROVE" if n == 1 else None, n, "理由") for r in (1, 2) for n, who, kind in ((1, "bob", "REVIEW"), (2, "cy", "PUBLISH"))]
+    actions = spark.createDataFrame(actions, "request int, seq int, actor string, action string, decision string, expected int, reason string")
+    found = governance.review_and_publish(requests, actions, spark.createDataFrame([("s", "bob", "REVIEWER"), ("s", "cy", "PUBLISHER")], "space string, actor string, role string"))
+    assert {(r.request, r.outcome, r.version) for r in found.collect()} == {(1, "APPROVED", None), (1, "PUBLISHED", 1), (2, "APPROVED", None), (2, "PUBLISHED", 2)}
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])

@@ -118,19 +118,19 @@ def trail(links: DataFrame, starts: DataFrame) -> DataFrame:
     """links (a, b; a distinct), starts (node) -> node, steps: what lies on the ways from the starts, at its least distance from one.
 
     Each round's hops are twice as long, and what was met so far makes one hop, so a way of n steps takes log n
-    rounds. It ends when a round meets nothing new, in circles too.
+    rounds. It ends when a round meets nothing new, in circles too. Joins ask for sorted ranges: hops are small as files only.
     """
     hops = materialize(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"), "trail")
     met, length = materialize(starts.select("node").distinct().withColumn("steps", F.lit(0).cast("long")), "trail"), 1
     while True:
-        ahead = met.join(hops, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg((F.min("steps") + length).alias("steps"))
-        fresh = materialize(ahead.join(met.select("node"), "node", "left_anti").select("node", "steps"), "trail")
+        ahead = met.join(hops.hint("merge"), F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg((F.min("steps") + length).alias("steps"))
+        fresh = materialize(ahead.join(met.select("node").hint("merge"), "node", "left_anti").select("node", "steps"), "trail")
         if fresh.isEmpty():
             discard(fresh)
             discard(hops)
             return met
         both = materialize(met.unionByName(fresh), "trail")
-        longer = materialize(hops.join(hops.select(F.col("a").alias("b"), F.col("b").alias("__next")), "b").select("a", F.col("__next").alias("b")), "trail")
+        longer = materialize(hops.join(hops.select(F.col("a").alias("b"), F.col("b").alias("__next")).hint("merge"), "b").select("a", F.col("__next").alias("b")), "trail")
         for used in (met, fresh, hops):
             discard(used)
         met, hops, length = both, longer, length * 2
