@@ -85,3 +85,28 @@ def test_windows_end_after_all_batches(spark, tmp_path, events):
     write(spark, path, events, 5)
     out = S.run_now(S.tumbling(S.read_events(spark, path, late="400 days", tail=tail, files=1), "1 day"), tail=tail)
     assert sum(r.n for r in out.collect()) == len(events)
+
+
+def test_a_batch_of_a_user_is_one_call_to_the_store():
+    """However many events it has; times are microseconds, and the timer stands at the earliest."""
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        def getListState(self, *_):
+            return self
+
+        getValueState = getListState
+
+        def appendValue(self, value):
+            calls.append(value)
+
+        def registerTimer(self, millis):
+            calls.append(millis)
+
+    machine = S.InOrder()
+    machine.init(Handle())
+    parts = [pd.DataFrame({"event_id": [1, 2], "at": [7_000_000, 5_000_999], "event_type": ["view", None]}), pd.DataFrame({"event_id": [3], "at": [6_000_000], "event_type": ["signup"]})]
+    assert list(machine.handleInputRows((1,), iter(parts), None)) == []
+    assert calls == [([7_000_000, 5_000_999, 6_000_000], [1, 2, 3], ["view", None, "signup"]), 5_000]
