@@ -106,3 +106,23 @@ def test_pairs_that_are_distinct_as_they_are_arent_shuffled(spark):
     found = modelcheck.violations([Check("P", "W", "f", "pair", "some", "t.id", "t.id < o.id", "o.id", "some", "t.k = o.k")], {"some": some})
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 2 * 50 * 49 // 2
+
+
+def test_checks_share_rows_and_the_join_keeps_its_parts(spark, tables, monkeypatch):
+    """Checks that ask for the same rows of `o` send them once; small shuffles of keys that are much alike aren't merged into few large tasks."""
+    _, _, frames = tables
+    checks = [
+        Check("A", "B", "f", "anti", "t", "t.id", "t.n < 4", "t.k", "o", "t.k = o.k AND o.n > 1"),
+        Check("P", "W", "f", "pair", "t", "t.id", "t.n > 2", "t.s", "o", "t.k = o.k AND o.n > 1"),
+        Check("N", "W", "f", "count", "t", "t.id", "true", "", "o", "t.n = o.k AND o.n > 1"),
+        Check("O", "W", "f", "pair", "t", "t.id", "true", "o.s", "o", "t.k = o.k AND o.n > 1"),
+        Check("M", "W", "f", "pair", "t", "t.id", "true", "t.s", "o", "t.k = o.k AND o.n > 2"),
+    ]
+    sent, stream = [], modelcheck._stream
+    monkeypatch.setattr(modelcheck, "_stream", lambda side, name, plans, df: sent.append((side, len(plans))) or stream(side, name, plans, df))
+    found = modelcheck.violations(checks, frames)
+    assert sent == [("t", 5), ("o", 3)]
+    rows = Counter(tuple(r) for r in found.collect())
+    assert rows == sum((Counter(tuple(r) for r in modelcheck.violations_of(c, frames).collect()) for c in checks), Counter())
+    assert {r[0] for r in rows} == {"A", "P", "N", "O", "M"}
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
