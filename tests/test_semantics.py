@@ -1,5 +1,6 @@
 """Model, formulas, conditions, times, paths, paging, sources and diffs on small cases."""
 
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -270,3 +271,13 @@ def test_tables_of_documents_are_not_broadcast_by_the_size_of_their_files(spark,
     from velarium.queries.projections import documents
 
     assert "BroadcastHashJoin" not in documents(spark, sf)["relations"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_using_reads_all_customers(spark, sf):
+    import __spark_entry__ as E
+
+    nations = Counter(r.c_nationkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_nationkey").collect())
+    want = sum(nations[r.s_nationkey] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_nationkey").collect())
+    found = E.queries()["join_using"](spark, sf)
+    assert found.count() == want > 0
+    assert found.where("c_custkey % 10 <> 0").count() > 0
