@@ -126,3 +126,50 @@ def test_checks_share_rows_and_the_join_keeps_its_parts(spark, tables, monkeypat
     assert rows == sum((Counter(tuple(r) for r in modelcheck.violations_of(c, frames).collect()) for c in checks), Counter())
     assert {r[0] for r in rows} == {"A", "P", "N", "O", "M"}
     assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+
+
+OVERLAP = "t.id < o.id AND t.first <= o.last AND t.last >= o.first"
+
+
+@pytest.mark.parametrize("spread", [1, 40, 1 << 40])
+def test_crossing_pairs_are_counted_without_being_made(spark, monkeypatch, spread):
+    """Numbers of pairs like plain loops: NULLs, ends before beginnings, equal rows, and keys of one row."""
+    rng = random.Random(spread)
+    some = lambda x: None if rng.random() < 0.05 else x
+    rows = [(some(i), some(rng.randrange(4)), rng.choice("ab"), some(a := rng.randrange(-10, 10) * spread + rng.randrange(3)), some(a + rng.randrange(-3, 8) * spread)) for i in range(160)]
+    rows += rows[:9] + [(1000, 77, "a", 1, 2)]
+    df = spark.createDataFrame(rows, "id long, k int, s string, first long, last long")
+    checks = [Check("CROSS", "W", "f", "pair", "x", "t.id", OVERLAP, "o.id", "x", "t.k = o.k AND t.s = o.s"), Check("SOME", "BLOCKER", "f", "pair", "x", "t.id", f"{OVERLAP} AND t.s = 'a' AND o.s = 'a'", "o.id", "x", "t.k = o.k"), Check("ROW", "W", "f", "row", "x", "t.id", "t.first > t.last")]
+    want = Counter()
+    for code, only in (("CROSS", "ab"), ("SOME", "a")):
+        want[code] = len({(x[0], y[0]) for x in rows for y in rows if None not in x + y and x[1:3] == y[1:3] and x[2] in only and x[0] < y[0] and x[3] <= y[4] and x[4] >= y[3]})
+    want["ROW"] = sum(None not in x[3:] and x[3] > x[4] for x in rows)
+    monkeypatch.setattr(modelcheck, "_compared", lambda *_: pytest.fail("pairs were made"))
+    assert {r.code: r.rows for r in modelcheck.tallies(checks, {"x": df}).collect()} == want
+    gate = modelcheck.gate_of(checks, {"x": df}).first()
+    assert tuple(gate) == (want["SOME"], want["CROSS"] + want["ROW"], 3, False)
+
+
+def test_crossing_pairs_that_need_not_be_distinct_are_made(spark):
+    """An id with different values, or values too far apart: as many as violations()."""
+    check = Check("CROSS", "W", "f", "pair", "x", "t.id", OVERLAP, "o.id", "x", "t.k = o.k")
+    twice = [(i % 20, i % 2, i % 7, i % 7 + 3) for i in range(50)]
+    far = [(1, 1, -(1 << 63), 5), (2, 1, (1 << 63) - 1, (1 << 63) - 1), (3, 1, 4, 9)]
+    for rows, want in ((twice, None), (far, 1), (far[:0], 0)):
+        tables = {"x": spark.createDataFrame(rows, "id long, k int, first long, last long")}
+        found = sum(r.rows for r in modelcheck.tallies([check], tables).collect())
+        assert found == modelcheck.violations([check], tables).count() and want in (None, found)
+
+
+def test_the_gate_makes_no_pairs_of_targets(spark, sf, monkeypatch):
+    from velarium.queries.modelchecks import model_table
+
+    made, compared = [], modelcheck._compared
+    monkeypatch.setattr(modelcheck, "_compared", lambda checks, plans, frames: made.extend(p.check.code for _, p in plans) or compared(checks, plans, frames))
+    import __spark_entry__ as E
+
+    found = E.queries()["dq_model_gate"](spark, sf).first()
+    assert made and "METRIC_TARGET_OVERLAP" not in made
+    every = modelcheck.violations(CHECKS, model_table(spark, sf)).collect()
+    blockers = sum(r.severity == "BLOCKER" for r in every)
+    assert tuple(found) == (blockers, len(every) - blockers, len({r.code for r in every}), blockers == 0)
